@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbarium.functions import wikitext
@@ -12,7 +12,7 @@ from verbarium.operators.dictionary import new_languages, new_words, vocabulary
 from verbarium.operators.extraction import templates
 from verbarium.operators.facts import encode_facts
 from verbarium.operators.numbering import number_rows
-from verbarium.operators.pages import first_pages
+from verbarium.operators.pages import find_page, first_pages
 from verbarium.operators.rules import RULES, RuleSet, conjugate
 from verbarium.sources.dump import good_pages, read_dump
 from verbarium.sources.tables import Store
@@ -36,8 +36,9 @@ def import_pages(
     """Add the verb forms of ``pages`` to the store as one batch; returns its number.
 
     The pages are scanned once. What they yield is a small part of them, so it is rebalanced
-    into few files before the dictionary and the facts are both derived from it. Naming the
-    latest batch again replaces it; older ones are fixed, as later ones build on their ids.
+    into few files before the dictionary and the facts are both derived from it. A batch that
+    broke off is repeated under its number. Naming the latest batch again replaces it; older
+    ones are fixed, as later ones build on their ids.
     """
     last = store.last_batch()
     if batch is None:
@@ -55,6 +56,7 @@ def import_pages(
     facts = encode_facts(numbered, store.words, store.languages, store.tenses)
     store.write("verb_forms", facts, batch)
     store.write("rejects", numbered.filter(F.col("status") != "ok"), batch)
+    store.finish(batch)
     return batch
 
 
@@ -70,3 +72,12 @@ def import_dump(
     containing = wikitext.VERB_MARK if page_limit == -1 else None
     pages = good_pages(read_dump(store.spark, path, containing, reader))
     return import_pages(store, pages, rules, page_limit, batch)
+
+
+def view_page(
+    spark: SparkSession, path: str | list[str], title: str, early_stop: bool = False
+) -> DataFrame:
+    """The page of a dump with this title; see ``find_page``."""
+    # Without characters that XML escapes, the title stands in the file as it is.
+    containing = None if any(c in title for c in "&<>\"'") else title
+    return find_page(good_pages(read_dump(spark, path, containing)), title, early_stop)

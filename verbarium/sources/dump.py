@@ -32,8 +32,7 @@ def read_dump(
     """
     if reader == "xml":
         rows = spark.read.format("xml").options(rowTag="page", **XML_OPTIONS).schema(FIELDS)
-        page = rows.load(path if isinstance(path, str) else ",".join(path))
-        return _fields(page, "")
+        return _fields(rows.load(path), "")
     return pages_of(spark.read.option("lineSep", PAGE_END).text(path), containing)
 
 

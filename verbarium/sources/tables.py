@@ -15,6 +15,7 @@ TABLES: dict[str, T.StructType] = {
     "verb_forms": schemas.VERB_FORMS,
     "rejects": schemas.REJECTS,
     "users": schemas.USERS,
+    "batches": schemas.BATCHES,
 }
 BATCH = "batch_id"
 
@@ -64,10 +65,12 @@ class Store:
         df.select(*columns).write.mode("overwrite").parquet(folder)
 
     def last_batch(self) -> int:
-        """The highest batch written so far, or -1."""
-        # The dictionary is the first table that a batch writes words to.
-        row = self._batches("languages").agg(F.max(BATCH)).first()
-        return -1 if row[0] is None else row[0]
+        """The highest batch that was finished, or -1."""
+        return self.read("batches").agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+
+    def finish(self, batch: int) -> None:
+        """Note that all tables of a batch are written."""
+        self.write("batches", self.spark.range(batch, batch + 1, 1, 1), batch)
 
     @property
     def languages(self) -> DataFrame:

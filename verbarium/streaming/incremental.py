@@ -20,17 +20,19 @@ def incremental_import(
     checkpoint: str,
     rules: Mapping[str, RuleSet] = RULES,
     max_files: int | None = None,
+    first_batch: int = 0,
 ) -> StreamingQuery:
     """Import all files in ``folder`` that earlier runs with this checkpoint have not seen.
 
-    Each micro-batch is one batch of the store under the stream's own number. A batch that
+    Each micro-batch is one batch of the store, numbered from ``first_batch`` on. A batch that
     failed half-way is repeated under the same number and replaces what it left behind, so
-    every file counts exactly once. Words already known keep their ids. The store must be fed
-    by this stream only.
+    every file counts exactly once. Words already known keep their ids. To go on from a bulk
+    import, give the number after its last batch, and give the same number in later runs; no
+    other import may write to the store in between.
     """
 
     def add(pages: DataFrame, batch: int) -> None:
-        import_pages(store, pages, rules, batch=batch)
+        import_pages(store, pages, rules, batch=first_batch + batch)
 
     pages = good_pages(read_dump_stream(store.spark, folder, wikitext.VERB_MARK, max_files))
     return (
