@@ -1,0 +1,163 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import rows_of
+from verbarium.operators.dictionary import new_words
+from verbarium.operators.facts import text_forms
+from verbarium.operators.numbering import number_rows
+from verbarium.operators.rules import RULES
+from verbarium.plans import importer
+from verbarium.plans.importer import decode_pages, import_dump, import_pages
+from verbarium.sources.dump import write_dump
+
+
+def verb_page(*templates: str) -> str:
+    lines = "\n".join(f"# {t}" for t in templates)
+    return f"==Dutch==\n\n===Verb===\n{{{{nl-verb-form}}}}\n\n{lines}\n"
+
+
+LOPEN = "==Dutch==\n\n===Verb===\n{{nl-verb}}\n"
+LOOP = verb_page("{{nl-verb form of|p=1|n=sg|t=pres|m=ind|lopen}}")
+LIEP = verb_page("{{nl-verb form of|n=sg|t=past|m=ind|lopen}}", "{{nl-verb form of|n=sg|m=imp|x}}")
+BAD = verb_page("{{nl-verb form of|n=sg|t=futu|m=ind|zullen}}")
+
+
+def stored_forms(store):
+    words = store.words
+    form = words.select(F.col("id").alias("word_id"), "word")
+    inf = words.select(F.col("id").alias("inf_id"), F.col("word").alias("infinitive"))
+    language = store.languages.select(F.col("id").alias("lang_id"), F.col("name").alias("language"))
+    return (
+        store.verb_forms.join(form, "word_id")
+        .join(inf, "inf_id")
+        .join(language, "lang_id")
+        .join(store.tenses.select(F.col("id").alias("tense_id"), "tense"), "tense_id")
+        .select("language", "word", "infinitive", "tense", "person", "num")
+    )
+
+
+def test_facts_lead_back_to_the_texts(store, make_pages):
+    pages = make_pages(
+        (1, "lopen", LOPEN), (2, "loop", LOOP), (3, "liep", LIEP), (4, "zal", BAD), (5, "User:loop", LOOP)
+    )
+    assert import_pages(store, pages) == 0
+    assert rows_of(store.languages) == [(1, "dutch", None)]
+    assert rows_of(store.words) == [(1, "liep"), (2, "loop"), (3, "lopen"), (4, "zal"), (5, "zullen")]
+    assert rows_of(stored_forms(store)) == sorted(
+        [
+            ("dutch", "lopen", "lopen", "present", None, 2),
+            ("dutch", "loop", "lopen", "present", 2, 1),
+            ("dutch", "liep", "lopen", "past", 14, 1),
+        ],
+        key=repr,
+    )
+    assert rows_of(store.rejects, "title", "pos", "status") == [
+        ("liep", 2, "unsupported_mood"),
+        ("zal", 1, "invalid_tense"),
+    ]
+    ids = [row[0] for row in rows_of(store.verb_forms, "id")]
+    assert len(set(ids)) == 3 and all(ids)
+
+
+def test_equal_facts_stay_apart(store, make_pages):
+    import_pages(store, make_pages((1, "loop", LOOP), (2, "loop", LOOP)))
+    assert store.verb_forms.count() == 2
+    assert store.words.count() == 2
+
+
+def test_later_batches_keep_ids_and_add_unseen_words(store, make_pages):
+    import_pages(store, make_pages((1, "lopen", LOPEN), (2, "zal", BAD)))
+    before = dict((w, i) for i, w in rows_of(store.words))
+    assert import_pages(store, make_pages((3, "loop", LOOP), (4, "aaa", LOPEN))) == 1
+    after = dict((w, i) for i, w in rows_of(store.words))
+    assert before.items() <= after.items()
+    assert {w: i for w, i in after.items() if w not in before} == {"aaa": 4, "loop": 5}
+    assert rows_of(store.languages) == [(1, "dutch", None)]
+    assert len(set(rows_of(store.verb_forms, "id"))) == store.verb_forms.count() == 3
+
+
+def test_latest_batch_can_be_repeated_and_older_ones_cannot(store, make_pages):
+    import_pages(store, make_pages((1, "lopen", LOPEN)))
+    import_pages(store, make_pages((2, "zal", BAD)))
+    import_pages(store, make_pages((3, "loop", LOOP)), batch=1)
+    assert rows_of(store.words) == [(1, "lopen"), (2, "loop")]
+    assert store.verb_forms.count() == 2 and store.rejects.isEmpty()
+    with pytest.raises(ValueError):
+        import_pages(store, make_pages((1, "lopen", LOPEN)), batch=0)
+
+
+def test_a_batch_that_broke_off_is_replaced(store, make_pages, monkeypatch):
+    pages = make_pages((1, "lopen", LOPEN), (2, "loop", LOOP))
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(importer, "encode_facts", fail)
+    with pytest.raises(RuntimeError):
+        import_pages(store, make_pages((7, "half", LOPEN)))
+    monkeypatch.undo()
+    assert store.words.count() == 1
+    assert import_pages(store, pages) == 0
+    assert rows_of(store.words) == [(1, "loop"), (2, "lopen")]
+    assert store.verb_forms.count() == 2
+
+
+def test_batches_without_verbs(store, make_pages):
+    import_pages(store, make_pages((1, "x", "no verb")))
+    assert store.words.isEmpty() and store.verb_forms.isEmpty()
+    assert import_pages(store, make_pages((2, "lopen", LOPEN))) == 1
+    assert import_pages(store, make_pages((3, "x", "no verb"))) == 2
+    assert store.last_batch() == 2
+    assert rows_of(store.words) == [(1, "lopen")]
+
+
+def test_empty_registry_imports_nothing(store, make_pages):
+    import_pages(store, make_pages((1, "lopen", LOPEN)), rules={})
+    assert store.words.isEmpty() and store.verb_forms.isEmpty() and store.languages.isEmpty()
+
+
+def test_several_languages_share_the_dictionary(store, make_pages):
+    english = LOPEN.replace("Dutch", "English")
+    rules = {**RULES, "english": RULES["dutch"]}
+    import_pages(store, make_pages((1, "lopen", LOPEN + english)), rules)
+    assert rows_of(store.languages, "id", "name") == [(1, "dutch"), (2, "english")]
+    assert rows_of(store.words) == [(1, "lopen")]
+    assert rows_of(store.verb_forms, "lang_id", "word_id", "inf_id") == [(1, 1, 1), (2, 1, 1)]
+
+
+@pytest.mark.parametrize("limit", [-1, 2])
+def test_dump_import_equals_page_import(spark, store, make_pages, tmp_path, limit):
+    pages = make_pages(
+        (1, "x", "nothing"), (2, "lopen", LOPEN), (3, "loop", LOOP), (4, "Talk:a", LOOP), (5, "liep", LIEP)
+    )
+    path = str(tmp_path / "dump")
+    write_dump(pages.repartition(3), path, "bzip2")
+    import_dump(store, path, page_limit=limit)
+    expected = text_forms(decode_pages(pages, page_limit=limit))
+    assert rows_of(stored_forms(store)) == rows_of(expected)
+    assert store.verb_forms.count() == (3 if limit == -1 else 1)
+
+
+@pytest.mark.parametrize("start", [0, 41])
+def test_numbering_is_dense_and_ordered_over_many_partitions(spark, start):
+    words = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("word"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbered = number_rows(words.repartition(7), "t", start, ["word"])
+        parts = numbered.select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert parts > 1
+    got = [tuple(row) for row in numbered.orderBy("word").collect()]
+    assert [row[0] for row in got] == list(range(start + 1, start + 5001))
+    assert rows_of(number_rows(words.repartition(5), "t"), "id") == sorted(
+        [(n,) for n in range(1, 5001)], key=repr
+    )
+
+
+def test_new_words_skips_known_ones_and_repeats(spark):
+    known = spark.createDataFrame([(4, "b"), (9, "d")], "id long, word string")
+    found = spark.createDataFrame([("a",), ("b",), ("c",), ("a",), ("",)], "word string")
+    assert rows_of(new_words(found, known)) == sorted([(10, ""), (11, "a"), (12, "c")], key=repr)

@@ -1,0 +1,65 @@
+from __future__ import annotations
+
+import pytest
+
+from tests.conftest import rows_of
+from tests.test_import import BAD, LIEP, LOOP, LOPEN, stored_forms
+from verbarium.operators.facts import text_forms
+from verbarium.plans import importer
+from verbarium.plans.importer import decode_pages, import_pages
+from verbarium.sources.dump import write_dump
+from verbarium.streaming.incremental import incremental_import
+
+
+def run(store, tmp_path, **options):
+    query = incremental_import(store, str(tmp_path / "in"), str(tmp_path / "check"), **options)
+    query.awaitTermination()
+
+
+def arrive(pages, tmp_path, name):
+    write_dump(pages.coalesce(1), str(tmp_path / name))
+    (tmp_path / "in").mkdir(exist_ok=True)
+    for file in (tmp_path / name).glob("part-*"):
+        file.rename(tmp_path / "in" / f"{name}.xml")
+
+
+def test_runs_add_up_to_one_batch_import(store, make_pages, tmp_path):
+    first = make_pages((1, "lopen", LOPEN), (2, "loop", LOOP), (3, "Talk:x", LOOP))
+    second = make_pages((4, "liep", LIEP), (5, "loop", LOOP), (6, "zal", BAD))
+    arrive(first, tmp_path, "a")
+    run(store, tmp_path)
+    before = rows_of(store.words)
+    assert before == [(1, "loop"), (2, "lopen")]
+    run(store, tmp_path)
+    assert rows_of(store.words) == before
+    arrive(second, tmp_path, "b")
+    run(store, tmp_path)
+    assert rows_of(store.words) == before + [(3, "liep"), (4, "zal"), (5, "zullen")]
+    assert rows_of(stored_forms(store)) == rows_of(text_forms(decode_pages(first.union(second))))
+
+
+def test_a_failed_batch_counts_once_after_the_restart(store, make_pages, tmp_path, monkeypatch):
+    arrive(make_pages((1, "lopen", LOPEN)), tmp_path, "a")
+    run(store, tmp_path)
+    arrive(make_pages((2, "loop", LOOP)), tmp_path, "b")
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(importer, "encode_facts", fail)
+    with pytest.raises(Exception, match="lost"):
+        run(store, tmp_path)
+    monkeypatch.undo()
+    run(store, tmp_path)
+    assert rows_of(store.words) == [(1, "lopen"), (2, "loop")]
+    assert store.verb_forms.count() == 2
+
+
+def test_stream_goes_on_from_a_bulk_import(store, make_pages, tmp_path):
+    batch = import_pages(store, make_pages((1, "lopen", LOPEN)))
+    arrive(make_pages((2, "loop", LOOP)), tmp_path, "a")
+    arrive(make_pages((3, "liep", LIEP)), tmp_path, "b")
+    run(store, tmp_path, first_batch=batch + 1, max_files=1)
+    assert store.last_batch() == 2
+    assert rows_of(store.words, "id") == [(1,), (2,), (3,)]
+    assert store.verb_forms.count() == 3
