@@ -109,7 +109,7 @@ def test_batches_without_verbs(store, make_pages):
     assert store.words.isEmpty() and store.verb_forms.isEmpty()
     assert import_pages(store, make_pages((2, "lopen", LOPEN))) == 1
     assert import_pages(store, make_pages((3, "x", "no verb"))) == 2
-    assert store.last_batch() == 2
+    assert store.progress()[0] == 2
     assert rows_of(store.words) == [(1, "lopen")]
 
 
@@ -160,4 +160,4 @@ def test_numbering_is_dense_and_ordered_over_many_partitions(spark, start):
 def test_new_words_skips_known_ones_and_repeats(spark):
     known = spark.createDataFrame([(4, "b"), (9, "d")], "id long, word string")
     found = spark.createDataFrame([("a",), ("b",), ("c",), ("a",), ("",)], "word string")
-    assert rows_of(new_words(found, known)) == sorted([(10, ""), (11, "a"), (12, "c")], key=repr)
+    assert rows_of(new_words(found, known, 9)) == sorted([(10, ""), (11, "a"), (12, "c")], key=repr)

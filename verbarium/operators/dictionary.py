@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbarium.operators.numbering import number_rows
-from verbarium.schemas import LANGUAGES
 
 
 def vocabulary(decoded: DataFrame) -> DataFrame:
@@ -21,23 +20,20 @@ def vocabulary(decoded: DataFrame) -> DataFrame:
     )
 
 
-def new_words(found: DataFrame, known: DataFrame) -> DataFrame:
+def new_words(found: DataFrame, known: DataFrame, last_id: int) -> DataFrame:
     """Rows (id, word) for the words of ``found`` that ``known`` lacks.
 
-    Known words keep their ids; new ones follow the highest id in word order.
+    Known words keep their ids; new ones follow ``last_id`` in word order.
     """
-    start = known.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     fresh = found.select("word").distinct().join(known.select("word"), "word", "left_anti")
-    return number_rows(fresh, "words", start, ["word"])
+    return number_rows(fresh, "words", last_id, ["word"])
 
 
-def new_languages(names: Iterable[str], known: DataFrame) -> DataFrame:
+def new_languages(names: Iterable[str], known: DataFrame) -> list[tuple[int, str, None]]:
     """Rows (id, name, tag) for language names that ``known`` lacks; tag stays null.
 
     Both sides are bounded by the number of registered rule sets.
     """
     present = {row.name: row.id for row in known.select("id", "name").collect()}
-    start = max(present.values(), default=0)
     fresh = sorted({name.lower() for name in names} - set(present))
-    rows = [(start + n, name, None) for n, name in enumerate(fresh, 1)]
-    return known.sparkSession.createDataFrame(rows, LANGUAGES)
+    return [(n, name, None) for n, name in enumerate(fresh, max(present.values(), default=0) + 1)]

@@ -14,8 +14,9 @@ from verbarium.operators.facts import encode_facts
 from verbarium.operators.numbering import number_rows
 from verbarium.operators.pages import find_page, first_pages
 from verbarium.operators.rules import RULES, RuleSet, conjugate
+from verbarium.schemas import LANGUAGES
 from verbarium.sources.dump import good_pages, read_dump
-from verbarium.sources.tables import Store
+from verbarium.sources.tables import Store, constant_rows
 
 
 def decode_pages(
@@ -40,19 +41,23 @@ def import_pages(
     broke off is repeated under its number. Naming the latest batch again replaces it; older
     ones are fixed, as later ones build on their ids.
     """
-    last = store.last_batch()
+    last, last_word, last_fact = store.progress()
     if batch is None:
         batch = last + 1
     elif batch < last:
         raise ValueError(f"batch {batch} is older than the latest batch {last}")
+    elif batch == last:
+        _, last_word, last_fact = store.progress(before=batch)
 
-    start = store.read("verb_forms", batch).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     decoded = decode_pages(pages, rules, page_limit)
-    numbered = number_rows(decoded.hint("rebalance"), "decoded", start)
+    numbered = number_rows(decoded.hint("rebalance"), "decoded", last_fact)
 
     fresh_languages = new_languages(rules, store.read("languages", batch))
-    store.write("languages", fresh_languages, batch)
-    store.write("words", new_words(vocabulary(numbered), store.read("words", batch)), batch)
+    if fresh_languages:
+        rows = constant_rows(store.spark, fresh_languages, LANGUAGES)
+        store.write("languages", rows, batch)
+    known = store.read("words", batch)
+    store.write("words", new_words(vocabulary(numbered), known, last_word), batch)
     facts = encode_facts(numbered, store.words, store.languages, store.tenses)
     store.write("verb_forms", facts, batch)
     store.write("rejects", numbered.filter(F.col("status") != "ok"), batch)

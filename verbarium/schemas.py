@@ -45,7 +45,7 @@ REJECTS = _schema(
     template=T.StringType(),
     status=T.StringType(),
 )
-BATCHES = _schema(id=T.LongType())
+BATCHES = _schema(id=T.LongType(), last_word=T.LongType(), last_fact=T.LongType())
 # Passwords are left out: nothing here reads them.
 USERS = _schema(
     id=T.StringType(),

@@ -20,12 +20,24 @@ TABLES: dict[str, T.StructType] = {
 BATCH = "batch_id"
 
 
+def constant_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A few fixed rows as part of the plan itself, so that reading them starts no job."""
+    if not rows:
+        nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+        return spark.range(1).filter(F.lit(False)).select(*nulls)
+    marks = ", ".join(f"({', '.join('?' * len(row))})" for row in rows)
+    values = spark.sql(f"SELECT * FROM VALUES {marks}", args=[v for row in rows for v in row])
+    return values.select(
+        *[F.col(c).cast(f.dataType).alias(f.name) for c, f in zip(values.columns, schema.fields)]
+    )
+
+
 def tenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(schemas.TENSES, schemas.TENSE)
+    return constant_rows(spark, schemas.TENSES, schemas.TENSE)
 
 
 def roles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(schemas.ROLES, schemas.ROLE)
+    return constant_rows(spark, schemas.ROLES, schemas.ROLE)
 
 
 class Store:
@@ -49,7 +61,7 @@ class Store:
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return constant_rows(self.spark, [], schema)
 
     def read(self, table: str, before: int | None = None) -> DataFrame:
         """A table, or the part of it that batches before ``before`` wrote."""
@@ -64,13 +76,26 @@ class Store:
         folder = f"{self._folder(table)}/{BATCH}={batch}"
         df.select(*columns).write.mode("overwrite").parquet(folder)
 
-    def last_batch(self) -> int:
-        """The highest batch that was finished, or -1."""
-        return self.read("batches").agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+    def progress(self, before: int | None = None) -> tuple[int, int, int]:
+        """(last finished batch, highest word id, highest fact id), or (-1, 0, 0)."""
+        batches = self.read("batches", before).orderBy(F.desc("id")).limit(1).collect()
+        return tuple(batches[0]) if batches else (-1, 0, 0)
 
     def finish(self, batch: int) -> None:
-        """Note that all tables of a batch are written."""
-        self.write("batches", self.spark.range(batch, batch + 1, 1, 1), batch)
+        """Note that all tables of a batch are written, and where its ids end.
+
+        Only the batch's own rows are read; earlier ids end where the notes say.
+        """
+        _, last_word, last_fact = self.progress(before=batch)
+        own = F.col(BATCH) == batch
+        words = self._batches("words").filter(own).agg(F.max("id"))
+        facts = self._batches("verb_forms").filter(own).agg(F.max("id"))
+        note = self.spark.range(batch, batch + 1, 1, 1).select(
+            "id",
+            F.coalesce(words.scalar(), F.lit(last_word)).alias("last_word"),
+            F.coalesce(facts.scalar(), F.lit(last_fact)).alias("last_fact"),
+        )
+        self.write("batches", note, batch)
 
     @property
     def languages(self) -> DataFrame:
