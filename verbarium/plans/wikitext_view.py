@@ -37,7 +37,11 @@ TEXT_SQL = f"""concat(
 
 def wikitext_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per order: page_id, title, text."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    # A small table is a single file that one task would read. Large ones pass as they are.
+    cores = spark.sparkContext.defaultParallelism
+    if orders.rdd.getNumPartitions() < cores:
+        orders = orders.repartition(cores)
     return orders.selectExpr("o_orderkey AS page_id", f"{TITLE_SQL} AS title", f"{TEXT_SQL} AS text")
 
 
