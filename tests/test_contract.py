@@ -1,0 +1,33 @@
+from __future__ import annotations
+
+import os
+
+import pytest
+
+import __spark_entry__ as contract
+from tools import compare
+
+SF_DIR = "/root/testdata/sf0.001"
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def db():
+    return compare.connect(SF_DIR)
+
+
+def test_every_query_has_comparison_sql():
+    assert set(contract.queries()) == set(contract.oracle_sql())
+
+
+@pytest.mark.parametrize("name", list(contract.queries()))
+def test_query_equals_its_sql(spark, db, name):
+    same, note = compare.compare(spark, db, SF_DIR, name)
+    assert same, note
+
+
+def test_entry(spark):
+    df = contract.entry(spark)
+    assert df.columns[:3] == ["inf_id", "part", "infinitive"]
+    assert not df.isEmpty()

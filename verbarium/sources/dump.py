@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGE_END = "</page>"
-PAGE_START = r"(?s)<page[\s>].*"
+PAGE = r"(?s)<page[\s>].*"
 CORRUPT = "_corrupt_record"
 FIELDS = f"title string, id bigint, revision struct<text: string>, {CORRUPT} string"
 # Surrounding blanks belong to the wikitext.
@@ -32,7 +32,7 @@ def read_dump(
     """
     if reader == "xml":
         rows = spark.read.format("xml").options(rowTag="page", **XML_OPTIONS).schema(FIELDS)
-        return _fields(rows.load(path), "")
+        return _fields(rows.load(path))
     return pages_of(spark.read.option("lineSep", PAGE_END).text(path), containing)
 
 
@@ -56,25 +56,23 @@ def pages_of(chunks: DataFrame, containing: str | None = None) -> DataFrame:
     if containing is not None:
         # A numeric character reference could spell the string in another way.
         kept = kept & (value.contains(containing) | value.contains("&#"))
-    fragment = F.regexp_extract("value", PAGE_START, 0)
-    page = (
-        chunks.filter(kept)
-        .select(fragment.alias("fragment"))
-        .filter(F.col("fragment") != "")
-        .select(
-            F.from_xml(F.concat("fragment", F.lit(PAGE_END)), FIELDS, XML_OPTIONS).alias("page")
-        )
+    fragments = chunks.filter(kept).select(
+        # No match, no row.
+        F.explode(F.regexp_extract_all("value", F.lit(PAGE), 0)).alias("fragment")
     )
-    return _fields(page, "page.")
+    decoded = F.from_xml(F.concat("fragment", F.lit(PAGE_END)), FIELDS, XML_OPTIONS)
+    # As a generator the decoding runs once per page. In a plain projection every filter that
+    # the optimizer moves below it would decode the page again.
+    return _fields(fragments.select(F.inline(F.array(decoded))))
 
 
-def _fields(page: DataFrame, prefix: str) -> DataFrame:
+def _fields(page: DataFrame) -> DataFrame:
     return page.select(
-        F.col(prefix + "id").alias("page_id"),
+        F.col("id").alias("page_id"),
         # Absent elements count as empty.
-        F.coalesce(F.col(prefix + "title"), F.lit("")).alias("title"),
-        F.coalesce(F.col(prefix + "revision.text"), F.lit("")).alias("text"),
-        F.col(prefix + CORRUPT).alias(CORRUPT),
+        F.coalesce("title", F.lit("")).alias("title"),
+        F.coalesce("revision.text", F.lit("")).alias("text"),
+        CORRUPT,
     )
 
 
