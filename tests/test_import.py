@@ -141,23 +141,23 @@ def test_dump_import_equals_page_import(spark, store, make_pages, tmp_path, limi
 
 
 @pytest.mark.parametrize("start", [0, 41])
-def test_numbering_is_dense_and_ordered_over_many_partitions(spark, start):
+def test_numbering_is_dense_and_ordered_over_many_partitions(spark, tmp_path, start):
     words = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("word"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        numbered = number_rows(words.repartition(7), "t", start, ["word"])
+        numbered = number_rows(words.repartition(7), str(tmp_path / "a"), start, ["word"])
         parts = numbered.select(F.spark_partition_id()).distinct().count()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert parts > 1
     got = [tuple(row) for row in numbered.orderBy("word").collect()]
     assert [row[0] for row in got] == list(range(start + 1, start + 5001))
-    assert rows_of(number_rows(words.repartition(5), "t"), "id") == sorted(
+    assert rows_of(number_rows(words.repartition(5), str(tmp_path / "b")), "id") == sorted(
         [(n,) for n in range(1, 5001)], key=repr
     )
 
 
-def test_new_words_skips_known_ones_and_repeats(spark):
+def test_new_words_skips_known_ones_and_repeats(spark, tmp_path):
     known = spark.createDataFrame([(4, "b"), (9, "d")], "id long, word string")
     found = spark.createDataFrame([("a",), ("b",), ("c",), ("a",), ("",)], "word string")
-    assert rows_of(new_words(found, known, 9)) == sorted([(10, ""), (11, "a"), (12, "c")], key=repr)
+    assert rows_of(new_words(found, known, str(tmp_path / "words"), 9)) == sorted([(10, ""), (11, "a"), (12, "c")], key=repr)

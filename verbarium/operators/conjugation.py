@@ -100,9 +100,8 @@ def _tense(tense_id: int) -> Column:
 
 def conjugation_table(verb_forms: DataFrame, words: DataFrame, word: str) -> DataFrame:
     """The table of the infinitive that ``word`` is a form of; empty for an unknown word."""
-    # At most one row.
-    target = infinitive_of(verb_forms, words, word).select("inf_id")
-    return conjugation_tables(verb_forms.join(F.broadcast(target), "inf_id"), words)
+    target = infinitive_of(verb_forms, words, word).agg(F.min("inf_id")).scalar()
+    return conjugation_tables(verb_forms.filter(F.col("inf_id") == target), words)
 
 
 def look_up_tables(lookups: DataFrame, verb_forms: DataFrame, words: DataFrame) -> DataFrame:

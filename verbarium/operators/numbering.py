@@ -11,19 +11,21 @@ from verbarium.session import stage
 PLACE_MASK = (1 << 33) - 1
 
 
-def number_rows(df: DataFrame, name: str, start: int = 0, order: list[str] | None = None) -> DataFrame:
+def number_rows(
+    df: DataFrame, path: str, start: int = 0, order: list[str] | None = None
+) -> DataFrame:
     """Add ``id``: start + 1, start + 2, ... over the whole table.
 
     With ``order`` (unique values) the ids follow that order, otherwise they follow the layout
-    of ``df``. Each row's place is written out once with the rows, so every later read sees
-    the same ids whatever executors are lost; only one count per partition is ranked.
+    of ``df``. Each row's place is written out once with the rows, to ``path``, so every later
+    read sees the same ids whatever executors are lost; only one count per partition is ranked.
     """
     laid_out = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
     placed = stage(
         laid_out.withColumn("_part", F.spark_partition_id()).withColumn(
             "_place", F.monotonically_increasing_id().bitwiseAND(F.lit(PLACE_MASK))
         ),
-        name,
+        path,
     )
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))

@@ -59,11 +59,12 @@ def infinitives(verb_forms: DataFrame, words: DataFrame) -> DataFrame:
 
 def infinitive_of(verb_forms: DataFrame, words: DataFrame, word: str) -> DataFrame:
     """``infinitives`` for a single word; at most one row."""
-    # Words are unique, so this side is one row at most.
-    target = words.filter(F.col("word") == word).select(F.col("id").alias("word_id"))
-    chosen = _first_infinitive(verb_forms.join(F.broadcast(target), "word_id"))
+    # As a scalar the id reaches the scan of the facts as a filter.
+    target = words.filter(F.col("word") == word).agg(F.min("id")).scalar()
+    chosen = _first_infinitive(verb_forms.filter(F.col("word_id") == target))
     inf_text = words.select(F.col("id").alias("inf_id"), F.col("word").alias("infinitive"))
-    return chosen.join(inf_text, "inf_id").select(
+    # At most one row is chosen.
+    return F.broadcast(chosen).join(inf_text, "inf_id").select(
         F.lit(word).alias("word"), "infinitive", "inf_id"
     )
 

@@ -15,16 +15,20 @@ from verbarium.operators.numbering import number_rows
 from verbarium.operators.pages import find_page, first_pages
 from verbarium.operators.rules import RULES, RuleSet, conjugate
 from verbarium.schemas import LANGUAGES
+from verbarium.session import work_folder
 from verbarium.sources.dump import good_pages, read_dump
 from verbarium.sources.tables import Store, constant_rows
 
 
 def decode_pages(
-    pages: DataFrame, rules: Mapping[str, RuleSet] = RULES, page_limit: int = -1
+    pages: DataFrame,
+    rules: Mapping[str, RuleSet] = RULES,
+    page_limit: int = -1,
+    path: str | None = None,
 ) -> DataFrame:
-    """Pages to decoded templates, rejected ones included."""
+    """Pages to decoded templates, rejected ones included; see ``conjugate`` for ``path``."""
     content = first_pages(pages, page_limit)
-    return conjugate(templates(content, sorted(rules)), rules)
+    return conjugate(templates(content, sorted(rules)), rules, path)
 
 
 def import_pages(
@@ -49,17 +53,20 @@ def import_pages(
     elif batch == last:
         _, last_word, last_fact = store.progress(before=batch)
 
-    decoded = decode_pages(pages, rules, page_limit)
-    numbered = number_rows(decoded.hint("rebalance"), "decoded", last_fact)
+    work = work_folder(store.spark, store.path)
+    decoded = decode_pages(pages, rules, page_limit, f"{work}/templates")
+    numbered = number_rows(decoded.hint("rebalance"), f"{work}/decoded", last_fact)
 
     fresh_languages = new_languages(rules, store.read("languages", batch))
     if fresh_languages:
         rows = constant_rows(store.spark, fresh_languages, LANGUAGES)
         store.write("languages", rows, batch)
     known = store.read("words", batch)
-    store.write("words", new_words(vocabulary(numbered), known, last_word), batch)
+    fresh_words = new_words(vocabulary(numbered), known, f"{work}/words", last_word)
+    store.write("words", fresh_words, batch)
     facts = encode_facts(numbered, store.words, store.languages, store.tenses)
-    store.write("verb_forms", facts, batch)
+    # Sorted files let a lookup of one infinitive skip most row groups.
+    store.write("verb_forms", facts.sortWithinPartitions("inf_id", "word_id"), batch)
     store.write("rejects", numbered.filter(F.col("status") != "ok"), batch)
     store.finish(batch)
     return batch

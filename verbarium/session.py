@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -23,6 +24,8 @@ def build_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Recording the Python line of every expression costs more than building it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
@@ -44,21 +47,28 @@ def scratch_dir(spark: SparkSession) -> str:
             raise RuntimeError(f"set {SCRATCH_SETTING} to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="verbarium-")
         spark.conf.set(SCRATCH_SETTING, shared)
-    return f"{shared.rstrip('/')}/verbarium/{spark.sparkContext.applicationId}"
+    return f"{shared.rstrip('/')}/verbarium"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the scratch area; no two calls share one."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the scratch area and read it back.
+def work_folder(spark: SparkSession, owner: str) -> str:
+    """The folder in the scratch area that belongs to ``owner``, the same for every session.
+
+    Work that uses it over and over replaces its own intermediate tables, so that they do not
+    pile up.
+    """
+    return f"{scratch_dir(spark)}/{hashlib.sha256(owner.encode()).hexdigest()[:32]}"
+
+
+def stage(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to ``path`` in the scratch area and read it back.
 
     It cuts the lineage: what follows neither repeats the work nor depends on an executor
     that held it.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path, partitionBy=partition_by)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -25,11 +25,16 @@ def constant_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType)
     if not rows:
         nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
         return spark.range(1).filter(F.lit(False)).select(*nulls)
-    marks = ", ".join(f"({', '.join('?' * len(row))})" for row in rows)
-    values = spark.sql(f"SELECT * FROM VALUES {marks}", args=[v for row in rows for v in row])
-    return values.select(
-        *[F.col(c).cast(f.dataType).alias(f.name) for c, f in zip(values.columns, schema.fields)]
-    )
+    values, args = [], {}
+    for n, row in enumerate(rows):
+        cells = []
+        for field, value in zip(schema.fields, row):
+            # Named, as the order of positional markers is not kept in inline tables.
+            args[f"{field.name}{n}"] = value
+            cells.append(f"CAST(:{field.name}{n} AS {field.dataType.simpleString()})")
+        values.append(f"({', '.join(cells)})")
+    names = ", ".join(f"`{name}`" for name in schema.names)
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(values)} AS fixed({names})", args=args)
 
 
 def tenses(spark: SparkSession) -> DataFrame:
