@@ -13,7 +13,7 @@ from verbarium.operators import words as word_queries
 from verbarium.operators.dictionary import vocabulary
 from verbarium.operators.rules import RULES, conjugate
 from verbarium.plans.importer import decode_pages, import_pages
-from verbarium.plans.wikitext_view import wikitext_pages
+from verbarium.plans.wikitext_view import wikitext_pages, wikitext_titles
 from verbarium.session import scratch_path
 from verbarium.sources import dump, tables
 from verbarium.sources.tables import Store
@@ -62,7 +62,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def namespace_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.drop_special_pages(wikitext_pages(spark, sf_dir)).select("page_id", "title")
+    return pages.drop_special_pages(wikitext_titles(spark, sf_dir))
 
 
 def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.first_pages(wikitext_pages(spark, sf_dir), PAGE_LIMIT).select("page_id", "title")
+    return pages.first_pages(wikitext_titles(spark, sf_dir), PAGE_LIMIT)
 
 
 def _content(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,14 +35,27 @@ TEXT_SQL = f"""concat(
   '====Noun====', chr(10), '{{{{nl-noun|n}}}}', chr(10), '==Stub==', chr(10))"""
 
 
+def wikitext_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per order without its text: page_id, title."""
+    return _orders(spark, sf_dir).selectExpr("o_orderkey AS page_id", f"{TITLE_SQL} AS title")
+
+
 def wikitext_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per order: page_id, title, text."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    # As a generator each text is built once, not again in every filter on it.
+    return _orders(spark, sf_dir).selectExpr(
+        "o_orderkey AS page_id", f"{TITLE_SQL} AS title", f"explode(array({TEXT_SQL})) AS text"
+    )
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = "o_orderkey bigint, o_custkey bigint"
+    orders = spark.read.schema(columns).parquet(f"{sf_dir}/orders.parquet")
     # A small table is a single file that one task would read. Large ones pass as they are.
     cores = spark.sparkContext.defaultParallelism
     if orders.rdd.getNumPartitions() < cores:
         orders = orders.repartition(cores)
-    return orders.selectExpr("o_orderkey AS page_id", f"{TITLE_SQL} AS title", f"{TEXT_SQL} AS text")
+    return orders
 
 
 PAGES_SQL = f"SELECT o_orderkey AS page_id, {TITLE_SQL} AS title, {TEXT_SQL} AS text FROM orders"
