@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCRATCH_SETTING = "spark.checkpoint.dir"
 
+# Temporary folders of local sessions that name no shared one.
+_local_folders: dict[str, str] = {}
+
 
 def build_session(
     app: str, master: str | None = None, shuffle_partitions: int | None = None
@@ -45,8 +48,10 @@ def scratch_dir(spark: SparkSession) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {SCRATCH_SETTING} to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="verbarium-")
-        spark.conf.set(SCRATCH_SETTING, shared)
+        session = spark.sparkContext.applicationId
+        if session not in _local_folders:
+            _local_folders[session] = tempfile.mkdtemp(prefix="verbarium-")
+        shared = _local_folders[session]
     return f"{shared.rstrip('/')}/verbarium"
 
 
