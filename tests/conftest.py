@@ -7,12 +7,20 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from verbarium.session import build_session  # noqa: E402
+from pyspark import SparkConf  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
+
+from verbarium.session import SCRATCH_SETTING, build_session  # noqa: E402
 from verbarium.sources.tables import Store  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    # Only where no shared folder is named.
+    settings = SparkConf()
+    if not settings.contains(SCRATCH_SETTING):
+        folder = str(tmp_path_factory.mktemp("scratch"))
+        SparkSession.builder.config(SCRATCH_SETTING, folder)
     session = build_session("tests", "local[4]", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -41,7 +41,7 @@ def test_passwords_are_not_shown(spark, users):
 
 
 def test_first_request_for_a_free_name_succeeds(spark, users):
-    asked = requests_of(spark, (5, "dan"), (3, "dan"), (4, "ann"), (6, "eve"), (7, "Ann"), (8, "dan"))
+    asked = requests_of(spark, (5, "dan"), (3, "dan"), (4, "ann"), (6, "eve"), (7, "Ann"), (8, "dan"), (9, None), (3, "dan"))
     made = accounts.new_accounts(asked, users, tables.roles(spark)).collect()
     assert sorted((r.name, r.role_id, r.target_language_id) for r in made) == [
         ("Ann", 2, None),
@@ -54,20 +54,23 @@ def test_first_request_for_a_free_name_succeeds(spark, users):
         (4, "ann", "user ann already exists"),
         (5, "dan", "user dan already exists"),
         (8, "dan", "user dan already exists"),
+        (9, None, "user without a name"),
     ]
 
 
 def test_registered_accounts_are_stored_once(spark, store):
     first = register(store, requests_of(spark, (1, "ann"), (2, "ann")), 0)
-    assert rows_of(first, "request_id") == [(2,)]
+    assert rows_of(first.rejected, "request_id") == [(2,)]
+    assert rows_of(first.created, "id", "name") == rows_of(store.users, "id", "name")
     second = register(store, requests_of(spark, (3, "ann"), (4, "bob")), 1)
-    assert rows_of(second, "request_id") == [(3,)]
+    assert rows_of(second.rejected, "request_id") == [(3,)]
+    assert rows_of(second.created, "name") == [("bob",)]
     register(store, requests_of(spark, (3, "ann"), (4, "bob")), 1)
     assert rows_of(store.users, "name", "role_id") == [("ann", 2), ("bob", 2)]
 
 
 def test_violations_of_seeded_bad_rows(spark, users):
-    words = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], schemas.WORDS)
+    words = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (3, "b"), (None, "c")], schemas.WORDS)
     languages = spark.createDataFrame(
         [(1, "dutch", None), (2, "french", None), (3, "Dutch", "x"), (4, None, "x")], schemas.LANGUAGES
     )
@@ -80,7 +83,7 @@ def test_violations_of_seeded_bad_rows(spark, users):
             "words": words,
             "languages": languages,
             "verb_forms": facts,
-            "tenses": tables.tenses(spark),
+            "tenses": spark.createDataFrame([(1, "present"), (2, None)], schemas.TENSE),
             "roles": tables.roles(spark),
             "users": users,
         }
@@ -88,6 +91,9 @@ def test_violations_of_seeded_bad_rows(spark, users):
     assert rows_of(found) == sorted(
         [
             ("not null", "words", "word", None, 1),
+            ("not null", "words", "id", None, 1),
+            ("not null", "tenses", "tense", None, 1),
+            ("unique", "words", "id", "3", 2),
             ("not null", "languages", "name", None, 1),
             ("not null", "verb_forms", "num", None, 1),
             ("unique", "words", "word", "a", 2),

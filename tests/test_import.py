@@ -98,12 +98,63 @@ def test_a_batch_that_broke_off_is_replaced(store, make_pages, monkeypatch):
     with pytest.raises(RuntimeError):
         import_pages(store, make_pages((7, "half", LOPEN)))
     monkeypatch.undo()
-    assert store.words.count() == 1
+    # What it left behind is not read, also while other batches are.
+    assert store.words.isEmpty() and store.read_batch("words", 0).count() == 1
     assert import_pages(store, pages) == 0
     assert rows_of(store.words) == [(1, "loop"), (2, "lopen")]
     assert store.verb_forms.count() == 2
 
 
+def test_a_repeat_that_breaks_off_hides_its_batch(store, make_pages, monkeypatch):
+    import_pages(store, make_pages((1, "lopen", LOPEN)))
+    import_pages(store, make_pages((2, "zal", BAD)))
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(importer, "encode_facts", fail)
+    with pytest.raises(RuntimeError):
+        import_pages(store, make_pages((3, "loop", LOOP)), batch=1)
+    monkeypatch.undo()
+    assert store.finished() == [0] and rows_of(store.words) == [(1, "lopen")]
+    assert import_pages(store, make_pages((3, "loop", LOOP)), batch=1) == 1
+    assert rows_of(store.words) == [(1, "lopen"), (2, "loop")]
+
+
+def test_a_repeat_with_fewer_languages_leaves_none_behind(store, make_pages):
+    rules = {**RULES, "english": RULES["dutch"]}
+    import_pages(store, make_pages((1, "lopen", LOPEN)), rules)
+    assert rows_of(store.languages, "name") == [("dutch",), ("english",)]
+    import_pages(store, make_pages((1, "lopen", LOPEN)), batch=0)
+    assert rows_of(store.languages, "name") == [("dutch",)]
+
+
+def test_registry_names_may_be_capitalised(store, make_pages):
+    import_pages(store, make_pages((1, "lopen", LOPEN)), {"Dutch": RULES["dutch"]})
+    assert rows_of(store.languages, "name") == [("dutch",)] and store.verb_forms.count() == 1
+
+
+def test_broken_pages_are_stored_with_their_batch(spark, store, make_pages, tmp_path):
+    path = tmp_path / "dump"
+    write_dump(make_pages((1, "lopen", LOPEN), (2, "loop", LOOP)).coalesce(1), str(path))
+    (file,) = path.glob("part-*")
+    whole = file.read_text()
+    broken = whole.replace("</text>", "</txt>", 1)
+    start = whole.index("  <page>")
+    text = "==Dutch==\n\n===Verb===\n{{nl-verb}}\n a </page> ===Verb=== b"
+    cdata = f"  <page><title>c</title><id>3</id><revision><text><![CDATA[{text}]]></text></revision></page>\n"
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.xml").write_text(broken[:start] + cdata + broken[start:])
+    import_dump(store, str(folder))
+    # The cut page counts with both of its parts.
+    assert store.corrupt.count() == 3
+    assert store.corrupt.filter(F.col("record").contains("<title>lopen</title>")).count() == 1
+    assert rows_of(store.verb_forms.select(F.count("*"))) == [(1,)]
+    import_pages(store, make_pages((2, "loop", LOOP)), batch=0)
+    assert store.corrupt.isEmpty()
+
+
 def test_batches_without_verbs(store, make_pages):
     import_pages(store, make_pages((1, "x", "no verb")))
     assert store.words.isEmpty() and store.verb_forms.isEmpty()
@@ -157,7 +208,7 @@ def test_numbering_is_dense_and_ordered_over_many_partitions(spark, tmp_path, st
     )
 
 
-def test_new_words_skips_known_ones_and_repeats(spark, tmp_path):
+def test_new_words_skips_known_ones(spark, tmp_path):
     known = spark.createDataFrame([(4, "b"), (9, "d")], "id long, word string")
-    found = spark.createDataFrame([("a",), ("b",), ("c",), ("a",), ("",)], "word string")
+    found = spark.createDataFrame([("a",), ("b",), ("c",), ("",)], "word string")
     assert rows_of(new_words(found, known, str(tmp_path / "words"), 9)) == sorted([(10, ""), (11, "a"), (12, "c")], key=repr)

@@ -8,7 +8,6 @@ import re
 
 import pytest
 
-import __spark_entry__ as contract
 from verbarium.plans import catalog
 from verbarium.plans.importer import decode_pages
 from verbarium.sources.dump import good_pages, read_dump
@@ -32,9 +31,9 @@ def large_tables(spark):
 
 
 # Queries whose only row-to-row joins are against one row or a fixed table.
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", [query.__name__ for query in catalog.QUERIES])
 def test_no_python_and_no_pairwise_join(spark, large_tables, name):
-    plan = plan_of(contract.queries()[name](spark, SF_DIR))
+    plan = plan_of(getattr(catalog, name)(spark, SF_DIR))
     for operator in ["Python", "Pandas", "BroadcastNestedLoopJoin", "CartesianProduct"]:
         assert operator not in plan
     # Windows over a whole table appear only over one row per partition or per block of ids.
@@ -46,7 +45,7 @@ def test_no_python_and_no_pairwise_join(spark, large_tables, name):
     "name", ["all_words", "words_by_id", "infinitive_lookups", "lookup_missing", "admin_flag"]
 )
 def test_joins_of_unbounded_tables_are_not_broadcast(spark, large_tables, name):
-    plan = plan_of(contract.queries()[name](spark, SF_DIR))
+    plan = plan_of(getattr(catalog, name)(spark, SF_DIR))
     assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
 
 
@@ -66,3 +65,38 @@ def test_extraction_does_not_shuffle_and_decodes_each_page_once(spark, tmp_path)
     assert "Exchange" not in plan
     assert plan.count("from_xml(") == 1
     assert "StringContains(value,===Verb===)" in plan
+
+
+@pytest.mark.parametrize("name", ["infinitive_lookups", "lookup_missing", "lookup_default"])
+def test_lookups_filter_the_facts_before_they_aggregate(spark, large_tables, name):
+    df = getattr(catalog, name)(spark, SF_DIR)
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    scans = [i for i, line in enumerate(plan) if "Relation" in line and "inf_id" in line or "Relation" in line and "word_id" in line]
+    assert scans
+    for i in scans:
+        above = []
+        level = depth(plan[i])
+        for line in reversed(plan[:i]):
+            if depth(line) < level:
+                level = depth(line)
+                above.append(line)
+        kinds = [line for line in above if "Join" in line or "Aggregate" in line]
+        assert "Join" in kinds[0]
+
+
+def test_a_lookup_opens_few_fact_files(spark, store, make_pages):
+    from tests.test_import import verb_page
+    from verbarium.plans.importer import import_pages
+
+    forms = [(n, f"w{n}", verb_page(f"{{{{nl-verb form of|n=pl|t=past|m=ind|i{n}}}}}")) for n in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        import_pages(store, make_pages(*forms))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    facts = store.verb_forms.selectExpr("input_file_name() AS file", "inf_id").groupBy("file")
+    ranges = sorted((r["low"], r["high"]) for r in facts.agg({"inf_id": "min"}).join(facts.agg({"inf_id": "max"}), "file")
+                    .toDF("file", "low", "high").collect())
+    assert len(ranges) > 1
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))

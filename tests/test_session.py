@@ -19,11 +19,10 @@ def test_scratch_tables_go_where_the_cluster_says():
     assert scratch_dir(session("yarn", checkpoint="hdfs:///x/")) == "hdfs:///x/verbarium"
 
 
-def test_without_a_shared_folder_only_a_local_session_goes_on():
-    with pytest.raises(RuntimeError):
-        scratch_dir(session("spark://host:7077"))
-    local = session("local[2]")
-    assert scratch_dir(local) == scratch_dir(local)
+def test_without_a_shared_folder_there_is_none():
+    for master in ("spark://host:7077", "local[2]"):
+        with pytest.raises(RuntimeError):
+            scratch_dir(session(master))
 
 
 def test_paths(spark):

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 import time
 
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from verbarium.operators import conjugation, quality, words  # noqa: E402
 from verbarium.plans.importer import import_dump  # noqa: E402
-from verbarium.session import build_session  # noqa: E402
+from verbarium.session import build_session, scratch_path  # noqa: E402
 from verbarium.sources.dump import good_pages, read_dump, write_dump  # noqa: E402
 from verbarium.sources.tables import Store  # noqa: E402
 
@@ -47,8 +46,8 @@ def generated_pages(spark, count: int):
 
 def main() -> None:
     count = int(sys.argv[1]) if len(sys.argv) > 1 else 250_000
-    folder = sys.argv[2] if len(sys.argv) > 2 else tempfile.mkdtemp(prefix="scale-")
     spark = build_session("scale", "local[8]", 64)
+    folder = sys.argv[2] if len(sys.argv) > 2 else scratch_path(spark, "scale").removeprefix("file:")
     spark.sparkContext.setLogLevel("ERROR")
 
     def timed(name: str, work) -> None:
@@ -73,9 +72,7 @@ def main() -> None:
     timed("all words", lambda: consume(words.all_words(facts, texts)))
     timed("infinitives", lambda: consume(words.infinitives(facts, texts)))
     timed("tables", lambda: consume(conjugation.conjugation_tables(facts, texts)))
-    tables = conjugation.conjugation_tables(facts, texts, row_forms=10_000)
-    hot = tables.filter(F.col("Infinitive") == "hot").select(F.size("Present.First").alias("n"))
-    timed("hot table", lambda: hot.agg(F.count("*"), F.sum("n"), F.max("n")).first())
+    timed("slots", lambda: consume(conjugation.conjugation_slots(facts, texts)))
     stored = {"words": texts, "verb_forms": facts, "languages": store.languages, "tenses": store.tenses}
     timed("violations", lambda: quality.violations(stored).count())
     spark.stop()

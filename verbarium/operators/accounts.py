@@ -42,10 +42,12 @@ def admin_flags(asked: DataFrame, users: DataFrame, roles: DataFrame) -> DataFra
 def accepted_requests(requests: DataFrame, users: DataFrame) -> DataFrame:
     """(name, request_id) of the requests that succeed: the first for a name not in use.
 
-    The first is found by a minimum, which combines before the shuffle, so a name asked for
+    A request without a name never succeeds. Rows that repeat both name and request_id are one
+    request. The first is found by a minimum, which combines before the shuffle, so a name asked for
     very often costs no more than another.
     """
-    first = requests.groupBy("name").agg(F.min("request_id").alias("request_id"))
+    named = requests.filter(F.col("name").isNotNull())
+    first = named.groupBy("name").agg(F.min("request_id").alias("request_id"))
     return first.join(users.select("name"), "name", "left_anti")
 
 
@@ -64,8 +66,11 @@ def new_accounts(requests: DataFrame, users: DataFrame, roles: DataFrame) -> Dat
 def rejected_requests(requests: DataFrame, users: DataFrame) -> DataFrame:
     """The other requests, with the error message."""
     accepted = accepted_requests(requests, users)
+    # A null name has no equal among the accepted, so it is always rejected.
     return requests.join(accepted, ["name", "request_id"], "left_anti").select(
         "request_id",
         "name",
-        F.concat(F.lit("user "), F.col("name"), F.lit(" already exists")).alias("error"),
+        F.when(F.col("name").isNull(), "user without a name")
+        .otherwise(F.concat(F.lit("user "), F.col("name"), F.lit(" already exists")))
+        .alias("error"),
     )

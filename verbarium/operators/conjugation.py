@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbarium.functions.inflection import SLOTS, has_bit, slot_mask
-from verbarium.operators.words import infinitive_of, infinitives, usable_lookups
+from verbarium.operators.words import asked_infinitives, infinitive_of, usable_lookups
 from verbarium.schemas import PAST_ID, PRESENT_ID
 
 TENSE_FIELDS = {"Present": PRESENT_ID, "Past": PAST_ID}
-# Forms that one row of a conjugation table aims to hold. A verb has some tens of forms;
-# one with more than this comes in several rows.
-ROW_FORMS = 100_000
 ROW_LABELS = {
     "First": "1st person singular",
     "Second": "2nd person singular",
@@ -48,43 +45,42 @@ def counted_forms(verb_forms: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def conjugation_tables(
-    verb_forms: DataFrame,
-    words: DataFrame,
-    by_language: bool = False,
-    row_forms: int = ROW_FORMS,
-) -> DataFrame:
-    """(inf_id, part, Infinitive, Present, Past) with a sorted list of forms per slot.
+def conjugation_slots(verb_forms: DataFrame, words: DataFrame) -> DataFrame:
+    """(inf_id, infinitive, tense, slot, form, copies): every filled slot as a row of its own.
 
-    Repeated forms are kept and an empty slot is an empty list. Usually an infinitive is one
-    row with part 0. An infinitive with more than ``row_forms`` forms is spread by hash over
-    as many parts as that needs, so no task ever gathers an unbounded group; the parts
-    together hold all of its forms. ``by_language`` keeps equal infinitives of different
-    languages apart.
+    Nothing is gathered, and a hot infinitive is spread over all tasks.
     """
-    keys = ["lang_id", "inf_id"] if by_language else ["inf_id"]
-    counted = counted_forms(verb_forms, keys)
-    # Nearly always empty; the adaptive planner then drops the join or broadcasts the few rows.
-    large = (
-        counted.groupBy(*keys)
-        .agg(F.sum("copies").alias("total"))
-        .filter(F.col("total") > row_forms)
-        .select(*keys, F.ceil(F.col("total") / row_forms).alias("parts"))
-    )
-    runs = F.sequence(F.lit(0), ((F.col("copies") - 1) / row_forms).cast("int"))
-    spread = F.pmod(F.xxhash64("word_id", "tense_id", "mask", "run"), F.col("parts"))
-    entries = (
-        counted.withColumn("run", F.explode(runs))
-        .withColumn("copies", F.least(F.lit(row_forms), F.col("copies") - F.col("run") * row_forms))
-        .join(large, keys, "left")
-        .withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(spread).cast("int"))
+    counted = counted_forms(verb_forms, ["inf_id"])
+    bits = F.array(*[F.struct(F.lit(n).alias("slot"), F.lit(b).alias("bit")) for n, b in SLOTS.items()])
+    filled = F.filter(bits, lambda x: F.col("mask").bitwiseAND(x["bit"]) != 0)
+    names = F.create_map(*[F.lit(x) for name, n in TENSE_FIELDS.items() for x in (n, name)])
+    rows = counted.select(
+        "inf_id", "word_id", F.element_at(names, F.col("tense_id")).alias("tense"), "copies", F.explode(filled).alias("at")
+    ).filter(F.col("tense").isNotNull())
+    # Forms that share a slot through different masks are one row.
+    rows = rows.groupBy("inf_id", "tense", F.col("at.slot").alias("slot"), "word_id").agg(F.sum("copies").alias("copies"))
+    form_text = words.select(F.col("id").alias("word_id"), F.col("word").alias("form"))
+    inf_text = words.select(F.col("id").alias("inf_id"), F.col("word").alias("infinitive"))
+    return rows.join(form_text, "word_id").join(inf_text, "inf_id").select(
+        "inf_id", "infinitive", "tense", "slot", "form", "copies"
     )
+
+
+def conjugation_tables(verb_forms: DataFrame, words: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(inf_id, Infinitive, Present, Past): one row per infinitive, a sorted list per slot.
+
+    Repeated forms are kept and an empty slot is an empty list. The table of one infinitive is
+    one answer, so it must fit into a row; ``conjugation_slots`` has the same content without
+    that bound. ``keys`` names further columns that keep tables apart, such as lang_id.
+    """
+    keys = [*(keys or []), "inf_id"]
+    counted = counted_forms(verb_forms, keys)
     form_text = words.select(F.col("id").alias("word_id"), F.col("word").alias("form"))
-    tables = entries.join(form_text, "word_id").groupBy(*keys, "part").agg(
+    tables = counted.join(form_text, "word_id").groupBy(*keys).agg(
         *[_tense(tense_id).alias(field) for field, tense_id in TENSE_FIELDS.items()]
     )
     inf_text = words.select(F.col("id").alias("inf_id"), F.col("word").alias("Infinitive"))
-    return tables.join(inf_text, "inf_id").select(*keys, "part", "Infinitive", *TENSE_FIELDS)
+    return tables.join(inf_text, "inf_id").select(*keys, "Infinitive", *TENSE_FIELDS)
 
 
 def _tense(tense_id: int) -> Column:
@@ -105,19 +101,18 @@ def conjugation_table(verb_forms: DataFrame, words: DataFrame, word: str) -> Dat
 
 
 def look_up_tables(lookups: DataFrame, verb_forms: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, part, Infinitive, Present, Past) for each lookup; a blank table for unknown words.
+    """(word, Infinitive, Present, Past) for each lookup; a blank table for unknown words.
 
-    Tables are built only for the infinitives asked for.
+    Facts are read for the words asked for, then for their infinitives, and only those are
+    aggregated.
     """
     asked = usable_lookups(lookups)
-    known = asked.select("word").distinct().join(infinitives(verb_forms, words), "word")
-    wanted = verb_forms.join(known.select("inf_id").distinct(), "inf_id", "left_semi")
-    tables = conjugation_tables(wanted, words)
-    found = known.select("word", "inf_id").join(tables, "inf_id").drop("inf_id")
+    known = asked_infinitives(asked, verb_forms, words).select(F.col("word").alias("asked"), "inf_id")
+    tables = conjugation_tables(verb_forms.join(known, "inf_id"), words, ["asked"])
+    found = tables.drop("inf_id").withColumnRenamed("asked", "word")
     answered = asked.join(found, "word", "left")
     return answered.select(
         *lookups.columns,
-        F.coalesce("part", F.lit(0)).alias("part"),
         F.coalesce("Infinitive", F.lit("")).alias("Infinitive"),
         *[
             F.struct(

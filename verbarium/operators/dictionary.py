@@ -21,15 +21,13 @@ def vocabulary(decoded: DataFrame) -> DataFrame:
 
 
 def new_words(found: DataFrame, known: DataFrame, path: str, last_id: int) -> DataFrame:
-    """Rows (id, word) for the words of ``found`` that ``known`` lacks.
+    """Rows (id, word) for the words of ``found``, each once, that ``known`` lacks.
 
     Known words keep their ids; new ones follow ``last_id`` in word order. ``path`` takes the
     intermediate table.
     """
-    distinct = found.select("word").distinct()
-    # A small ``found`` is broadcast here, and a large dictionary need not be shuffled for it.
-    met = known.select("word").join(distinct, "word", "left_semi")
-    return number_rows(distinct.join(met, "word", "left_anti"), path, last_id, ["word"])
+    fresh = found.select("word").join(known.select("word"), "word", "left_anti")
+    return number_rows(fresh, path, last_id, ["word"])
 
 
 def new_languages(names: Iterable[str], known: DataFrame) -> list[tuple[int, str, None]]:

@@ -28,8 +28,8 @@ def encode_facts(
     """Replace word, infinitive, language and tense by their ids.
 
     The word joins are left to the optimizer: it broadcasts a dictionary that is measured to
-    be small and otherwise shuffles, splitting the partitions of hot infinitives. Languages
-    and tenses are bounded by the registry and by grammar.
+    be small and otherwise shuffles, splitting the partitions of hot infinitives. So is the one
+    with the languages. Tenses are bounded by grammar.
     """
     forms = text_forms(decoded)
     form_ids = words.select(F.col("id").alias("word_id"), "word")
@@ -37,7 +37,7 @@ def encode_facts(
     language_ids = languages.select(F.col("id").alias("lang_id"), F.col("name").alias("language"))
     tense_ids = tenses.select(F.col("id").alias("tense_id"), "tense")
     encoded = (
-        forms.join(F.broadcast(language_ids), "language")
+        forms.join(language_ids, "language")
         .join(F.broadcast(tense_ids), "tense")
         .join(form_ids, "word")
         .join(inf_ids, "infinitive")

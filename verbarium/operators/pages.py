@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbarium.functions import wikitext
-
-# Page ids are counted per block of 2 ** BLOCK_BITS ids, so a ranking never sees more.
-BLOCK_BITS = 20
+from verbarium.operators.numbering import number_rows
+from verbarium.session import scratch_path, stage
 
 
 def drop_special_pages(pages: DataFrame) -> DataFrame:
@@ -25,34 +24,24 @@ def find_page(pages: DataFrame, title: str, early_stop: bool = False) -> DataFra
     return hits.limit(1) if early_stop else hits.orderBy("page_id").limit(1)
 
 
-def first_pages(pages: DataFrame, limit: int = -1) -> DataFrame:
+def first_pages(pages: DataFrame, limit: int = -1, path: str | None = None) -> DataFrame:
     """The first ``limit`` non-special pages by page id, or all of them for -1.
 
-    Page ids must be unique. The cut-off id comes from counts per id block and a ranking
-    inside the one block where the limit falls, so that no task sorts all ids and the texts
-    are not moved at all.
+    Pages with the same id go by title, those without an id come last. Rows that repeat both
+    id and title are one page, and all of them are returned. The ids and titles are written
+    out once, to ``path`` or to a new place in the scratch area, and numbered by range; so no
+    task sorts all of them, and the texts are read once and not moved at all.
     """
     if limit == 0 or limit < -1:
         raise ValueError("limit must be -1 or at least 1")
     content = drop_special_pages(pages)
     if limit == -1:
         return content
-    return content.filter(F.col("page_id") <= _cutoff(content, limit))
-
-
-def _cutoff(pages: DataFrame, limit: int) -> Column:
-    ids = pages.select("page_id", F.shiftright("page_id", BLOCK_BITS).alias("block"))
-    counts = ids.groupBy("block").agg(F.count("*").alias("n"), F.max("page_id").alias("last"))
-    # One row per block of ids: small enough for the single task of this window.
-    running = counts.withColumn("upto", F.sum("n").over(Window.orderBy("block")))
-    edge = running.filter((F.col("upto") >= limit) & (F.col("upto") - F.col("n") < limit)).select(
-        "block", (F.lit(limit) - F.col("upto") + F.col("n")).alias("need")
-    )
-    # ``edge`` has at most one row.
-    inside = ids.join(F.broadcast(edge), "block").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("block").orderBy("page_id"))
-    )
-    found = inside.filter(F.col("rank") == F.col("need")).agg(F.max("page_id").alias("cut"))
-    whole = counts.agg(F.max("last").alias("cut"))
+    path = path or scratch_path(pages.sparkSession, "page-ids")
+    missing = F.col("page_id").isNull()
+    keys = stage(content.select(missing.alias("missing"), "page_id", "title"), f"{path}/keys").distinct()
+    numbered = number_rows(keys, f"{path}/numbered", order=["missing", "page_id", "title"])
+    last = numbered.filter(F.col("id") == limit).select(F.struct("missing", "page_id", "title"))
+    own = F.struct(missing.alias("missing"), "page_id", "title")
     # Fewer pages than the limit: everything passes.
-    return F.coalesce(found.scalar(), whole.scalar())
+    return content.filter(F.coalesce(own <= last.scalar(), F.lit(True)))

@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbarium import schemas
 
-REPORT = ["constraint", "table", "column", "value", "n_rows"]
-
 
 def null_violations(rows: DataFrame, table: str, columns: list[str]) -> DataFrame:
     """(table, column, n_rows) for required columns with nulls; one pass over the table."""
@@ -56,31 +54,45 @@ def orphans(rows: DataFrame, table: str, column: str, parents: DataFrame, key: s
     )
 
 
+def value_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n_rows) for every value of ``columns``, null included; one pass.
+
+    Counts combine before the shuffle, so a value that very many rows share weighs no more
+    than another.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    return rows.select(F.inline(cells)).groupBy("column", "value").agg(F.count("*").alias("n_rows"))
+
+
 def violations(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """All violations of the constraints on the given tables, one row each."""
+    """All violations of the constraints on the given tables, one row each.
+
+    Every table is read and shuffled once: its value counts serve the null, uniqueness and
+    reference reports, and the references of others to it.
+    """
+    foreign = {table: [c for t, c in schemas.FOREIGN if t == table] for table in tables}
+    counts = {}
+    for table, rows in tables.items():
+        columns = [*schemas.REQUIRED.get(table, []), *schemas.UNIQUE.get(table, []), *foreign[table]]
+        if columns:
+            counts[table] = value_counts(rows, list(dict.fromkeys(columns)))
     reports = []
-    for table, columns in schemas.REQUIRED.items():
-        if table in tables:
-            report = null_violations(tables[table], table, columns)
-            reports.append(_report("not null", report.withColumn("value", F.lit(None))))
-    for table, columns in schemas.UNIQUE.items():
-        for column in columns if table in tables else []:
-            reports.append(_report("unique", duplicate_keys(tables[table], table, column)))
-    for (table, column), parent in schemas.FOREIGN.items():
-        if table in tables and parent in tables:
-            found = orphans(tables[table], table, column, tables[parent], "id")
-            reports.append(_report("reference", found))
+    for table, counted in counts.items():
+        missing = F.col("value").isNull() & F.col("column").isin(schemas.REQUIRED.get(table, []))
+        repeated = F.col("value").isNotNull() & (F.col("n_rows") > 1) & F.col("column").isin(schemas.UNIQUE.get(table, []))
+        kinds = F.when(missing, "not null").when(repeated, "unique")
+        reports.append(_report(kinds, table, counted.filter(missing | repeated)))
+        for column in foreign[table]:
+            parent = schemas.FOREIGN[table, column]
+            if parent in counts:
+                used = counted.filter((F.col("column") == column) & F.col("value").isNotNull())
+                keys = counts[parent].filter(F.col("column") == "id").select("value")
+                reports.append(_report(F.lit("reference"), table, used.join(keys, "value", "left_anti")))
     return reduce(DataFrame.unionByName, reports)
 
 
-def _report(constraint: str, report: DataFrame) -> DataFrame:
-    return report.select(
-        F.lit(constraint).alias("constraint"),
-        "table",
-        "column",
-        F.col("value").cast("string").alias("value"),
-        "n_rows",
-    )
+def _report(constraint: Column, table: str, rows: DataFrame) -> DataFrame:
+    return rows.select(constraint.alias("constraint"), F.lit(table).alias("table"), "column", "value", "n_rows")
 
 
 def status_counts(decoded: DataFrame) -> DataFrame:

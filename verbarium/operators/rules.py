@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbarium.operators.dutch import dutch_rules
-from verbarium.session import scratch_path, stage
 
 # A rule set turns the templates of its language into decoded rows. It may drop rows or give
 # several for one, but must return the columns that ``dutch_rules`` returns.
@@ -18,20 +17,19 @@ RuleSet = Callable[[DataFrame], DataFrame]
 RULES: dict[str, RuleSet] = {"dutch": dutch_rules}
 
 
-def conjugate(
-    templates: DataFrame, rules: Mapping[str, RuleSet] = RULES, path: str | None = None
-) -> DataFrame:
+def by_lower_name(rules: Mapping[str, RuleSet]) -> dict[str, RuleSet]:
+    """The registry with lower-case names, as sections and dictionary have them."""
+    return {name.lower(): rule for name, rule in rules.items()}
+
+
+def conjugate(templates: DataFrame, rules: Mapping[str, RuleSet] = RULES) -> DataFrame:
     """Apply each language's rule set to its templates; other languages yield nothing.
 
-    With several languages the templates are written out once, a folder per language, so that
-    each rule set reads its own rows and the pages are not scanned again for every language.
-    They go to ``path``, or to a new place in the scratch area.
+    Every language reads ``templates`` anew; a caller with several languages stages them.
     """
     if not rules:
         return dutch_rules(templates).limit(0)
-    if len(rules) > 1:
-        known = templates.filter(F.col("language").isin(list(rules)))
-        path = path or scratch_path(templates.sparkSession, "templates")
-        templates = stage(known.hint("rebalance", "language"), path, ["language"])
-    decoded = [rule(templates.filter(F.col("language") == name)) for name, rule in rules.items()]
+    decoded = [
+        rule(templates.filter(F.col("language") == name)) for name, rule in by_lower_name(rules).items()
+    ]
     return reduce(DataFrame.unionByName, decoded)

@@ -74,17 +74,37 @@ def usable_lookups(lookups: DataFrame) -> DataFrame:
     return lookups.filter(F.length("word") > 0)
 
 
+def _asked_ids(lookups: DataFrame, words: DataFrame) -> DataFrame:
+    """(word_id, word) of the different words asked for."""
+    asked = lookups.select("word").distinct()
+    return words.join(asked, "word").select(F.col("id").alias("word_id"), "word")
+
+
+def asked_infinitives(lookups: DataFrame, verb_forms: DataFrame, words: DataFrame) -> DataFrame:
+    """``infinitives`` for the words asked for.
+
+    Only their facts are aggregated: the join with what is asked stands below the aggregation,
+    and few words reach the scan of the facts as a filter.
+    """
+    ids = _asked_ids(lookups, words)
+    facts = verb_forms.join(ids.select("word_id"), "word_id", "left_semi")
+    inf_text = words.select(F.col("id").alias("inf_id"), F.col("word").alias("infinitive"))
+    chosen = _first_infinitive(facts).join(ids, "word_id")
+    return chosen.join(inf_text, "inf_id").select("word", "infinitive", "inf_id")
+
+
 def look_up_infinitives(lookups: DataFrame, verb_forms: DataFrame, words: DataFrame) -> DataFrame:
     """Each lookup with its word's infinitive; lookups of unknown words are absent."""
-    return usable_lookups(lookups).join(infinitives(verb_forms, words), "word")
+    asked = usable_lookups(lookups)
+    return asked.join(asked_infinitives(asked, verb_forms, words), "word")
 
 
 def missing_words(lookups: DataFrame, verb_forms: DataFrame, words: DataFrame) -> DataFrame:
     """Lookups whose word is no verb form, with the error message."""
-    form_ids = verb_forms.select(F.col("word_id").alias("id")).distinct()
-    forms = words.join(form_ids, "id", "left_semi").select("word")
-    return (
-        usable_lookups(lookups)
-        .join(forms, "word", "left_anti")
-        .withColumn("error", F.concat(F.lit("word "), F.col("word"), F.lit(" does not exist")))
+    asked = usable_lookups(lookups)
+    ids = _asked_ids(asked, words)
+    used = verb_forms.join(ids.select("word_id"), "word_id", "left_semi").select("word_id").distinct()
+    forms = ids.join(used, "word_id", "left_semi").select("word")
+    return asked.join(forms, "word", "left_anti").withColumn(
+        "error", F.concat(F.lit("word "), F.col("word"), F.lit(" does not exist"))
     )

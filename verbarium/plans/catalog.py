@@ -12,9 +12,9 @@ from verbarium.operators import accounts, conjugation, extraction, facts, pages,
 from verbarium.operators import words as word_queries
 from verbarium.operators.dictionary import vocabulary
 from verbarium.operators.rules import RULES, conjugate
-from verbarium.plans.importer import decode_pages, import_pages
+from verbarium.plans.importer import decode_pages, import_dump, import_pages
 from verbarium.plans.wikitext_view import wikitext_pages, wikitext_titles
-from verbarium.session import scratch_path
+from verbarium.session import scratch_path, stage
 from verbarium.sources import dump, tables
 from verbarium.sources.tables import Store
 from verbarium.streaming.incremental import incremental_import
@@ -30,6 +30,12 @@ LANGUAGE_ID = 3
 USER_ID = "7"
 ADMIN_SEGMENT = "MACHINERY"
 
+# Two languages that share rules, so that a form may belong to both.
+REGISTRY = {"Dutch": RULES["dutch"], "flemish": RULES["dutch"]}
+# Every such page of the dump of ``corrupt_pages`` is broken.
+BROKEN_EVERY = 17
+EARLY_TITLE = "page 7"
+
 _stores: dict[tuple[str, str], Store] = {}
 _dumps: dict[tuple[str, str, str], str] = {}
 
@@ -39,7 +45,7 @@ def store_for(spark: SparkSession, sf_dir: str) -> Store:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stores:
         store = Store(spark, scratch_path(spark, "store"))
-        import_pages(store, wikitext_pages(spark, sf_dir))
+        import_pages(store, wikitext_pages(spark, sf_dir), REGISTRY)
         _stores[key] = store
     return _stores[key]
 
@@ -69,6 +75,12 @@ def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.find_page(wikitext_pages(spark, sf_dir), PAGE_TITLE)
 
 
+def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page by its title, which no other page has, ending the scan where it is found."""
+    titles = wikitext_titles(spark, sf_dir).selectExpr("page_id", "concat('page ', page_id) AS title")
+    return pages.find_page(titles, EARLY_TITLE, early_stop=True)
+
+
 def page_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.first_pages(wikitext_titles(spark, sf_dir), PAGE_LIMIT)
 
@@ -94,11 +106,11 @@ def supported_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_pages(wikitext_pages(spark, sf_dir))
+    return decode_pages(wikitext_pages(spark, sf_dir), REGISTRY)
 
 
 def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.status_counts(decode_pages(wikitext_pages(spark, sf_dir)))
+    return quality.status_counts(decode_pages(wikitext_pages(spark, sf_dir), REGISTRY))
 
 
 def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +118,7 @@ def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verb_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.text_forms(decode_pages(wikitext_pages(spark, sf_dir)))
+    return facts.text_forms(decode_pages(wikitext_pages(spark, sf_dir), REGISTRY))
 
 
 def rule_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +136,7 @@ def rule_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rules = {"english": verbatim, **RULES}
     found = extraction.templates(_content(spark, sf_dir), sorted(rules))
+    found = stage(found, scratch_path(spark, "templates"), ["language"])
     decoded = conjugate(found, rules)
     return decoded.groupBy("language", "status").agg(F.count("*").alias("n"))
 
@@ -132,7 +145,7 @@ def rule_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary(decode_pages(wikitext_pages(spark, sf_dir)))
+    return vocabulary(decode_pages(wikitext_pages(spark, sf_dir), REGISTRY))
 
 
 def word_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +244,12 @@ def _slots_as_text(tables_: DataFrame, keep: list[str]) -> DataFrame:
 
 def conjugation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables_ = _tables(spark, sf_dir).withColumnRenamed("Infinitive", "infinitive")
-    return _slots_as_text(tables_, ["inf_id", "part", "infinitive"])
+    return _slots_as_text(tables_, ["inf_id", "infinitive"])
+
+
+def conjugation_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = store_for(spark, sf_dir)
+    return conjugation.conjugation_slots(store.verb_forms, store.words)
 
 
 def conjugation_of_word(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +269,7 @@ def conjugation_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conjugation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.as_json(_tables(spark, sf_dir).drop("part"), keep=["inf_id"])
+    return results.as_json(_tables(spark, sf_dir), keep=["inf_id"])
 
 
 def person_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,6 +308,14 @@ def language_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounts.by_id(_languages(spark, sf_dir), LANGUAGE_ID)
 
 
+def languages_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.as_json(_languages(spark, sf_dir))
+
+
+def words_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.as_json(all_words(spark, sf_dir))
+
+
 USER_SQL = [
     "CAST(c_custkey AS STRING) AS id",
     f"CASE WHEN c_mktsegment = '{ADMIN_SEGMENT}' THEN 1 ELSE 2 END AS role_id",
@@ -311,6 +337,10 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounts.public_users(_users(spark, sf_dir))
 
 
+def users_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.as_json(results.documented_users(_users(spark, sf_dir)))
+
+
 def user_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounts.user_by_id(_users(spark, sf_dir), USER_ID)
 
@@ -321,7 +351,7 @@ def admin_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounts.admin_flags(asked, _users(spark, sf_dir), tables.roles(spark))
 
 
-REQUEST_SQL = """CASE WHEN o_orderpriority = '5-LOW'
+REQUEST_SQL = """CASE WHEN o_orderkey % 89 = 7 THEN NULL WHEN o_orderpriority = '5-LOW'
   THEN concat('Customer#', lpad(CAST(o_custkey AS STRING), 9, '0'))
   ELSE concat('new#', CAST(o_custkey AS STRING)) END AS name"""
 
@@ -354,14 +384,50 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def null_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = decode_pages(wikitext_pages(spark, sf_dir))
+    decoded = decode_pages(wikitext_pages(spark, sf_dir), REGISTRY)
     return quality.null_violations(
         decoded, "decoded", ["title", "template", "infinitive", "tense", "num", "person"]
     )
 
 
+# Rows that break constraints, derived from all rows of the tables.
+BAD_USER_SQL = [
+    "CASE WHEN c_custkey % 31 = 3 THEN NULL WHEN c_custkey % 29 = 5 THEN '5' ELSE CAST(c_custkey AS STRING) END AS id",
+    "CASE WHEN c_custkey % 23 = 2 THEN NULL WHEN c_custkey % 19 = 1 THEN 7 ELSE 2 END AS role_id",
+    "CASE WHEN c_custkey % 37 = 4 THEN NULL ELSE concat('name', CAST(c_custkey % 700 AS STRING)) END AS name",
+    "c_nationkey AS target_language_id",
+]
+BAD_FORM_SQL = [
+    "l_orderkey AS id",
+    "CASE WHEN l_linenumber = 3 THEN NULL ELSE l_linenumber END AS lang_id",
+    "CAST(l_partkey AS BIGINT) AS word_id",
+    "CAST(l_suppkey AS BIGINT) AS inf_id",
+    "l_linenumber AS tense_id",
+    "CASE WHEN l_returnflag = 'R' THEN NULL ELSE 1 END AS num",
+]
+BAD_WORD_SQL = [
+    "CASE WHEN p_partkey % 41 = 6 THEN NULL ELSE CAST(p_partkey AS BIGINT) END AS id",
+    "p_name AS word",
+]
+
+
 def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All constraints; only the users' languages, which the store lacks, violate one."""
+    """All constraints over tables in which nulls, repeats and lost references occur."""
+    users_ = _table(spark, sf_dir, "customer").selectExpr(*BAD_USER_SQL, "current_timestamp() AS created_at")
+    return quality.violations(
+        {
+            "languages": _languages(spark, sf_dir),
+            "words": _table(spark, sf_dir, "part").selectExpr(*BAD_WORD_SQL),
+            "tenses": tables.tenses(spark),
+            "roles": tables.roles(spark),
+            "verb_forms": _table(spark, sf_dir, "lineitem").selectExpr(*BAD_FORM_SQL),
+            "users": users_,
+        }
+    )
+
+
+def store_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the imported store; only the users' languages, which it lacks, are missing."""
     store = store_for(spark, sf_dir)
     return quality.violations(
         {
@@ -393,6 +459,22 @@ def dump_scan_bz2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dump.good_pages(dump.read_dump(spark, dump_for(spark, sf_dir, "bzip2")))
 
 
+def corrupt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The broken pages that an import of a dump has stored, by the id in their raw text."""
+    key = (spark.sparkContext.applicationId, f"broken {sf_dir}")
+    if key not in _stores:
+        store = Store(spark, scratch_path(spark, "broken-store"))
+        path = scratch_path(spark, "broken-dump")
+        xml = dump.page_xml(wikitext_pages(spark, sf_dir))
+        broken = F.replace("value", F.lit("</text>"), F.lit("</txt>"))
+        lines = xml.select(F.when(F.col("page_id") % BROKEN_EVERY == 0, broken).otherwise(F.col("value")).alias("value"))
+        lines.write.text(path)
+        import_dump(store, path, REGISTRY)
+        _stores[key] = store
+    found = F.regexp_extract("record", "<id>([0-9]+)</id>", 1).cast("long")
+    return _stores[key].corrupt.select(found.alias("page_id"))
+
+
 def incremental_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms and infinitives after a streamed import of the dump, one file per micro-batch."""
     key = (spark.sparkContext.applicationId, f"stream {sf_dir}")
@@ -402,7 +484,7 @@ def incremental_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         # Several files, so that later batches meet words that earlier ones brought.
         path = scratch_path(spark, "arrivals")
         dump.write_dump(wikitext_pages(spark, sf_dir).repartition(3, "title"), path)
-        incremental_import(store, path, checkpoint, max_files=1).awaitTermination()
+        incremental_import(store, path, checkpoint, REGISTRY, max_files=1).awaitTermination()
         _stores[key] = store
     store = _stores[key]
     form = store.words.select(F.col("id").alias("word_id"), "word")
@@ -417,6 +499,7 @@ def incremental_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: list[Query] = [
     namespace_filter,
     page_lookup,
+    early_stop,
     page_limit,
     language_sections,
     verb_sections,
@@ -440,14 +523,18 @@ QUERIES: list[Query] = [
     infinitive_lookups,
     lookup_missing,
     conjugation_table,
+    conjugation_slots,
     conjugation_of_word,
     conjugation_flat,
     conjugation_json,
     person_slots,
     lookup_default,
     languages,
+    languages_json,
+    words_json,
     language_by_id,
     users,
+    users_json,
     user_by_id,
     admin_flag,
     new_accounts,
@@ -456,8 +543,10 @@ QUERIES: list[Query] = [
     orphans,
     null_violations,
     constraint_report,
+    store_constraints,
     empty_result,
     dump_scan,
     dump_scan_bz2,
+    corrupt_pages,
     incremental_forms,
 ]

@@ -13,22 +13,20 @@ from verbarium.operators.extraction import templates
 from verbarium.operators.facts import encode_facts
 from verbarium.operators.numbering import number_rows
 from verbarium.operators.pages import find_page, first_pages
-from verbarium.operators.rules import RULES, RuleSet, conjugate
+from verbarium.operators.rules import RULES, RuleSet, by_lower_name, conjugate
+from verbarium.schemas import CORRUPT as CORRUPT_TABLE
 from verbarium.schemas import LANGUAGES
-from verbarium.session import work_folder
-from verbarium.sources.dump import good_pages, read_dump
+from verbarium.session import stage, work_folder
+from verbarium.sources.dump import CORRUPT, corrupt_pages, good_pages, read_dump
 from verbarium.sources.tables import Store, constant_rows
 
 
 def decode_pages(
-    pages: DataFrame,
-    rules: Mapping[str, RuleSet] = RULES,
-    page_limit: int = -1,
-    path: str | None = None,
+    pages: DataFrame, rules: Mapping[str, RuleSet] = RULES, page_limit: int = -1, path: str | None = None
 ) -> DataFrame:
-    """Pages to decoded templates, rejected ones included; see ``conjugate`` for ``path``."""
-    content = first_pages(pages, page_limit)
-    return conjugate(templates(content, sorted(rules)), rules, path)
+    """Pages to decoded templates, rejected ones included; see ``first_pages`` for ``path``."""
+    content = first_pages(pages, page_limit, path)
+    return conjugate(templates(content, sorted(by_lower_name(rules))), rules)
 
 
 def import_pages(
@@ -37,14 +35,17 @@ def import_pages(
     rules: Mapping[str, RuleSet] = RULES,
     page_limit: int = -1,
     batch: int | None = None,
+    corrupt: DataFrame | None = None,
 ) -> int:
     """Add the verb forms of ``pages`` to the store as one batch; returns its number.
 
-    The pages are scanned once. What they yield is a small part of them, so it is rebalanced
-    into few files before the dictionary and the facts are both derived from it. A batch that
-    broke off is repeated under its number. Naming the latest batch again replaces it; older
-    ones are fixed, as later ones build on their ids.
+    The templates of the registered languages are staged, then decoded; the dictionary, the
+    facts and the rejects derive from the decoded rows. ``corrupt`` holds the records of
+    broken pages, which are stored with the batch. A batch that broke off is repeated under its
+    number. Naming the latest batch again replaces it; older ones are fixed, as later ones
+    build on their ids. A batch shows up once all of it is written.
     """
+    rules = by_lower_name(rules)
     last, last_word, last_fact = store.progress()
     if batch is None:
         batch = last + 1
@@ -52,38 +53,59 @@ def import_pages(
         raise ValueError(f"batch {batch} is older than the latest batch {last}")
     elif batch == last:
         _, last_word, last_fact = store.progress(before=batch)
+        store.reopen(batch)
 
-    work = work_folder(store.spark, store.path)
-    decoded = decode_pages(pages, rules, page_limit, f"{work}/templates")
-    numbered = number_rows(decoded.hint("rebalance"), f"{work}/decoded", last_fact)
+    spark = store.spark
+    work = work_folder(spark, store.path)
+    content = first_pages(pages, page_limit, f"{work}/page-ids")
+    # Each language reads its own folder; the pages are scanned once.
+    found = templates(content, sorted(rules)).hint("rebalance", "language")
+    found = stage(found, f"{work}/templates", ["language"])
+    numbered = number_rows(conjugate(found, rules), f"{work}/decoded", last_fact)
 
     fresh_languages = new_languages(rules, store.read("languages", batch))
-    if fresh_languages:
-        rows = constant_rows(store.spark, fresh_languages, LANGUAGES)
-        store.write("languages", rows, batch)
+    store.write("languages", constant_rows(spark, fresh_languages, LANGUAGES), batch)
     known = store.read("words", batch)
     fresh_words = new_words(vocabulary(numbered), known, f"{work}/words", last_word)
     store.write("words", fresh_words, batch)
-    facts = encode_facts(numbered, store.words, store.languages, store.tenses)
-    # Sorted files let a lookup of one infinitive skip most row groups.
-    store.write("verb_forms", facts.sortWithinPartitions("inf_id", "word_id"), batch)
+    words = store.read("words", writing=batch)
+    facts = encode_facts(numbered, words, store.read("languages", writing=batch), store.tenses)
+    # Files hold ranges, so a lookup of one infinitive opens few of them; a hot one is split.
+    laid_out = facts.repartitionByRange("inf_id", "word_id").sortWithinPartitions("inf_id", "word_id")
+    store.write("verb_forms", laid_out, batch)
     store.write("rejects", numbered.filter(F.col("status") != "ok"), batch)
+    none = constant_rows(spark, [], CORRUPT_TABLE)
+    store.write("corrupt", none if corrupt is None else corrupt, batch)
     store.finish(batch)
     return batch
 
 
+def import_decoded(
+    store: Store,
+    pages: DataFrame,
+    rules: Mapping[str, RuleSet] = RULES,
+    page_limit: int = -1,
+    batch: int | None = None,
+) -> int:
+    """Import pages of a dump, broken ones included.
+
+    They are staged, so that the XML is decoded once.
+    """
+    pages = stage(pages, f"{work_folder(store.spark, store.path)}/pages")
+    broken = corrupt_pages(pages).select(F.col(CORRUPT).alias("record"))
+    return import_pages(store, good_pages(pages), rules, page_limit, batch, broken)
+
+
 def import_dump(
     store: Store,
     path: str | list[str],
     rules: Mapping[str, RuleSet] = RULES,
     page_limit: int = -1,
     batch: int | None = None,
-    reader: str = "split",
 ) -> int:
     """Import a dump file or folder. Without a page limit only pages with verbs are decoded."""
     containing = wikitext.VERB_MARK if page_limit == -1 else None
-    pages = good_pages(read_dump(store.spark, path, containing, reader))
-    return import_pages(store, pages, rules, page_limit, batch)
+    return import_decoded(store, read_dump(store.spark, path, containing), rules, page_limit, batch)
 
 
 def view_page(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from verbarium import schemas
 from verbarium.plans import catalog
 from verbarium.plans.wikitext_view import PAGES_SQL
 
@@ -47,7 +48,7 @@ STEPS = {
         FROM (
           SELECT *, CASE WHEN template = '{{nl-verb}}'
             THEN '{{nl-verb form of|n=pl|t=pres|m=ind|' || title || '}}' ELSE template END AS e
-          FROM found WHERE language = 'dutch' AND template <> '{{nl-verb-form}}')""",
+          FROM found WHERE language IN ('dutch', 'flemish') AND template <> '{{nl-verb-form}}')""",
     "judged": """
         SELECT *, CASE WHEN mood <> 'ind' THEN 'unsupported_mood'
             WHEN reference = '' THEN 'invalid_template'
@@ -76,7 +77,7 @@ STEPS = {
         UNION SELECT infinitive FROM decoded WHERE infinitive IS NOT NULL""",
     "words": "SELECT row_number() OVER (ORDER BY word) AS id, word FROM vocabulary",
     "facts": """
-        SELECT 1 AS lang_id, w.id AS word_id, i.id AS inf_id,
+        SELECT CASE language WHEN 'dutch' THEN 1 ELSE 2 END AS lang_id, w.id AS word_id, i.id AS inf_id,
           CASE tense WHEN 'present' THEN 1 ELSE 2 END AS tense_id, person, num
         FROM forms JOIN words w ON w.word = forms.word JOIN words i ON i.word = infinitive""",
     "first_inf": """
@@ -108,7 +109,7 @@ STEPS = {
     "requests": f"SELECT o_orderkey AS request_id, {catalog.REQUEST_SQL} FROM orders",
     "accepted": """
         SELECT name, min(request_id) AS request_id FROM requests
-        WHERE name NOT IN (SELECT name FROM user_rows) GROUP BY name""",
+        WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM user_rows) GROUP BY name""",
 }
 
 _LISTS = [f"{t}_{s}" for t in ["present", "past"] for s in ["First", "Second", "Third", "Plural"]]
@@ -131,10 +132,42 @@ _FLAT = " UNION ALL ".join(
     ]
 )
 
+def _violations() -> str:
+    """Each constraint on its own, over the tables of ``constraint_report``."""
+    sources = {
+        "languages": "SELECT n_nationkey AS id, lower(n_name) AS name, substr(n_name, 8) AS tag FROM nation",
+        "words": f"SELECT {', '.join(catalog.BAD_WORD_SQL)} FROM part",
+        "tenses": "SELECT * FROM (VALUES (1, 'present'), (2, 'past')) t(id, tense)",
+        "roles": "SELECT * FROM (VALUES (1, 'admin'), (2, 'user')) t(id, role)",
+        "verb_forms": f"SELECT {', '.join(catalog.BAD_FORM_SQL)} FROM lineitem",
+        "users": f"SELECT {', '.join(catalog.BAD_USER_SQL)}, 1 AS created_at FROM customer",
+    }
+    parts = []
+
+    def add(constraint: str, table: str, column: str, rest: str) -> None:
+        parts.append(
+            f"""SELECT '{constraint}' AS "constraint", '{table}' AS "table", '{column}' AS "column",
+            CAST({column} AS VARCHAR) AS value, count(*) AS n_rows FROM ({sources[table]}) {rest}"""
+        )
+
+    for table, columns in schemas.REQUIRED.items():
+        for c in columns:
+            add("not null", table, c, f"WHERE {c} IS NULL GROUP BY {c}")
+    for table, columns in schemas.UNIQUE.items():
+        for c in columns:
+            add("unique", table, c, f"WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1")
+    for (table, c), parent in schemas.FOREIGN.items():
+        known = f"SELECT id FROM ({sources[parent]}) WHERE id IS NOT NULL"
+        add("reference", table, c, f"WHERE {c} IS NOT NULL AND {c} NOT IN ({known}) GROUP BY {c}")
+    return " UNION ALL ".join(parts)
+
+
 RESULTS = {
     "namespace_filter": "SELECT page_id, title FROM content",
     "page_lookup": f"""SELECT page_id, title, text FROM content
         WHERE title = '{catalog.PAGE_TITLE}' ORDER BY page_id LIMIT 1""",
+    "early_stop": f"""SELECT page_id, 'page ' || page_id AS title FROM wiki
+        WHERE 'page ' || page_id = '{catalog.EARLY_TITLE}'""",
     "page_limit": f"""SELECT page_id, title FROM content
         ORDER BY page_id LIMIT {catalog.PAGE_LIMIT}""",
     "language_sections": "SELECT page_id, title, section, language, body FROM sections",
@@ -148,12 +181,13 @@ RESULTS = {
     "verb_forms": "SELECT * FROM forms",
     "rule_registry": """
         SELECT language, status, count(*) AS n FROM (
-          SELECT language, status FROM decoded
+          SELECT language, status FROM decoded WHERE language = 'dutch'
           UNION ALL SELECT language, 'ok' FROM found WHERE language = 'english')
         GROUP BY language, status""",
     "word_list": "SELECT word FROM vocabulary",
     "word_dictionary": "SELECT id, word FROM words",
-    "language_dictionary": "SELECT DISTINCT 1 AS id, language AS name FROM decoded",
+    "language_dictionary": """SELECT DISTINCT CASE language WHEN 'dutch' THEN 1 ELSE 2 END AS id, language AS name
+        FROM decoded""",
     "encoded_facts": "SELECT * FROM facts",
     "fact_ids": """SELECT count(*) AS n_ids, CAST(1 AS BIGINT) AS most_rows_per_id,
         CAST(0 AS BIGINT) AS n_missing FROM facts""",
@@ -171,8 +205,10 @@ RESULTS = {
         FROM lookups JOIN first_inf USING (word) WHERE word <> ''""",
     "lookup_missing": """SELECT lookup_id, word, 'word ' || word || ' does not exist' AS error
         FROM lookups WHERE word <> '' AND word NOT IN (SELECT word FROM first_inf)""",
-    "conjugation_table": f"""SELECT inf_id, CAST(0 AS INTEGER) AS part, infinitive, {_AS_TEXT}
-        FROM tables""",
+    "conjugation_table": f"SELECT inf_id, infinitive, {_AS_TEXT} FROM tables",
+    "conjugation_slots": """SELECT inf_id, i.word AS infinitive,
+        CASE tense_id WHEN 1 THEN 'Present' ELSE 'Past' END AS tense, slot, w.word AS form, count(*) AS copies
+        FROM slots JOIN words i ON i.id = inf_id JOIN words w ON w.id = word_id GROUP BY ALL""",
     "conjugation_of_word": f"""SELECT infinitive, {_AS_TEXT} FROM tables WHERE inf_id =
         (SELECT inf_id FROM first_inf WHERE word = '{catalog.WORD}')""",
     "conjugation_flat": _FLAT,
@@ -189,6 +225,14 @@ RESULTS = {
         LEFT JOIN tables ON tables.inf_id = first_inf.inf_id WHERE asked.word <> ''""",
     "languages": """SELECT n_nationkey AS id, lower(n_name) AS name, substr(n_name, 8) AS tag
         FROM nation""",
+    "languages_json": """SELECT CAST(to_json(struct_pack(id := n_nationkey, name := lower(n_name),
+        tag := substr(n_name, 8))) AS VARCHAR) AS json FROM nation""",
+    "words_json": """SELECT DISTINCT CAST(to_json(struct_pack(id := words.id, text := words.word,
+        language := lang_id)) AS VARCHAR) AS json
+        FROM facts JOIN words ON facts.word_id = words.id OR facts.inf_id = words.id""",
+    "users_json": """SELECT CAST(to_json(struct_pack(id := id, name := name, role := role_id,
+        "target-language" := target_language_id,
+        "creation-tz" := strftime(created_at, '%Y-%m-%dT%H:%M:%SZ'))) AS VARCHAR) AS json FROM user_rows""",
     "language_by_id": f"""SELECT n_nationkey AS id, lower(n_name) AS name,
         substr(n_name, 8) AS tag FROM nation WHERE n_nationkey = {catalog.LANGUAGE_ID}""",
     "users": "SELECT * FROM user_rows",
@@ -199,7 +243,7 @@ RESULTS = {
     "new_accounts": """SELECT name, 2 AS role_id, CAST(NULL AS INTEGER) AS target_language_id
         FROM accepted""",
     "rejected_accounts": """SELECT request_id, name,
-        'user ' || name || ' already exists' AS error
+        coalesce('user ' || name || ' already exists', 'user without a name') AS error
         FROM requests WHERE request_id NOT IN (SELECT request_id FROM accepted)""",
     "uniqueness": """SELECT 'orders' AS "table", 'o_custkey' AS "column",
         CAST(o_custkey AS VARCHAR) AS value, count(*) AS n_rows
@@ -212,15 +256,17 @@ RESULTS = {
         WHERE {c} IS NULL HAVING count(*) > 0"""
         for c in ["title", "template", "infinitive", "tense", "num", "person"]
     ),
-    "constraint_report": """SELECT 'reference' AS "constraint", 'users' AS "table",
+    "constraint_report": _violations(),
+    "store_constraints": """SELECT 'reference' AS "constraint", 'users' AS "table",
         'target_language_id' AS "column", CAST(target_language_id AS VARCHAR) AS value,
-        count(*) AS n_rows FROM user_rows WHERE target_language_id <> 1
+        count(*) AS n_rows FROM user_rows WHERE target_language_id NOT IN (1, 2)
         GROUP BY target_language_id""",
     "empty_result": """SELECT 'no words exist' AS error FROM facts HAVING count(*) = 0
         UNION ALL SELECT 'no words in 99 exist' FROM facts WHERE lang_id = 99
         HAVING count(*) = 0""",
     "dump_scan": "SELECT page_id, title, text FROM wiki",
     "dump_scan_bz2": "SELECT page_id, title, text FROM wiki",
+    "corrupt_pages": f"SELECT page_id FROM wiki WHERE page_id % {catalog.BROKEN_EVERY} = 0",
     "incremental_forms": """SELECT word, infinitive,
         CASE tense WHEN 'present' THEN 1 ELSE 2 END AS tense_id, num, person FROM forms""",
 }

@@ -45,6 +45,7 @@ REJECTS = _schema(
     template=T.StringType(),
     status=T.StringType(),
 )
+CORRUPT = _schema(record=T.StringType())
 BATCHES = _schema(id=T.LongType(), last_word=T.LongType(), last_fact=T.LongType())
 # Passwords are left out: nothing here reads them.
 USERS = _schema(
@@ -55,18 +56,22 @@ USERS = _schema(
     created_at=T.TimestampType(),
 )
 
+# The primary key of every table is its id: not null and unique.
 REQUIRED = {
-    "languages": ["name"],
-    "words": ["word"],
-    "verb_forms": ["lang_id", "word_id", "inf_id", "tense_id", "num"],
-    "users": ["role_id", "name", "created_at"],
+    "languages": ["id", "name"],
+    "words": ["id", "word"],
+    "tenses": ["id", "tense"],
+    "roles": ["id", "role"],
+    "verb_forms": ["id", "lang_id", "word_id", "inf_id", "tense_id", "num"],
+    "users": ["id", "role_id", "name", "created_at"],
 }
 UNIQUE = {
-    "languages": ["name", "tag"],
-    "words": ["word"],
-    "tenses": ["tense"],
-    "roles": ["role"],
-    "users": ["name"],
+    "languages": ["id", "name", "tag"],
+    "words": ["id", "word"],
+    "tenses": ["id", "tense"],
+    "roles": ["id", "role"],
+    "verb_forms": ["id"],
+    "users": ["id", "name"],
 }
 # (table, column) -> the table whose id it holds
 FOREIGN = {

@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SCRATCH_SETTING = "spark.checkpoint.dir"
 
-# Temporary folders of local sessions that name no shared one.
-_local_folders: dict[str, str] = {}
-
 
 def build_session(
     app: str, master: str | None = None, shuffle_partitions: int | None = None
@@ -39,19 +35,10 @@ def build_session(
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, as the cluster names it.
-
-    Only a local session, where the driver's disk is every task's disk, may fall back to a
-    temporary folder.
-    """
+    """The shared folder for intermediate tables, as the cluster names it."""
     shared = spark.conf.get(SCRATCH_SETTING, None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {SCRATCH_SETTING} to a folder that all executors share")
-        session = spark.sparkContext.applicationId
-        if session not in _local_folders:
-            _local_folders[session] = tempfile.mkdtemp(prefix="verbarium-")
-        shared = _local_folders[session]
+        raise RuntimeError(f"set {SCRATCH_SETTING} to a folder that all executors share")
     return f"{shared.rstrip('/')}/verbarium"
 
 

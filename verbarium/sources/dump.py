@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGE_END = "</page>"
-PAGE = r"(?s)<page[\s>].*"
+PAGE_START = r"<page[\s>]"
+PAGE = rf"(?s){PAGE_START}.*"
+NO_PAGE = r"^\s*(</[A-Za-z]+>)?\s*$"
 CORRUPT = "_corrupt_record"
 FIELDS = f"title string, id bigint, revision struct<text: string>, {CORRUPT} string"
 # Surrounding blanks belong to the wikitext.
@@ -18,21 +20,17 @@ XML_OPTIONS = {
 
 
 def read_dump(
-    spark: SparkSession, path: str | list[str], containing: str | None = None, reader: str = "split"
+    spark: SparkSession, path: str | list[str], containing: str | None = None
 ) -> DataFrame:
     """Pages of a dump: page_id, title, text and, for broken ones, _corrupt_record.
 
-    The 'split' reader cuts the file at page ends, so that plain and bz2 files are read by many
-    tasks. The 'xml' reader takes a task per file and is meant for small dumps whose CDATA
-    sections hold a literal page end.
+    The file is cut at page ends, so that plain and bz2 files are read by many tasks. A page
+    whose CDATA section holds a literal page end is cut there, too; its parts are broken pages.
 
     ``containing`` keeps only pages whose text may contain this string (plain characters
     without XML escapes). The test comes before the XML is decoded, which then happens for the
     few pages that pass.
     """
-    if reader == "xml":
-        rows = spark.read.format("xml").options(rowTag="page", **XML_OPTIONS).schema(FIELDS)
-        return _fields(rows.load(path))
     return pages_of(spark.read.option("lineSep", PAGE_END).text(path), containing)
 
 
@@ -52,14 +50,14 @@ def read_dump_stream(
 def pages_of(chunks: DataFrame, containing: str | None = None) -> DataFrame:
     """Decode text chunks that each end where a page ends."""
     value = F.col("value")
-    kept = value.contains("<page")
+    # What follows the last page is no page.
+    kept = ~value.rlike(NO_PAGE)
     if containing is not None:
         # A numeric character reference could spell the string in another way.
         kept = kept & (value.contains(containing) | value.contains("&#"))
-    fragments = chunks.filter(kept).select(
-        # No match, no row.
-        F.explode(F.regexp_extract_all("value", F.lit(PAGE), 0)).alias("fragment")
-    )
+    # A chunk without the start of a page is the rest of one that was cut; it fails to decode.
+    fragment = F.when(value.rlike(PAGE_START), F.regexp_extract("value", PAGE, 0)).otherwise(value)
+    fragments = chunks.filter(kept).select(F.explode(F.array(fragment)).alias("fragment"))
     decoded = F.from_xml(F.concat("fragment", F.lit(PAGE_END)), FIELDS, XML_OPTIONS)
     # As a generator the decoding runs once per page. In a plain projection every filter that
     # the optimizer moves below it would decode the page again.
@@ -85,20 +83,23 @@ def corrupt_pages(pages: DataFrame) -> DataFrame:
     return pages.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
+def page_xml(pages: DataFrame) -> DataFrame:
+    """Each page as XML in column ``value``, beside its own columns."""
+    xml = F.concat(
+        F.lit("  <page>\n    <title>"),
+        _escaped(F.col("title")),
+        F.lit("</title>\n    <ns>0</ns>\n    <id>"),
+        F.col("page_id").cast("string"),
+        F.lit("</id>\n    <revision>\n      <id>1</id>\n      <text xml:space=\"preserve\">"),
+        _escaped(F.col("text")),
+        F.lit("</text>\n    </revision>\n  </page>"),
+    )
+    return pages.withColumn("value", xml)
+
+
 def write_dump(pages: DataFrame, path: str, compression: str | None = None) -> None:
     """Write pages as XML dump files, one per task; ``compression`` may be 'bzip2'."""
-    lines = pages.select(
-        F.concat(
-            F.lit("  <page>\n    <title>"),
-            _escaped(F.col("title")),
-            F.lit("</title>\n    <ns>0</ns>\n    <id>"),
-            F.col("page_id").cast("string"),
-            F.lit("</id>\n    <revision>\n      <id>1</id>\n      <text xml:space=\"preserve\">"),
-            _escaped(F.col("text")),
-            F.lit("</text>\n    </revision>\n  </page>"),
-        ).alias("value")
-    )
-    lines.write.text(path, compression=compression)
+    page_xml(pages).select("value").write.text(path, compression=compression)
 
 
 def _escaped(text: Column) -> Column:

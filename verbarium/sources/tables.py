@@ -14,10 +14,13 @@ TABLES: dict[str, T.StructType] = {
     "words": schemas.WORDS,
     "verb_forms": schemas.VERB_FORMS,
     "rejects": schemas.REJECTS,
+    "corrupt": schemas.CORRUPT,
     "users": schemas.USERS,
     "batches": schemas.BATCHES,
 }
 BATCH = "batch_id"
+# Tables of an import; their batches count once all of them are written.
+IMPORTED = {"languages", "words", "verb_forms", "rejects", "corrupt"}
 
 
 def constant_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
@@ -46,10 +49,11 @@ def roles(spark: SparkSession) -> DataFrame:
 
 
 class Store:
-    """Tables under ``path``, each split into one folder per import batch.
+    """Tables under ``path``, each split into one folder per batch.
 
     A batch that is written again replaces its own folders, so a repeated batch changes
-    nothing else and leaves no duplicates.
+    nothing else and leaves no duplicates. Readers see the imports that are noted as finished;
+    what a broken one left behind is not read.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -68,13 +72,40 @@ class Store:
                 raise
             return constant_rows(self.spark, [], schema)
 
-    def read(self, table: str, before: int | None = None) -> DataFrame:
-        """A table, or the part of it that batches before ``before`` wrote."""
+    def _notes(self):
+        """The folder of the notes, and its file system."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        folder = hadoop(self._folder("batches"))
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+    def finished(self) -> list[int]:
+        """Numbers of the finished imports; a listing of their notes, no job."""
+        folder, files, hadoop = self._notes()
+        notes = files.globStatus(hadoop(folder, f"{BATCH}=*/part-*"))
+        return sorted({int(note.getPath().getParent().getName().split("=")[1]) for note in notes})
+
+    def reopen(self, batch: int) -> None:
+        """Hide an import until it is finished again."""
+        folder, files, hadoop = self._notes()
+        files.delete(hadoop(folder, f"{BATCH}={batch}"), True)
+
+    def read(self, table: str, before: int | None = None, writing: int | None = None) -> DataFrame:
+        """A table, or the part of it that batches before ``before`` wrote.
+
+        ``writing`` adds a batch that is not finished yet.
+        """
         rows = self._batches(table)
         if before is not None:
             rows = rows.filter(F.col(BATCH) < before)
+        if table in IMPORTED:
+            seen = self.finished() + ([] if writing is None else [writing])
+            rows = rows.filter(F.col(BATCH).isin(seen) if seen else F.lit(False))
         return rows.drop(BATCH)
 
+    def read_batch(self, table: str, batch: int) -> DataFrame:
+        """What one batch wrote to a table."""
+        return self._batches(table).filter(F.col(BATCH) == batch).drop(BATCH)
+
     def write(self, table: str, df: DataFrame, batch: int) -> None:
         """Write ``df`` as the whole of one batch of a table."""
         columns = [F.col(f.name).cast(f.dataType) for f in TABLES[table].fields]
@@ -92,9 +123,8 @@ class Store:
         Only the batch's own rows are read; earlier ids end where the notes say.
         """
         _, last_word, last_fact = self.progress(before=batch)
-        own = F.col(BATCH) == batch
-        words = self._batches("words").filter(own).agg(F.max("id"))
-        facts = self._batches("verb_forms").filter(own).agg(F.max("id"))
+        words = self.read_batch("words", batch).agg(F.max("id"))
+        facts = self.read_batch("verb_forms", batch).agg(F.max("id"))
         note = self.spark.range(batch, batch + 1, 1, 1).select(
             "id",
             F.coalesce(words.scalar(), F.lit(last_word)).alias("last_word"),
@@ -118,6 +148,10 @@ class Store:
     def rejects(self) -> DataFrame:
         return self.read("rejects")
 
+    @property
+    def corrupt(self) -> DataFrame:
+        return self.read("corrupt")
+
     @property
     def users(self) -> DataFrame:
         return self.read("users")

@@ -9,8 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from verbarium.functions import wikitext
 from verbarium.operators.rules import RULES, RuleSet
-from verbarium.plans.importer import import_pages
-from verbarium.sources.dump import good_pages, read_dump_stream
+from verbarium.plans.importer import import_decoded
+from verbarium.sources.dump import read_dump_stream
 from verbarium.sources.tables import Store
 
 
@@ -32,9 +32,9 @@ def incremental_import(
     """
 
     def add(pages: DataFrame, batch: int) -> None:
-        import_pages(store, pages, rules, batch=first_batch + batch)
+        import_decoded(store, pages, rules, batch=first_batch + batch)
 
-    pages = good_pages(read_dump_stream(store.spark, folder, wikitext.VERB_MARK, max_files))
+    pages = read_dump_stream(store.spark, folder, wikitext.VERB_MARK, max_files)
     return (
         pages.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
