@@ -6,8 +6,8 @@ differs in at most 0, 1, ... 4 bits (the pigeonring principle with whole-number
 five segments and four differing bits the budget of a chain of n segments is n - 1).
 
 The first two conditions of a chain become join keys: the start segment is equal, and the next
-one is equal but for one masked bit. The third and fourth are checked inside the join, before
-the full distance. So a fingerprint has one key per start and masked bit, 64 in all, and each
+one is equal but for one masked bit. The longer chains are checked for the fingerprints that
+meet under a key, before the full distance. So a fingerprint has one key per start and masked bit, 64 in all, and each
 key fixes 24 or 25 bits.
 
 Only different fingerprints are joined; copies are rows of one fingerprint. A key that more
@@ -19,9 +19,11 @@ A point meets at most 2081 fingerprints, so no group grows with the data, and no
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,18 +107,70 @@ def chain_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def chain_holds(difference: Column, number: Column) -> Column:
-    """Whether the chain of a key stays within its budgets of 2 and 3 bits for 3 and 4 segments."""
-    result = F.lit(False)
-    first = 0
-    for k in range(len(SEGMENTS)):
-        last = first + SEGMENTS[(k + 1) % len(SEGMENTS)][1]
-        sums = [sum((F.bit_count(_segment(difference, k + i)) for i in range(1, n)), F.bit_count(_segment(difference, k)))
-                for n in (2, 3, 4)]
-        within = (sums[0] <= 1) & (sums[1] <= 2) & (sums[2] <= 3)
-        result = result | ((number >= first) & (number < last) & within)
-        first = last
-    return result
+def chain_holds(difference: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Whether the chains of pairs stay within their budgets; ``number``: the parts of their keys."""
+    bits = [np.bitwise_count(difference >> np.uint64(low) & np.uint64((1 << width) - 1)) for low, width in SEGMENTS]
+    starts = np.repeat(np.arange(len(SEGMENTS)), [SEGMENTS[(k + 1) % len(SEGMENTS)][1] for k in range(len(SEGMENTS))])
+    held = np.ones(len(difference), bool)
+    total = np.zeros(len(difference), np.int64)
+    by_segment = np.array(bits)
+    rows = np.arange(len(difference))
+    for n in range(len(SEGMENTS)):
+        total += by_segment[(starts[number] + n) % len(SEGMENTS), rows]
+        held &= total <= n
+    return held
+
+
+def compare_bucket_rows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Linked pairs (a, b) under the keys of rows (key, fp) that come sorted by key.
+
+    The fingerprints of keys with more than ``limit`` rows come out as (a, null). No more than
+    ``limit`` rows of a key are ever held.
+    """
+    keys, prints = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hot: int | None = None
+
+    def settle(last: bool) -> pa.RecordBatch:
+        """Compare the complete keys among the rows held; keep those of the last key."""
+        nonlocal keys, prints, hot
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        single = np.zeros(0, np.int64)
+        if len(keys):
+            first = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+            sizes = np.diff(first, append=len(keys))
+            size = np.repeat(sizes, sizes)
+            large = size > limit
+            if hot is not None:
+                large |= keys == hot
+            hot = int(keys[-1]) if large[-1] else None
+            # Rows of the last key wait for the next batch, unless it is hot already.
+            open_rows = 0 if last or large[-1] else int(sizes[-1])
+            single = np.unique(prints[large])
+            ready = np.arange(len(keys) - open_rows)
+            ready = ready[~large[: len(ready)]]
+            step = 1
+            while len(ready):
+                ready = ready[ready + step < len(keys) - open_rows]
+                ready = ready[keys[ready] == keys[ready + step]]
+                a, b = prints[ready], prints[ready + step]
+                difference = a.view(np.uint64) ^ b.view(np.uint64)
+                linked = chain_holds(difference, keys[ready] >> 32)
+                linked &= np.bitwise_count(difference) <= MAX_BITS
+                linked &= difference != 0
+                out_a.append(np.minimum(a, b)[linked])
+                out_b.append(np.maximum(a, b)[linked])
+                step += 1
+            keys, prints = (x[len(keys) - open_rows :] for x in (keys, prints))
+        pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
+        first_column = pa.array(np.concatenate([pairs[0], single]))
+        second_column = pa.concat_arrays([pa.array(pairs[1]), pa.nulls(len(single), pa.int64())])
+        return pa.RecordBatch.from_arrays([first_column, second_column], names=["a", "b"])
+
+    for batch in batches:
+        keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
+        prints = np.concatenate([prints, batch.column(1).to_numpy(zero_copy_only=False)])
+        yield settle(last=False)
+    yield settle(last=True)
 
 
 def ball_masks() -> np.ndarray:
@@ -129,9 +183,7 @@ def ball_points(hot: DataFrame) -> DataFrame:
     """(point, fp): every point within two bits of every fingerprint of ``hot``."""
     masks = ball_masks()
 
-    def over(batches):
-        import pyarrow as pa
-
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for at in range(0, len(fps), 256):
@@ -148,28 +200,17 @@ def ball_points(hot: DataFrame) -> DataFrame:
 def fingerprint_links(distinct: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
     """Links (a, b) that connect exactly what pairs within ``MAX_BITS`` bits connect.
 
-    ``distinct``: one row ``fp`` per different fingerprint.
+    ``distinct``: one row ``fp`` per different fingerprint. The keys are shuffled once.
     """
-    keyed = staged(distinct.select("fp", F.explode(chain_keys(F.col("fp"))).alias("key")), "keys")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = staged(sizes, "key-sizes")
-    shared = keyed.join(sizes.where(F.col("n") <= limit).select("key"), "key")
-    left = shared.select("key", F.col("fp").alias("a"))
-    right = shared.select("key", F.col("fp").alias("b"))
-    difference = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = (
-        left.join(right, "key")
-        .where(F.col("a") < F.col("b"))
-        .where(chain_holds(difference, F.shiftright("key", 32)))
-        .where(F.bit_count(difference) <= MAX_BITS)
-        .select("a", "b")
-        .distinct()
+    keyed = distinct.select(F.explode(chain_keys(F.col("fp"))).alias("key"), "fp")
+    sorted_rows = keyed.repartition("key").sortWithinPartitions("key")
+    compared = staged(
+        sorted_rows.mapInArrow(lambda rows: compare_bucket_rows(rows, limit), "a long, b long").distinct(), "compared"
     )
-    hot = keyed.join(sizes.where(F.col("n") > limit).select("key"), "key", "left_semi")
-    points = ball_points(hot.select("fp").distinct())
+    points = ball_points(compared.where("b IS NULL").select(F.col("a").alias("fp")))
     met = points.groupBy("point").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all"))
     met = met.where(F.size("all") > 1).select("a", F.explode("all").alias("b")).where("a <> b")
-    return pairs.union(met.distinct())
+    return compared.where("b IS NOT NULL").union(met.distinct())
 
 
 def near_duplicates(docs: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
