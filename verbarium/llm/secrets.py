@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,9 @@ from verbarium.llm.common import map_rows, text_bytes
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")  # the whole run, as the pattern is greedy
+ASSIGN_NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+HEX_MARKS = bytes(ord("x") if chr(b) in "0123456789abcdef" else ord(" ") for b in range(256))
+HEX_RUN = b"x" * 24
 KINDS = ("assign", "access", "hex", "crf")
 LEAST_VALUE = 6
 LEAST_ACCESS = 20
@@ -40,13 +44,16 @@ CONTEXT = 6
 FILE_CLASSES = 3
 # Bounds of the training sample: documents, and bytes of each.
 SAMPLE_DOCUMENTS = 2000
-SAMPLE_BYTES = 20_000
+SAMPLE_BYTES = 8_000
 GENERATED = 600
-NEGATIVES = 4000
-STEPS = 150
+POSITIVES = 600
+NEGATIVES = 1500
+STEPS = 100
+DECAY = 0.05
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-CREDENTIAL = re.compile(rb"(pass(word|wd|phrase)?|secret|token|api_?key|access_?key|credential|bearer|auth)", re.I)
+CREDENTIAL = re.compile(rb"passw|passphrase|secret|token|api_?key|access_key|credential|bearer|auth")
+UPPER_LATER, LOWER, DIGIT = re.compile(rb"(?<=.)[A-Z]"), re.compile(rb"[a-z]"), re.compile(rb"[0-9]")
 HEX_WORD = re.compile(rb"[0-9a-fA-F]+")
 CORE = re.compile(rb"[A-Za-z0-9+/_=.-]*[A-Za-z0-9+/_=-]")
 LENGTHS = (1, 4, 8, 12, 16, 24, 36)
@@ -55,16 +62,15 @@ REDACTED = "[SECRET]"
 
 def shape(word: bytes) -> int:
     """Shape class of a word, a number below ``SHAPES``."""
-    length = sum(len(word) >= x for x in LENGTHS)
-    upper = any(65 <= b <= 90 for b in word[1:])
-    lower = any(97 <= b <= 122 for b in word)
-    digits = sum(48 <= b <= 57 for b in word)
-    beyond = any(b >= 128 for b in word)
+    length = bisect_right(LENGTHS, len(word))
+    upper = UPPER_LATER.search(word) is not None
+    lower = LOWER.search(word) is not None
+    digits = DIGIT.search(word) is not None
     if word in (b"=", b":", b":=", b"=>"):
         kind = 0
-    elif digits == 0 and (beyond or not (upper and lower)):
+    elif not digits and (not (upper and lower) or not word.isascii()):
         kind = 1  # plain words, also all upper case, with any punctuation
-    elif digits == 0:
+    elif not digits:
         kind = 2
     elif not lower and not upper:
         kind = 3  # numbers, dates, addresses
@@ -76,7 +82,7 @@ def shape(word: bytes) -> int:
         kind = 6
     else:
         kind = 7
-    named = bool(CREDENTIAL.search(word))
+    named = CREDENTIAL.search(word.lower()) is not None
     joined = (b"=" in word or b":" in word) and len(word) > 2
     return ((kind * (len(LENGTHS) + 1) + length) * 2 + named) * 2 + joined
 
@@ -104,14 +110,15 @@ class Field:
         padded = np.concatenate([[EDGE], shapes, [EDGE]])
         return self.own[shapes] + self.last[padded[:-2]] + self.next[padded[2:]] + self.file[file]
 
-    def plain(self) -> np.ndarray:
-        """Shape classes that are outside whatever stands beside them."""
-        most = self.last.max(0) + self.next.max(0) + self.file.max(0)
-        least = self.last.min(0) + self.next.min(0) + self.file.min(0)
-        # A tag change before and after the word can give back at most this much.
-        swing = 2 * (self.change.max() - self.change.min())
-        lead = (self.own[:, OUTSIDE] + least[OUTSIDE])[:, None] - (self.own + most)[:, 1:]
-        return (lead > swing).all(1)
+    def swing(self) -> np.ndarray:
+        """By tag: the most that the two tag changes around a word can win over being outside."""
+        before = (self.change - self.change[:, [OUTSIDE]]).max(0)
+        after = (self.change - self.change[[OUTSIDE], :]).max(1)
+        return before + after
+
+    def open_words(self, scores: np.ndarray) -> np.ndarray:
+        """Words that may be tagged; the others are outside in every best tagging."""
+        return np.flatnonzero((scores + self.swing() >= scores[:, [OUTSIDE]])[:, 1:].any(1))
 
 
 def viterbi(scores: np.ndarray, change: np.ndarray, before: int, after: int) -> list[int]:
@@ -128,35 +135,37 @@ def viterbi(scores: np.ndarray, change: np.ndarray, before: int, after: int) ->
     return tags[::-1]
 
 
-def decode(field: Field, shapes: np.ndarray, file: int, plain: np.ndarray) -> np.ndarray:
-    """The best tags of a text."""
-    tags = np.full(len(shapes), OUTSIDE)
-    open_words = np.flatnonzero(~plain[shapes])
-    if not len(open_words):
-        return tags
+def decode(field: Field, shapes: np.ndarray, file: int) -> np.ndarray | None:
+    """The best tags of a text; None if all words are outside. Beyond the text is outside."""
     scores = field.emissions(shapes, file)
-    # Beyond the text tags count as outside.
-    for part in np.split(open_words, np.flatnonzero(np.diff(open_words) > 1) + 1):
+    chosen = field.open_words(scores)
+    if not len(chosen):
+        return None
+    tags = np.full(len(shapes), OUTSIDE)
+    for part in np.split(chosen, np.flatnonzero(np.diff(chosen) > 1) + 1):
         tags[part] = viterbi(scores[part], field.change, OUTSIDE, OUTSIDE)
     return tags
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, int]]:
-    """(start, end, kind) in bytes."""
-    spans = [(*m.span(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_VALUE]
+    """(start, end, kind) in bytes. Cheap searches come before the patterns."""
+    spans = []
+    small = text.lower()
+    if any(name in small for name in ASSIGN_NAMES):
+        spans += [(*m.span(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_VALUE]
     spans += [(*m.span(), 1) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
-    spans += [(*m.span(), 2) for m in HEX.finditer(text)]
+    if HEX_RUN in text.translate(HEX_MARKS):
+        spans += [(*m.span(), 2) for m in HEX.finditer(text)]
     return sorted(spans, key=lambda s: (s[0], s[2]))
 
 
 def tags_of(text: bytes, spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
     """Shape classes and tags of a text's words, for training."""
-    shapes, tags = [], []
+    shapes, tags = shapes_of(text.split()).tolist(), []
     reached = -1
     merged = sorted((s, e) for s, e, _ in spans)
     at = 0
     for m in WORD.finditer(text):
-        shapes.append(shape(m[0]))
         while at < len(merged) and merged[at][1] <= m.start():
             at += 1
         if at < len(merged) and merged[at][0] < m.end():
@@ -167,41 +176,44 @@ def tags_of(text: bytes, spans: list[tuple[int, int, int]]) -> tuple[list[int],
     return shapes, tags
 
 
-def generated(count: int, seed: int = 0) -> list[bytes]:
-    """Lines with credentials of several kinds between ordinary words."""
+def generated(count: int, seed: int = 0) -> list[tuple[bytes, list[tuple[int, int, int]]]]:
+    """Lines with credentials of several kinds between ordinary words, and their spans."""
     rng = np.random.default_rng(seed)
 
     def pick(alphabet: str, low: int, high: int) -> str:
         return "".join(rng.choice(list(alphabet), rng.integers(low, high)))
 
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    names = "password passwd secret token api_key apikey API_KEY Token passphrase AUTH_TOKEN access_key bearer credential".split()
     lines = []
     for i in range(count):
-        mixed = pick(lower + upper + digit, 12, 44)
-        name = ("password", "passwd", "secret", "token", "api_key", "apikey", "API_KEY", "Token")[i % 8]
-        line = (
+        mixed = pick(lower, 3, 4) + pick(lower + upper + digit, 12, 40) + pick(digit, 1, 2) + pick(upper, 1, 2)
+        name = names[int(rng.integers(len(names)))]
+        secret = (
             f'{name} = "{mixed}"',
             f"{name}: {mixed}",
             f'{name}="{mixed}"',
             f"AKIA{pick(upper + digit, 16, 17)}",
             pick("0123456789abcdef", 32, 65),
             f"{name} := {mixed}",
-        )[i % 6]
+            f"{name} is {mixed}",
+            f"{name} {mixed}",
+        )[i % 8]
         before = " ".join(pick(lower, 2, 10) for _ in range(8))
         after = " ".join(pick(lower, 2, 10) for _ in range(8))
-        lines.append(f"{before} {line} {after}".encode())
+        lines.append((f"{before} {secret} {after}".encode(), [(len(before) + 1, len(before) + 1 + len(secret), 0)]))
     return lines
 
 
-def windows(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(texts: list[tuple[bytes, list]], seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shape classes (with one neighbour more on either side), tags and file classes of windows
     around secrets and around other words."""
     width = 2 * CONTEXT + 1
     rng = np.random.default_rng(seed)
     found: list[tuple[np.ndarray, np.ndarray, int]] = []
     others: list[tuple[np.ndarray, np.ndarray, int]] = []
-    for text in texts:
-        shapes, tags = tags_of(text, base_spans(text))
+    for text, spans in texts:
+        shapes, tags = tags_of(text, spans)
         if not shapes:
             continue
         file = file_class(len(shapes), sum(s >> 1 & 1 for s in shapes))
@@ -211,9 +223,8 @@ def windows(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray,
         found += [cut(i) for i, t in enumerate(tags) if t == BEGIN]
         # Other words: some at random, and those that do not look plain.
         odd = [i for i, s in enumerate(shapes) if s // 4 // (len(LENGTHS) + 1) > 1 and tags[i] == OUTSIDE]
-        others += [cut(int(i)) for i in [*rng.integers(0, len(shapes), 2), *odd[:4]]]
-    keep = rng.permutation(len(others))[:NEGATIVES]
-    chosen = found[: NEGATIVES * 2] + [others[i] for i in keep.tolist()]
+        others += [cut(int(i)) for i in [*rng.integers(0, len(shapes), 2), *odd[:3]]]
+    chosen = [rows[i] for rows, most in ((found, POSITIVES), (others, NEGATIVES)) for i in rng.permutation(len(rows))[:most].tolist()]
     columns = list(zip(*chosen, strict=True))
     return np.array(columns[0]), np.array(columns[1]), np.array(columns[2])
 
@@ -221,9 +232,10 @@ def windows(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray,
 def train(texts: list[bytes], steps: int = STEPS, seed: int = 0) -> Field:
     """Maximises the conditional log-likelihood of the windows' tags by gradient ascent.
 
-    Forward and backward sums run over all windows at once.
+    Forward and backward probabilities, scaled at every word, run over all windows at once.
     """
-    shapes, tags, file = windows(texts + generated(GENERATED, seed), seed)
+    marked = [(t, base_spans(t)) for t in texts] + generated(GENERATED, seed)
+    shapes, tags, file = windows(marked, seed)
     count, width = tags.shape
     parts = {"own": SHAPES + 1, "last": SHAPES + 1, "next": SHAPES + 1, "file": FILE_CLASSES, "change": 3}
     field = {c: np.zeros((n, 3)) for c, n in parts.items()}
@@ -235,22 +247,24 @@ def train(texts: list[bytes], steps: int = STEPS, seed: int = 0) -> Field:
     np.add.at(gold_change, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
     for step in range(1, steps + 1):
         scores = sum(field[c][seen[c]] for c in seen)
-        change = field["change"]
-        alpha, beta = np.zeros((width, count, 3)), np.zeros((width, count, 3))
-        alpha[0] = scores[:, 0]
-        for t in range(1, width):
-            alpha[t] = np.logaddexp.reduce(alpha[t - 1][:, :, None] + change, 1) + scores[:, t]
+        weights = np.exp(scores - scores.max(2, keepdims=True))
+        change = np.exp(field["change"])
+        alpha, beta = np.zeros((width, count, 3)), np.ones((width, count, 3))
+        for t in range(width):
+            alpha[t] = (alpha[t - 1] @ change if t else 1) * weights[:, t]
+            alpha[t] /= alpha[t].sum(1, keepdims=True)
         for t in range(width - 2, -1, -1):
-            beta[t] = np.logaddexp.reduce(change + (scores[:, t + 1] + beta[t + 1])[:, None, :], 2)
-        norm = np.logaddexp.reduce(alpha[-1], 1)
-        expected = np.exp(alpha + beta - norm[None, :, None]).transpose(1, 0, 2)
-        pair = sum(
-            np.exp(alpha[t][:, :, None] + change + (scores[:, t + 1] + beta[t + 1])[:, None, :] - norm[:, None, None]).sum(0)
-            for t in range(width - 1)
-        )
-        miss = (gold - expected).reshape(-1, 3)
+            beta[t] = (weights[:, t + 1] * beta[t + 1]) @ change.T
+            beta[t] /= beta[t].sum(1, keepdims=True)
+        expected = alpha * beta
+        expected /= expected.sum(2, keepdims=True)
+        pair = np.zeros((3, 3))
+        for t in range(width - 1):
+            joint = alpha[t][:, :, None] * change * (weights[:, t + 1] * beta[t + 1])[:, None, :]
+            pair += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+        miss = (gold - expected.transpose(1, 0, 2)).reshape(-1, 3)
         for c in field:
-            gradient = -0.02 * field[c] * 10
+            gradient = -DECAY * field[c]
             if c == "change":
                 gradient += gold_change - pair
             else:
@@ -266,31 +280,38 @@ def train(texts: list[bytes], steps: int = STEPS, seed: int = 0) -> Field:
     return Field(**field)
 
 
-class Scanner:
-    """Base spans and spans of the field for texts in bytes; remembers the shapes of words."""
+# Shape classes of words, kept by each Python worker over its tasks, up to a bound.
+KNOWN_SHAPES: dict[bytes, int] = {}
+MOST_SHAPES = 400_000
+
 
-    LIMIT = 400_000
+def shapes_of(words: list[bytes]) -> np.ndarray:
+    if len(KNOWN_SHAPES) > MOST_SHAPES:
+        KNOWN_SHAPES.clear()
+    known = list(map(KNOWN_SHAPES.get, words))
+    if None in known:
+        for i, value in enumerate(known):
+            if value is None:
+                known[i] = KNOWN_SHAPES[words[i]] = shape(words[i])
+    return np.array(known)
+
+
+class Scanner:
+    """Base spans and spans of the field for texts in bytes."""
 
     def __init__(self, field: Field):
         self.field = field
-        self.plain = np.append(field.plain()[:SHAPES], True)
-        self.shapes: dict[bytes, int] = {}
-        self.is_plain: dict[bytes, bool] = {}
-
-    def shape(self, word: bytes) -> int:
-        if (known := self.shapes.get(word)) is None:
-            if len(self.shapes) > self.LIMIT:
-                self.shapes.clear()
-            known = self.shapes[word] = shape(word)
-        return known
 
     def field_spans(self, text: bytes) -> list[tuple[int, int]]:
-        if not self.open_words(text):
+        words = text.split()
+        if not words:
             return []
-        found = list(WORD.finditer(text))
-        shapes = np.array([self.shape(m[0]) for m in found])
+        shapes = shapes_of(words)
         file = file_class(len(shapes), int((shapes >> 1 & 1).sum()))
-        tags = decode(self.field, shapes, file, self.plain)
+        tags = decode(self.field, shapes, file)
+        if tags is None or not tags.any():
+            return []
+        found = list(WORD.finditer(text))
         spans: list[list[int]] = []
         for i in np.flatnonzero(tags != OUTSIDE).tolist():
             if tags[i] == INSIDE and spans and spans[-1][2] == i - 1:
@@ -299,20 +320,6 @@ class Scanner:
                 spans.append([found[i].start(), found[i].end(), i])
         return [trimmed for s, e, _ in spans if (trimmed := trim(text, s, e))]
 
-    def open_words(self, text: bytes) -> bool:
-        words = text.split()
-        known = list(map(self.is_plain.get, words))
-        if all(known):
-            return False
-        if len(self.is_plain) > self.LIMIT:
-            self.is_plain.clear()
-        some = False
-        for word, plain in zip(words, known, strict=True):
-            if plain is None:
-                plain = self.is_plain[word] = bool(self.plain[self.shape(word)])
-            some |= not plain
-        return some
-
     def spans(self, text: bytes) -> list[tuple[int, int, int]]:
         """(start, end, kind) in bytes; spans of the field that touch a base span are left to it."""
         base = base_spans(text)
@@ -367,7 +374,7 @@ def scan(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        scanner = scanner_of(field)
+        scanner = Scanner(field)
         found = [in_characters(t, scanner.spans(t)) for t in rows["bytes"]]
         return {"doc_id": rows["doc_id"], "found": [[(KINDS[k], s, e) for s, e, k in spans] for spans in found]}
 
@@ -375,17 +382,6 @@ def scan(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
     return map_rows(docs.select("doc_id", text_bytes().alias("bytes")), work, schema)
 
 
-_scanners: dict[int, Scanner] = {}
-
-
-def scanner_of(field: Field) -> Scanner:
-    """One scanner per task, so that its memory of words lasts over batches."""
-    if id(field) not in _scanners:
-        _scanners.clear()
-        _scanners[id(field)] = Scanner(field)
-    return _scanners[id(field)]
-
-
 def digest(found: Column, kinds: tuple[str, ...]) -> Column:
     chosen = F.filter(found, lambda x: x["kind"].isin(*kinds))
     return F.array_join(F.transform(chosen, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -396,7 +392,7 @@ def redact(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
     field = trained(docs, documents)
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        scanner = scanner_of(field)
+        scanner = Scanner(field)
         out = []
         for text in rows["text"]:
             spans = scanner.spans(text.encode()) if text else []
