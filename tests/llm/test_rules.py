@@ -1,0 +1,69 @@
+from __future__ import annotations
+
+import re
+
+from verbarium.llm import rules
+
+from .conftest import multiset
+
+
+def counts(text: str | None) -> tuple:
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen: dict[tuple, list[int]] = {}
+    for i in range(len(words) - 4):
+        seen.setdefault(tuple(words[i : i + 5]), []).append(i)
+    covered = {j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + 5)}
+    n = len(words)
+    failed = n < 10 or 100 * len(covered) > 20 * n
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed
+
+
+def check(docs):
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    found = multiset(rules.quality(docs).select("doc_id", *names).collect())
+    assert found == multiset((r["doc_id"], *counts(r["text"])) for r in docs.collect())
+
+
+def test_counts_of_odd_rows(odd_docs):
+    check(odd_docs)
+
+
+def test_counts_of_all_documents(small_docs):
+    check(small_docs)
+
+
+def test_empty_table(no_docs):
+    assert rules.quality(no_docs).count() == 0
+    assert rules.keep_good(no_docs).columns == no_docs.columns
+
+
+def test_overlapping_repeats(spark):
+    texts = ["a b c d e a b c d e a b c d e", "a a a a a a", "a b c d e f", "x " * 3000, "p q r s t u p q r s t v p q"]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_rules_reject_junk_and_keep_prose(spark):
+    prose = "the cat is on the mat and it was to be seen by all of them in the house for a day"
+    rows = [
+        (1, prose),
+        (2, " ".join(w + "%%%" for w in prose.split())),
+        (3, " ".join(w.upper() + "!!" for w in prose.split())),
+        (4, " | ".join(prose.split())),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in rules.keep_good(docs).collect()] == [1]
+
+
+def test_verdict_follows_labels(spark, small_docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    judged = rules.quality(small_docs).join(labels, "doc_id").where("n_words >= 10")
+    assert judged.where("kept AND quality = 0").count() <= 0.05 * judged.where("quality = 0").count()
+    wrong = judged.where("NOT kept AND NOT base_failed AND quality = 1")
+    assert wrong.count() == 0
+
+
+def test_stays_in_generated_code_without_python(odd_docs):
+    plan = rules.keep_good(odd_docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan

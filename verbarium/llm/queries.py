@@ -10,6 +10,7 @@ from verbarium.llm import (
     html_paths,
     licenses,
     mixing,
+    oracle,
     packing,
     quality_net,
     rules,
@@ -34,7 +35,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    return mixing.mix(_table(spark, sf_dir, "documents")).select(*names)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +100,4 @@ QUERIES = [
     pipeline,
 ]
 
-ORACLE: dict[str, str] = {}
+ORACLE = oracle.STATEMENTS
