@@ -15,6 +15,7 @@ cheaper than padding it.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -31,13 +33,24 @@ MAX = 4096
 END_OF_DOCUMENT = 2
 RUN = 1 << 20
 # Penalties in tokens of padding.
-SENTENCE_CUT = 4
-GRID_CUT = 48
+SENTENCE_CUT = 2
+GRID_CUT = 24
 GRID = 128
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 SEQUENCE_BITS = 40
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for
+    themselves, the others, in order, for letters from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizers file, remembered by word.
 
@@ -45,7 +58,11 @@ class WordTokenizer:
     words in a row. Memory is bounded: a full table of words is emptied.
     """
 
-    ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    # Words of these characters are the same in normal form C, and lower case changes them one
+    # by one; all others, and the names of special tokens, take the way through the whole file.
+    SIMPLE = re.compile("[!-~\u00a1-\u012f\u0131-\u02ff]+")
+    # Fixed value: how the tokenizer file splits words.
+    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     SENTENCE_END = re.compile(r"[.!?]+</w>")
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS):
@@ -62,31 +79,37 @@ class WordTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of_word(self, word: bytes) -> bytes:
-        if not word.isascii() or b"<|" in word:
-            return self.encode(word.decode())
+        text = word.decode()
+        if "<|" in text or not self.SIMPLE.fullmatch(text):
+            return self.encode(text)
         out = []
-        for piece in self.ASCII_PIECES.findall(word.decode().lower()):
+        for piece in self.PIECES.findall(text.lower()):
             ids = self.pieces.get(piece)
             if ids is None:
-                ids = self.pieces[piece] = self.encode(piece)
+                ids = self.pieces[piece] = self.of_piece(piece)
             out.append(ids)
         return b"".join(out)
 
+    def of_piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join([BYTE_LETTERS[b] for b in piece.encode()])
+        ids = [token.id for token in self.tokenizer.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def ids(self, text: bytes) -> np.ndarray:
         words = text.split()
         if len(self.words) > self.limit:
             self.words.clear()
         if len(self.pieces) > self.limit:
             self.pieces.clear()
-        table = self.words
+        table, i = self.words, -1
         parts = list(map(table.get, words))
-        if None in parts:
-            for i, part in enumerate(parts):
-                if part is None:
-                    word = words[i]
-                    if (known := table.get(word)) is None:
-                        known = table[word] = self.of_word(word)
-                    parts[i] = known
+        for _ in range(parts.count(None)):
+            i = parts.index(None, i + 1)
+            word = words[i]
+            if (known := table.get(word)) is None:
+                known = table[word] = self.of_word(word)
+            parts[i] = known
         return np.frombuffer(b"".join(parts), "<u4")
 
 
@@ -99,7 +122,8 @@ def tokenizer_of(path: str) -> WordTokenizer:
 def best_cuts(places: list[int], penalties: list[int]) -> list[int]:
     """Ends of the sequences of the cheapest cutting of ``[0, places[-1])``.
 
-    ``places`` rise by at most ``MAX``; the last one is the end of the stream.
+    ``places`` rise by at most ``MAX``; the last one is the end of the stream. The last sequence
+    has no padding cost: it goes on in the next run, or is cut into powers of two.
     """
     costs = [0]
     at = [0]
@@ -117,8 +141,8 @@ def best_cuts(places: list[int], penalties: list[int]) -> list[int]:
         while queue and queue[-1][0] > key:
             queue.pop()
         queue.append((key, number))
-    ends = []
-    number = len(places)
+    ends = [places[-1]]
+    number = min((n for n in range(len(at) - 1, -1, -1) if at[n] >= at[-1] - MAX and n < len(at) - 1), key=costs.__getitem__)
     while number > 0:
         ends.append(at[number])
         number = origin[number]
