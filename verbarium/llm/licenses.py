@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,9 +74,14 @@ def canonical(text: Column) -> Column:
     return F.concat(F.lit(" "), F.btrim(F.regexp_replace(lowered(text), NO_WORD, " ")), F.lit(" "))
 
 
+def holds_any(text: Column, parts: list[str]) -> Column:
+    """Whether one of ``parts`` is somewhere in the text; plain searches, cheaper than a pattern."""
+    return reduce(Column.__or__, (text.contains(part) for part in parts), F.lit(False))
+
+
 def phrase_places(text: Column, phrases: list[tuple[str, str]]) -> Column:
     """Struct of n_base, first_word, last_word and base_labels; null for texts without a phrase."""
-    hints = "|".join(sorted({max(p.split(), key=len) for p, _ in phrases}))
+    hints = sorted({max(p.split(), key=len) for p, _ in phrases})
 
     def blanks(s: Column) -> Column:
         return (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
@@ -107,7 +113,7 @@ def phrase_places(text: Column, phrases: list[tuple[str, str]]) -> Column:
             ),
         )
 
-    return F.when(F.lower(text).rlike(hints), let(canonical(text), of_canonical))
+    return F.when(holds_any(lowered(text), hints), let(canonical(text), of_canonical))
 
 
 def text_keys(docs: DataFrame) -> DataFrame:
@@ -124,7 +130,7 @@ def word_order(texts: DataFrame, words: list[str]) -> list[str]:
 
     One row per template word comes back, whatever the size of the table.
     """
-    held = F.array_intersect(F.split(canonical(F.col("text")), " "), array_of(words))
+    held = F.array_intersect(F.split(lowered(F.col("text")), NO_WORD), array_of(words))
     counts = texts.select(F.explode(held).alias("word")).groupBy("word").count()
     known = {row["word"]: row["count"] for row in counts.collect()}
     return sorted(words, key=lambda w: (known.get(w, 0), w))
@@ -141,7 +147,7 @@ def matching_blocks(texts: DataFrame, templates: dict[str, str], containment: fl
     sign = "|".join(map(re.escape, sorted(signs)))
     in_line = rf"(?<![0-9a-z\x{{80}}-\x{{10FFFF}}])({sign})(?![0-9a-z\x{{80}}-\x{{10FFFF}}])"
     lines = F.split(lowered(F.col("text")), "\n")
-    some = F.when(lowered(F.col("text")).rlike(f"({sign})"), F.filter(lines, lambda x: x.rlike(in_line)))
+    some = F.when(holds_any(lowered(F.col("text")), signs), F.filter(lines, lambda x: x.rlike(in_line)))
     blocks = texts.select("k1", "k2", F.explode(some).alias("block")).distinct()
     words = F.array_distinct(F.filter(F.split(F.col("block"), NO_WORD), lambda w: w != ""))
     numbers = F.create_map(*(F.lit(x) for w, i in rank.items() for x in (w, i)))
