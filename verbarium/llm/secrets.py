@@ -45,6 +45,8 @@ FILE_CLASSES = 3
 # Bounds of the training sample: documents, and bytes of each.
 SAMPLE_DOCUMENTS = 2000
 SAMPLE_BYTES = 8_000
+SAMPLE_GRAIN = 1 << 40
+SAMPLE_HINTS = ("token", "TOKEN", "Token", "passw", "PASSW", "Passw", "secret", "SECRET", "api_key", "API_KEY", "apikey", "AKIA")
 GENERATED = 600
 POSITIVES = 600
 NEGATIVES = 1500
@@ -350,14 +352,24 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def sample(docs: DataFrame, documents: int, size: int) -> list[bytes]:
-    """At most ``documents`` texts of at most ``size`` bytes, the first by a hash of the text.
+    """About ``documents`` different texts of at most ``size`` bytes, and no more.
 
-    Texts of the base patterns come first, as most others have no secret.
+    Half of them mention a credential, as most texts have no secret. A text is taken if its hash
+    is below a share that follows from the number of different texts, so no task sorts or sends
+    more than it must, and the sample does not depend on the layout.
     """
-    texts = docs.where(F.octet_length("text").between(1, size)).select(text_bytes().alias("bytes"))
-    likely = F.col("bytes").cast("string").rlike(r"(?i)(password|passwd|secret|token|api_?key).{0,4}[:=]|AKIA|[0-9a-f]{24}")
-    ranked = texts.orderBy(F.when(likely, F.pmod(F.xxhash64("bytes"), F.lit(3))).otherwise(1), F.xxhash64("bytes"), "bytes")
-    return [bytes(r[0]) for r in ranked.limit(documents).collect()]
+    text = F.col("text")
+    named = F.lit(False)
+    for hint in SAMPLE_HINTS:
+        named = named | text.contains(hint)
+    texts = docs.where(F.octet_length(text).between(1, size)).select("text", named.alias("named"), F.xxhash64(text).alias("h"))
+    counts = texts.groupBy("named").agg(F.approx_count_distinct("h").alias("n"))
+    share = {r["named"]: documents / 2 / max(1, r["n"]) for r in counts.collect()}
+    place = F.col("h").bitwiseAND(SAMPLE_GRAIN - 1) / F.lit(float(SAMPLE_GRAIN))
+    chosen = texts.where(place < F.when(F.col("named"), share.get(True, 1.0)).otherwise(share.get(False, 1.0)))
+    # Copies share a hash and count once.
+    rows = chosen.groupBy("h").agg(F.min("text").alias("text")).select(text_bytes()).collect()
+    return sorted(bytes(r[0]) for r in rows)[:documents]
 
 
 def trained(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, size: int = SAMPLE_BYTES) -> Field:
@@ -403,8 +415,7 @@ def redact(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
             changed["n_chars"] = [n if old == new else len(new) for n, old, new in pairs]
         return rows | changed
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_rows(docs, work, columns)
+    return map_rows(docs, work, docs.schema)
 
 
 def replaced(text: bytes, spans: list[tuple[int, int, int]]) -> str:
