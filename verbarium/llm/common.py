@@ -8,6 +8,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from verbarium.session import scratch_path, stage
 
@@ -46,13 +48,10 @@ def text_bytes(text: str = "text") -> Column:
 def map_rows(
     df: DataFrame,
     work: Callable[[dict[str, list]], dict[str, list | pa.Array]],
-    schema: str,
+    schema: str | StructType,
 ) -> DataFrame:
     """Apply ``work`` to each Arrow batch as lists by column; it returns the new columns."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    target = StructType.fromDDL(schema)
+    target = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow_schema = to_arrow_schema(target)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +61,7 @@ def map_rows(
                 [as_array(out[f.name], f.type) for f in arrow_schema], schema=arrow_schema
             )
 
-    return df.mapInArrow(over, schema)
+    return df.mapInArrow(over, target)
 
 
 def as_array(values: list | pa.Array, kind: pa.DataType) -> pa.Array:

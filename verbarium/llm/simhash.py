@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from verbarium.llm.common import components, map_rows, staged, text_bytes
 
@@ -80,9 +81,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def work(rows: dict[str, list]) -> dict[str, list]:
         return {"doc_id": rows["doc_id"], "fp": [fingerprint_of(t) for t in rows["_text"]]}
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = docs.select("doc_id", text_bytes().alias("_text"))
-    return map_rows(chosen, work, f"doc_id {kind}, fp long")
+    return map_rows(chosen, work, StructType([docs.schema["doc_id"], StructField("fp", LongType())]))
 
 
 def _segment(fp: Column, k: int) -> Column:
