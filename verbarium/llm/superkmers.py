@@ -11,8 +11,9 @@ are packed. Equal texts have equal results, so a text is known by two 64-bit has
 doc_id: copies stand for one text with a count, and rows without a doc_id or with the same one
 need no special care.
 
-Buckets of more than ``HOT_TEXTS`` texts are spread by the windows' own hashes and counted by an
-aggregation with a map-side combine, so no task holds all rows of a very common passage.
+A task holds one bucket at a time, packed. Buckets of more than ``HOT_TEXTS`` texts, which would
+be some ten MB, are spread by the windows' own hashes and counted by an aggregation with a map-side
+combine, so no task holds all rows of a very common passage.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from verbarium.llm.common import map_rows, staged, text_bytes
 
 WINDOW = 35
 GRAM = 6
-HOT_TEXTS = 2000
+HOT_TEXTS = 20_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -123,21 +124,49 @@ def windows_of(packed: bytes) -> list[bytes]:
 
 
 def repeated_windows(group: list[tuple[bytes, int]]) -> list[list[int]]:
-    """For each (packed words, occurrences) of a bucket the places of its repeated windows."""
+    """For each (packed words, occurrences) of a bucket the places of its repeated windows.
+
+    The windows are sorted by a hash; inside a run of equal hashes the words themselves decide.
+    """
     total: dict[bytes, int] = {}
     for packed, times in group:
         total[packed] = total.get(packed, 0) + times
-    marked: dict[bytes, set[int]] = {packed: set() for packed in total}
-    if len(total) > 1:
-        rows = sorted((w, packed, i) for packed in total for i, w in enumerate(windows_of(packed)))
-        for before, row in zip(rows, rows[1:], strict=False):
-            if before[0] == row[0]:
-                for _, packed, i in (before, row):
-                    marked[packed].add(i)
-    for packed, times in total.items():
-        if times > 1:
-            marked[packed] = set(range(len(packed.split(b" ")) - WINDOW + 1))
-    return [sorted(marked[packed]) for packed, _ in group]
+    texts = list(total)
+    marked: list[set[int]] = [set() for _ in texts]
+    if len(texts) > 1:
+        windows = [windows_of(packed) for packed in texts] if len(texts) < 100 else None
+        of = lambda n: windows[n] if windows else windows_of(texts[n])
+        hashes = [np.fromiter(map(xxhash.xxh3_64_intdigest, of(n)), np.uint64) for n in range(len(texts))]
+        lengths = [len(h) for h in hashes]
+        joined = np.concatenate(hashes)
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        place = np.concatenate([np.arange(n) for n in lengths])
+        order = np.argsort(joined, kind="stable")
+        joined = joined[order]
+        again = np.flatnonzero(joined[1:] == joined[:-1])
+        in_run = np.union1d(again, again + 1)
+        seen: dict[bytes, list[tuple[int, int]]] = {}
+        last = None
+        for r in in_run.tolist():
+            if joined[r] != last:
+                _mark(seen, marked)
+                last = joined[r]
+            n, i = int(owner[order[r]]), int(place[order[r]])
+            seen.setdefault(of(n)[i], []).append((n, i))
+        _mark(seen, marked)
+    places = {}
+    for n, packed in enumerate(texts):
+        whole = range(len(packed.split(b" ")) - WINDOW + 1)
+        places[packed] = list(whole) if total[packed] > 1 else sorted(marked[n])
+    return [places[packed] for packed, _ in group]
+
+
+def _mark(seen: dict[bytes, list[tuple[int, int]]], marked: list[set[int]]) -> None:
+    for found in seen.values():
+        if len(found) > 1:
+            for n, i in found:
+                marked[n].add(i)
+    seen.clear()
 
 
 def spans_of(places: list[int]) -> list[tuple[int, int]]:
