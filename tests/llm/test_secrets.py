@@ -109,3 +109,19 @@ def test_redaction_replaces_spans_and_nothing_else(odd_docs):
     assert [a[0] for a, _ in changed] == [12]
     (_, b), = changed
     assert "abcdef0123456789" not in b[1] and "hunter22" not in b[1] and "token:short" in b[1] and b[4] == len(b[1])
+
+
+@pytest.mark.parametrize("symbol", "!@#$%&~")
+def test_redaction_removes_words_that_go_on_after_a_base_span(field, symbol):
+    scanner = secrets.Scanner(field)
+    for secret in (f"fKd02mQpLs83{symbol}jdkQ02lsX9Q", f"fKd02mQpLs83jdkQ02lsX9Q{symbol}", f"Tr0ub4dor{symbol}3xyz"):
+        text = f"the cat is on the mat password: {secret} was seen by them".encode()
+        base, found = secrets.base_spans(text), scanner.spans(text)
+        assert len(base) == 1 and base[0] in found and text[: base[0][1]].decode() in text.decode().split(symbol)[0]
+        assert secrets.replaced(text, found) == "the cat is on the mat [SECRET] was seen by them"
+
+
+def test_spans_of_the_field_within_base_spans_are_left_out(field):
+    scanner = secrets.Scanner(field)
+    text = b"the cat is on the mat password: fKd02mQpLs83jdkQ02lsX9Q was seen by them"
+    assert scanner.field_spans(text) and scanner.spans(text) == secrets.base_spans(text)

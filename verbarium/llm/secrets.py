@@ -57,7 +57,8 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 CREDENTIAL = re.compile(rb"passw|passphrase|secret|token|api_?key|access_key|credential|bearer|auth")
 UPPER_LATER, LOWER, DIGIT = re.compile(rb"(?<=.)[A-Z]"), re.compile(rb"[a-z]"), re.compile(rb"[0-9]")
 HEX_WORD = re.compile(rb"[0-9a-fA-F]+")
-CORE = re.compile(rb"[A-Za-z0-9+/_=.-]*[A-Za-z0-9+/_=-]")
+# Symbols that passwords hold belong to a secret also at its ends.
+CORE = re.compile(rb"[A-Za-z0-9+/_=.!@#$%&~^-]*[A-Za-z0-9+/_=!@#$%&~^-]")
 LENGTHS = (1, 4, 8, 12, 16, 24, 36)
 REDACTED = "[SECRET]"
 
@@ -190,6 +191,8 @@ def generated(count: int, seed: int = 0) -> list[tuple[bytes, list[tuple[int, in
     lines = []
     for i in range(count):
         mixed = pick(lower, 3, 4) + pick(lower + upper + digit, 12, 40) + pick(digit, 1, 2) + pick(upper, 1, 2)
+        some = lower + digit + upper * (i % 20 < 10)
+        symbolic = pick(some, 5, 12) + pick("!@#$%&~^", 1, 2) + pick(some, 3, 16) + pick(digit, 1, 2)
         name = names[int(rng.integers(len(names)))]
         secret = (
             f'{name} = "{mixed}"',
@@ -200,7 +203,9 @@ def generated(count: int, seed: int = 0) -> list[tuple[bytes, list[tuple[int, in
             f"{name} := {mixed}",
             f"{name} is {mixed}",
             f"{name} {mixed}",
-        )[i % 8]
+            f"{name}: {symbolic}",
+            f'{name} = "{symbolic}"',
+        )[i % 10]
         before = " ".join(pick(lower, 2, 10) for _ in range(8))
         after = " ".join(pick(lower, 2, 10) for _ in range(8))
         lines.append((f"{before} {secret} {after}".encode(), [(len(before) + 1, len(before) + 1 + len(secret), 0)]))
@@ -323,9 +328,12 @@ class Scanner:
         return [trimmed for s, e, _ in spans if (trimmed := trim(text, s, e))]
 
     def spans(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, kind) in bytes; spans of the field that touch a base span are left to it."""
+        """(start, end, kind) in bytes; spans of the field that lie within a base span are left to it.
+
+        Those that reach beyond one stay whole, so spans may overlap.
+        """
         base = base_spans(text)
-        extra = [(s, e, 3) for s, e in self.field_spans(text) if not any(s < y and x < e for x, y, _ in base)]
+        extra = [(s, e, 3) for s, e in self.field_spans(text) if not any(x <= s and e <= y for x, y, _ in base)]
         return sorted(base + extra, key=lambda s: (s[0], s[2]))
 
 
