@@ -104,3 +104,19 @@ def test_recall_on_the_given_table(spark):
         v /= np.linalg.norm(v, axis=1, keepdims=True)
         total += int((v @ v.T >= 0.93).sum()) - len(part)
     assert 0.9 * total <= found <= total
+
+
+def test_recall_in_a_dense_cloud(spark):
+    """A label of 4,000 vectors with typical cosines around 0.9, and one with such a cloud in a third of its rows."""
+    rng = np.random.default_rng(5)
+    dim, n = 64, 4000
+    centres = np.repeat(rng.standard_normal((1, dim)), n, 0)
+    cloud = centres / np.linalg.norm(centres, axis=1, keepdims=True) + rng.standard_normal((n, dim)) * 0.33 / np.sqrt(dim)
+    other = rng.standard_normal((n, dim))
+    other[: n // 3] = cloud[: n // 3]
+    rows = [(i, v.tolist(), i // n, 1) for i, v in enumerate(np.concatenate([cloud, other]))]
+    found = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA), leaf=64).collect()}
+    for label, part in enumerate((cloud, other)):
+        v = np.array([np.frombuffer(embeddings.unit(x)) for x in np.float32(part).astype(float).tolist()])
+        total = int((v @ v.T >= 0.93).sum()) - n
+        assert 0.9 * total <= sum(found[label * n + i] for i in range(n)) <= total

@@ -1,10 +1,15 @@
-"""Embedding near-dedup: a forest of random-projection trees with spill overlap.
+"""Embedding near-dedup: a forest of random-projection trees with measured spill overlap.
 
 Vectors are compared only under equal labels, so every label is a root in every tree. A node is
-split at the median of the projection on a random direction; what lies within ``SPILL`` of the
-median goes to both sides. A node is a leaf when it is small, or when its projections lie so
-close together that typical pairs in it are linked: a split would only cut links then. Leaves
-that are still large are compared in blocks, each pair of blocks in a task of its own.
+split at a cut of its projection on one of several random directions; what lies within the
+cut's spill goes to both sides. Direction, cut and spill are chosen per node on a sample of its
+vectors: the cheapest split that loses no more links than the node may. A tree may lose the share
+``LOSS`` of the links from root to leaf, whatever its depth, so with independent trees
+1 - ``LOSS`` ** trees of them are found. Lost links are counted among the sample's own; few of
+those are filled up by what the density at the cut would lose. A node is a leaf when it is small,
+or when no split is cheaper than comparing it whole, as in dense clouds. A label that one tree
+compares whole is left out of the other trees. Leaves that are still large are compared in blocks,
+each pair of blocks in a task of its own: exact, and quadratic in the size of a dense cloud.
 
 Inside a leaf all pairs are compared in double precision, exactly. A pair is counted in the
 first leaf that both vectors share, so counts are right however many leaves share it. Out of a
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from math import erfc, exp, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +34,19 @@ from verbarium.session import scratch_path
 COSINE = 0.93
 TREES = 4
 LEAF = 512
-# Projections of unit vectors on directions of length sqrt(dimensions), as a share of the
-# distance of a pair at the threshold: half the overlap, and the quartile range of a tight node.
-SPILL = 0.32
-TIGHT = 0.95
+# Vectors of a node by which its split is chosen, and links among them.
+SAMPLE = 512
+SAMPLE_LINKS = 4000
+SAMPLE_GRAIN = 1 << 40
+# Share of the links that a tree may lose, and how many sampled links the density's estimate counts for.
+LOSS = 0.3
+PRIOR = 30
+# Half the overlap, as shares of the distance of a pair at the threshold; places of the cuts.
+SPILLS = (0.32, 0.45, 0.6, 0.8, 1.0, 1.3)
+CUTS = (0.3, 0.4, 0.5, 0.6, 0.7)
+# Most pairs in the two sides of a split, as a share of the node's; logarithm by which a level shrinks a node.
+GAIN = 0.9
+SHRINK = 0.5
 LEVELS = 8
 
 
@@ -77,12 +92,18 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def projected(classes: DataFrame, places: DataFrame | None, first_level: int, trees: int) -> DataFrame:
-    """(id, tree, node, open, p): projections of each vector on the next levels' directions."""
+    """(id, tree, node, root, left, p): projections of each vector on the next levels' directions.
+
+    ``root`` is the label's, ``left`` the share of links that may still be lost.
+    """
     if places is None:
         start = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        start = start.select("id", "v", "tree", F.xxhash64("tree", "label", "dim").alias("node"))
+        start = start.select(
+            "id", "v", "tree", F.xxhash64("tree", "label", "dim").alias("node"), F.xxhash64("label", "dim").alias("root"), F.lit(LOSS).alias("left")
+        )
     else:
-        start = classes.select("id", "v").join(places, "id").select("id", "v", "tree", "node")
+        start = classes.select("id", "v").join(places, "id").select("id", "v", "tree", "node", "root", "left")
+    names = ["id", "tree", "node", "root", "left"]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,40 +113,94 @@ def projected(classes: DataFrame, places: DataFrame | None, first_level: int, tr
                 rows.append(directions(tree, first_level, len(x)) @ x)
             flat = np.concatenate(rows) if rows else np.zeros(0)
             p = pa.FixedSizeListArray.from_arrays(pa.array(flat), LEVELS).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tree"), batch.column("node"), p], names=["id", "tree", "node", "p"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), p], names=[*names, "p"])
+
+    return start.mapInArrow(over, "id long, tree int, node long, root long, left double, p array<double>")
+
+
+def beyond(x: float) -> float:
+    """Mean of what a standard normal's absolute value exceeds ``x`` by."""
+    return 2 * (exp(-x * x / 2) / sqrt(2 * pi) - x * erfc(x / sqrt(2)) / 2)
+
 
-    return start.mapInArrow(over, "id long, tree int, node long, p array<double>")
+def best_split(v: np.ndarray, p: np.ndarray, n: int, left: float, cosine: float, leaf: int) -> tuple[int, float, float, float] | None:
+    """Direction, cut, spill and lost share of the split of a node of ``n`` vectors; None for a leaf.
+
+    ``v`` and ``p``: vectors and projections of its sample.
+    """
+    reach = sqrt(2 - 2 * cosine)
+    allowed = left / max(1.0, log(n / leaf) / SHRINK)
+    i, j = np.nonzero(np.triu(v @ v.T >= cosine, 1))
+    if len(i) > SAMPLE_LINKS:
+        some = np.random.default_rng(0).choice(len(i), SAMPLE_LINKS, replace=False)
+        i, j = i[some], j[some]
+    best = None
+    for axis in range(p.shape[1]):
+        x = p[:, axis]
+        low, high = np.minimum(x[i], x[j]), np.maximum(x[i], x[j])
+        for cut in np.quantile(x, CUTS).tolist():
+            density = (np.abs(x - cut) <= reach).mean() / (2 * reach)
+            for share in SPILLS:
+                spill = share * reach
+                cost = (x <= cut + spill).mean() ** 2 + (x > cut - spill).mean() ** 2
+                if cost >= GAIN:
+                    break
+                lost = ((low <= cut - spill) & (high > cut + spill)).sum()
+                loss = (lost + PRIOR * density * reach * beyond(2 * share)) / (len(i) + PRIOR)
+                if loss <= allowed:
+                    if best is None or cost + loss < best[0]:
+                        best = (cost + loss, axis, cut, spill, loss)
+                    break
+    return best and best[1:]
+
+
+def node_splits(state: DataFrame, classes: DataFrame, cosine: float, leaf: int) -> DataFrame:
+    """(node, axis, cut, spill, loss) of the nodes that are split."""
+    sizes = state.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > leaf)
+    place = F.xxhash64("id", "node").bitwiseAND(SAMPLE_GRAIN - 1) / F.lit(float(SAMPLE_GRAIN))
+    sampled = state.join(sizes, "node").where(place < F.lit(float(SAMPLE)) / F.col("n")).select("id", "node", "n", "left", "p")
+    sampled = sampled.join(classes.select("id", "v"), "id")
+
+    def task(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        v = np.frombuffer(b"".join(group["v"].to_pylist())).reshape(len(group), -1)
+        p = np.array(group["p"].to_pylist())
+        found = best_split(v, p, group["n"][0].as_py(), group["left"][0].as_py(), cosine, leaf)
+        rows = [] if found is None else [(group["node"][0].as_py(), *found)]
+        kinds = {"node": pa.int64(), "axis": pa.int32(), "cut": pa.float64(), "spill": pa.float64(), "loss": pa.float64()}
+        return pa.table({c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(kinds.items())})
+
+    return sampled.groupBy("node").applyInArrow(task, "node long, axis int, cut double, spill double, loss double")
 
 
 def forest(classes: DataFrame, cosine: float, trees: int, leaf: int) -> DataFrame:
     """(id, leaf): the leaves of every vector in all trees.
 
-    Each level is one aggregation, whose partial results have a bounded size, and one join.
+    Each level is one count, one choice on samples of bounded size, and one join.
     """
-    spill, tight = (x * float(np.sqrt(2 - 2 * cosine)) for x in (SPILL, TIGHT))
     done: list[DataFrame] = []
     level = 0
     places: DataFrame | None = None
     while True:
-        here = level % LEVELS
-        if here == 0:
-            state = projected(classes, places, level, trees)
-        at = F.get("p", F.lit(here))
-        nodes = state.groupBy("node").agg(
-            F.count("*").alias("n"), F.percentile_approx(at, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("q")
-        )
-        low, middle, high = (F.get("q", F.lit(i)) for i in range(3))
-        splits = (F.col("n") > leaf) & (high - low > tight) & (low < middle - spill) & (high > middle + spill)
-        nodes = nodes.select("node", F.when(splits, middle).alias("cut"))
-        cut = staged(state.join(nodes, "node").withColumn("at", at), "forest")
+        if level % LEVELS == 0:
+            state = staged(projected(classes, places, level, trees), "forest")
+        splits = staged(node_splits(state, classes, cosine, leaf), "splits")
+        cut = staged(state.join(splits, "node", "left").withColumn("at", F.get("p", F.col("axis"))), "forest")
+        if level == 0:
+            # Labels that a tree compares whole need no other tree.
+            whole = cut.where("cut IS NULL").groupBy("root").agg(F.min("tree").alias("only"))
+            cut = cut.join(whole, "root", "left").where("only IS NULL OR only = tree")
         done.append(cut.where("cut IS NULL").select("id", "tree", F.col("node").alias("leaf")))
         rest = cut.where("cut IS NOT NULL")
         if rest.isEmpty():
             break
-        sides = F.array_compact(F.array(F.when(F.col("at") <= F.col("cut") + spill, 0), F.when(F.col("at") > F.col("cut") - spill, 1)))
+        low, high = F.col("at") <= F.col("cut") + F.col("spill"), F.col("at") > F.col("cut") - F.col("spill")
+        sides = F.array_compact(F.array(F.when(low, 0), F.when(high, 1)))
         child = F.xxhash64("node", F.lit(level), "side")
-        state = rest.withColumn("side", F.explode(sides)).select("id", "tree", child.alias("node"), "p")
-        places = state.select("id", "tree", "node")
+        state = rest.withColumn("side", F.explode(sides)).select(
+            "id", "tree", child.alias("node"), "root", (F.col("left") - F.col("loss")).alias("left"), "p"
+        )
+        places = state.select("id", "tree", "node", "root", "left")
         level += 1
     leaves = done[0]
     for more in done[1:]:
