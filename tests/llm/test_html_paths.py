@@ -84,3 +84,33 @@ def test_all_pages_give_their_article(spark):
 
         assert r["text"].split() == unescape(words).split()
         assert r["n_chars"] == len(r["text"])
+
+
+STORY = "<h1>Title</h1><p>" + "the story has many words " * 20 + "</p>"
+WORDS = "Title " + ("the story has many words " * 20).strip()
+
+
+@pytest.mark.parametrize("wrapper", ["class='has-sidebar'", "class='layout with-menu'", "id='widget-content'", "class='social-page'", "class='widget'", "class='menu'"])
+def test_wrappers_named_like_boilerplate_keep_the_article(wrapper):
+    for tag in ("article", "main"):
+        page = f"<body><div {wrapper}><div class='sidebar'><p>Side</p></div><{tag}>{STORY}</{tag}></div><div class='ad'>Buy</div></body>"
+        assert extract(page, vote(page)[0]).split() == WORDS.split()
+
+
+@pytest.mark.parametrize("wrapper", ["class='has-sidebar'", "class='layout with-menu'", "id='widget-content'", "class='widget'", "class='with-header'"])
+def test_wrappers_that_hold_most_of_the_text_stay(wrapper):
+    page = f"<body><div {wrapper}>{STORY}<div class='menu'><p>Menu of this page</p></div></div><div class='foot'><p>Foot</p></div></body>"
+    assert extract(page, vote(page)[0]).split() == WORDS.split()
+
+
+def test_names_inside_an_article():
+    page = (
+        "<body><article><p>one</p><section class='related-work'><p>two</p></section><p class='notice'>three</p><div class='related-posts'><p>no</p></div>"
+        "<div class='share-widget-x'><a href='x'>no</a></div><p class='ad'>no</p><div class='comments'><p>no</p></div></article></body>"
+    )
+    assert extract(page, None) == "one\ntwo\nthree"
+
+
+def test_small_parts_named_like_boilerplate_go():
+    page = f"<body><div class='x'>{STORY}<div class='my-sidebar'><p>no</p></div><div class='comments'><article><p>no</p></article></div></div></body>"
+    assert extract(page, vote(page)[0]).split() == WORDS.split()

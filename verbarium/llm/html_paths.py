@@ -3,7 +3,9 @@
 A page is a stream of tags and text. Each text block counts for its nearest container, and by
 half for that one's parent, unless it stands in a menu, an advert, a footer or the like; links
 count less. The best container's path of generalised tags and classes (no ids, no digits) is the
-page's vote. Spark sums the votes by host; each page is then extracted again along its host's
+page's vote. An element that only its class, id or role names as boilerplate is judged by what it
+holds: an article or main element inside stays, and so does what holds most of the page's text.
+Spark sums the votes by host; each page is then extracted again along its host's
 winning path. Pages without such a container are extracted by their own best one.
 """
 
@@ -38,6 +40,14 @@ BOILERPLATE = set(
     disqus replies respond share sharing social related recommended recommendations newsletter subscribe subscription
     signup popup modal widget widgets masthead toolbar pagination pager""".split()
 )
+# Of these, what is never the text of a page.
+NEVER_TEXT = BOILERPLATE - set("sponsor sponsored promo promotion notice notices alert sidebar side footer foot comment comments replies respond share sharing social related recommended recommendations widget widgets".split())
+# Words that leave a class, id or role as boilerplate as the word beside them.
+FILLERS = set("area bar block box button buttons container form item items left links list page posts right section site text title top bottom wrap wrapper".split())
+# Elements of the text itself; inside an article only NEVER_TEXT drops them.
+TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote table tbody tr td th figure figcaption caption".split())
+# Shares of the page's text: what is less is minor, what is more is the page's own text.
+MINOR, DOMINANT = 0.25, 0.8
 PAGE_HEADER = {"header", "banner", "masthead", "topbar"}
 # Classes on elements that hold the page itself.
 NEVER_BOILERPLATE = {"html", "body", "article", "main"}
@@ -52,6 +62,23 @@ class Node:
     parent: Node | None
     score: float = 0.0
     number: int = 0
+    article: Node | None = None  # the outermost article or main element around it
+    named: Named | None = None  # the nearest element, itself included, with a name of boilerplate
+
+
+@dataclass
+class Named:
+    """An element with a name of boilerplate: how sure it is, where it stands, and what it holds."""
+
+    level: int
+    in_article: bool
+    above: Named | None
+    length: int = 0
+    linked: int = 0
+    articles: int = 0
+
+
+WEAK, STRONG, ALWAYS = 1, 2, 3
 
 
 @dataclass
@@ -78,14 +105,72 @@ def class_of(tag: str) -> str:
     return ""
 
 
-def is_boilerplate(tag: str, names: tuple[str, ...], inside_article: bool) -> bool:
-    if tag in SKIPPED:
-        return True
+def tokens_of(tag: str) -> list[list[str]]:
+    """The classes, id and role of a tag, each as its parts."""
+    return [NAME.findall(x) for m in ATTRIBUTE.finditer(tag) for x in m[2].lower().strip("\"'").split()]
+
+
+def boilerplate_level(tag: str, token: str, names: tuple[str, ...], inside_article: bool) -> int:
+    """0 if no class, id or role names boilerplate, else how sure it is.
+
+    A name is strong if it consists of words of boilerplate and fillers, as in "cookie-notice";
+    others, as "has-sidebar" or "related-work", are weak.
+    """
     if tag in NEVER_BOILERPLATE:
-        return False
-    if not inside_article and (tag == "header" or not PAGE_HEADER.isdisjoint(names)):
-        return True
-    return not BOILERPLATE.isdisjoint(names)
+        return 0
+    if not inside_article and tag == "header":
+        return ALWAYS
+    words, never = (BOILERPLATE, NEVER_TEXT) if inside_article else (BOILERPLATE | PAGE_HEADER, NEVER_TEXT | PAGE_HEADER)
+    if words.isdisjoint(names):
+        return 0
+    found = WEAK
+    for parts in tokens_of(token):
+        if not words.isdisjoint(parts) and (words | FILLERS).issuperset(parts):
+            found = max(found, STRONG if never.isdisjoint(parts) else ALWAYS)
+    if inside_article and tag in TEXT_TAGS and found < ALWAYS:
+        return 0
+    return found
+
+
+def chain(node: Node) -> list[Named]:
+    found, named = [], node.named
+    while named is not None:
+        found.append(named)
+        named = named.above
+    return found
+
+
+def judge(blocks: list[Block]) -> None:
+    """Marks as skipped what stands in boilerplate, once all of the page is known."""
+    open_blocks = [b for b in blocks if not b.node.skipped]
+    total = 0
+    for block in open_blocks:
+        length = sum(map(len, block.pieces))
+        over = chain(block.node)
+        # Sure boilerplate is no text of the elements around it; only an article in it may be.
+        sure = any(n.level == ALWAYS and (n.in_article or block.node.article is None) for n in over)
+        total += 0 if sure else length
+        for named in over:
+            if not sure or named.level == ALWAYS:
+                named.length += length
+                named.linked += block.linked
+                if block.node.article is not None and not named.in_article:
+                    named.articles += length
+
+    def drops(named: Named, article: bool) -> bool:
+        links = named.linked > 0.5 * named.length
+        share = named.length / total if total else 0.0
+        if named.in_article:
+            return named.level > WEAK or links
+        if named.articles and (named.level == WEAK or article and named.articles >= MINOR * total):
+            return False
+        if named.level == ALWAYS:
+            return True
+        return links or share < (DOMINANT if named.level == STRONG else MINOR)
+
+    for block in open_blocks:
+        node = block.node
+        node.skipped = any(drops(named, node.article is not None) for named in chain(node))
 
 
 def parse(page: str) -> list[Block]:
@@ -163,16 +248,22 @@ def parse(page: str) -> list[Block]:
             continue
         parent = stack[-1]
         names = names_of(token)
-        inside = any(n.tag in ("article", "main") for n in stack)
-        skipped = parent.skipped or is_boilerplate(tag, names, inside)
+        article = parent.article
+        skipped = parent.skipped or tag in SKIPPED
+        level = 0 if skipped else boilerplate_level(tag, token, names, article is not None)
+        named_by = Named(level, article is not None, parent.named) if level else parent.named
         kind = class_of(token)
         path = parent.path
         if tag in CONTAINERS:
             path = f"{parent.path}>{tag}.{kind}" if kind else f"{parent.path}>{tag}"
-        stack.append(Node(tag, names, path, skipped, parent))
+        node = Node(tag, names, path, skipped, parent, article=article, named=named_by)
+        if article is None and tag in ("article", "main"):
+            node.article = node
+        stack.append(node)
         links = 0
         if tag in RAW:
             raw_end = tag
+    judge(blocks)
     return blocks
 
 
@@ -198,6 +289,8 @@ def best_container(blocks: list[Block]) -> tuple[Node, float] | None:
             continue
         length = sum(map(len, block.pieces))
         value = length - 0.9 * block.linked
+        if block.node.named is not None and block.node.article is None:
+            value *= 0.5
         above = container_of(own.parent) if own.parent else None
         for node, share in ((own, 1.0), (above, 0.5)):
             if node is not None:
