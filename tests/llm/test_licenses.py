@@ -81,3 +81,25 @@ def test_no_python_on_the_main_path(odd_docs):
     plan = licenses.scan(odd_docs)._jdf.queryExecution().executedPlan().toString()
     for word in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"):
         assert word not in plan
+
+
+@pytest.mark.parametrize("width", [40, 72, 80])
+def test_wrapped_templates(spark, width):
+    import textwrap
+
+    rows = []
+    for name, template in licenses.TEMPLATES.items():
+        lines = textwrap.wrap(template, min(width, len(template) * 2 // 3))
+        rows += [(name, "Some text.\n\n" + "\n".join(lines) + "\n\nMore of it."), (name, "/*\r\n" + "\r\n".join(f" * {x}" for x in lines) + "\r\n */")]
+        assert len(lines) > 1
+    rows += [("", ("word " * 30 + "\n").join(template.split())) for template in licenses.TEMPLATES.values() if len(template.split()) > 20]
+    rows += [("", template.replace(" ", "\n\n")) for template in licenses.TEMPLATES.values()]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    for r in licenses.scan(docs, runs=licenses.RUN_LINES).collect():
+        own = r["labels"].split(",")
+        assert r["doc_id"] in own if r["doc_id"] else not set(own) & set(licenses.TEMPLATES)
+
+
+def test_runs_of_lines_keep_what_lines_have(odd_docs):
+    alone, runs = ({tuple(r) for r in licenses.scan(odd_docs, runs=n).collect()} for n in (1, licenses.RUN_LINES))
+    assert alone == runs

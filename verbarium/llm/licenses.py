@@ -7,6 +7,12 @@ holds c = ceil(n * CONTAINMENT) of them, so it has one of the n - c + 1 rarest (
 at least c words (length filter), and after its first shared word enough words must be left on
 both sides (positional filter). What passes is checked exactly.
 
+Notices are wrapped over lines, so with ``runs`` above 1 a block is also a run of up to ``runs``
+consecutive lines with words, whose inner lines hold no more words than the template has. Every
+run that meets a template has a word of its prefix in some line. The lines around such a line are
+tested first, all at once and by the same filters; only where they meet a template, its runs are
+taken one by one.
+
 Only lines with a word of some prefix are split into words. Equal texts have equal results, so
 blocks belong to a text (two hashes of it), not to a doc_id.
 """
@@ -24,6 +30,8 @@ from verbarium.llm.common import staged
 from verbarium.llm.rules import let
 
 CONTAINMENT = 0.8
+# Lines of a wrapped notice at most.
+RUN_LINES = 10
 
 # Phrases and their labels.
 PHRASES = [
@@ -136,7 +144,58 @@ def word_order(texts: DataFrame, words: list[str]) -> list[str]:
     return sorted(words, key=lambda w: (known.get(w, 0), w))
 
 
-def matching_blocks(texts: DataFrame, templates: dict[str, str], containment: float) -> DataFrame:
+def line_places(texts: DataFrame, signs: list[str], in_line: str, runs: int) -> DataFrame:
+    """(k1, k2, near, centre): the lines around each line with a sign, and its place among them."""
+    lines = texts.select("k1", "k2", F.when(holds_any(lowered(F.col("text")), signs), F.split(lowered(F.col("text")), "\n")).alias("lines"))
+    at = F.array_compact(F.transform("lines", lambda x, i: F.when(x.rlike(in_line), i)))
+
+    def around(i: Column) -> Column:
+        first = F.greatest(i - (runs - 1), F.lit(0))
+        return F.struct(F.slice("lines", first + 1, i - first + runs).alias("near"), (i - first).alias("centre"))
+
+    # The outer form, as the plain one gets a filter that evaluates the whole array once more.
+    marked = lines.select("k1", "k2", F.explode_outer(F.transform(at, around)).alias("place"))
+    return marked.where("place IS NOT NULL").select("k1", "k2", "place.*")
+
+
+def shaped(blocks: DataFrame, rank: dict[str, int]) -> DataFrame:
+    """``blocks`` with n_words and ranks, the known ones of the words of column ``block``."""
+    words = F.array_distinct(F.filter(F.split(F.col("block"), NO_WORD), lambda w: w != ""))
+    numbers = F.create_map(*(F.lit(x) for w, i in rank.items() for x in (w, i)))
+    known = F.sort_array(F.transform(F.filter(words, lambda w: w.isin(list(rank))), lambda w: F.element_at(numbers, w)))
+    return blocks.withColumn("n_words", F.size(words)).withColumn("ranks", known)
+
+
+def meeting(blocks: DataFrame, index: DataFrame, *kept: str) -> DataFrame:
+    """``kept``, template, size and overlap of the shaped ``blocks`` that meet a template."""
+    probes = blocks.select(*kept, "n_words", "ranks", F.posexplode("ranks").alias("j", "rank"))
+    met = probes.where(F.size("ranks") > 0).join(F.broadcast(index), "rank")
+    # Length filter, then what can still be shared from this word on, in template and block.
+    met = met.where(F.col("n_words") >= F.col("needed"))
+    rest = 1 + F.least(F.col("size") - F.col("i") - 1, F.size("ranks") - F.col("j") - 1)
+    overlap = F.size(F.array_intersect("ranks", "all"))
+    # The first shared word is the one that counts; later ones of the same pair are dropped by the
+    # distinct below, and have less left, so a pair stays if its first word passes.
+    met = met.where(rest >= F.col("needed")).select(*kept, "template", "size", "needed", overlap.alias("overlap"))
+    return met.where(F.col("overlap") >= F.col("needed")).drop("needed").distinct()
+
+
+def runs_of(met: DataFrame, totals: dict[str, int], runs: int) -> DataFrame:
+    """(k1, k2, template, block): runs of lines around those of ``met``, for its template."""
+    total = F.create_map(*(F.lit(x) for pair in totals.items() for x in pair))
+    counts = F.transform("near", lambda x: F.size(F.filter(F.split(x, NO_WORD), lambda w: w != "")))
+    known = met.select("k1", "k2", "template", "near", "centre", counts.alias("counts"))
+    first = known.select("*", F.explode(F.sequence(F.lit(0), F.col("centre"))).alias("a"))
+    last = first.select("*", F.explode(F.sequence(F.col("centre"), F.least(F.size("near"), F.col("a") + runs) - 1)).alias("b"))
+    last = last.where(F.col("b") > F.col("a"))
+    own = F.slice("counts", F.col("a") + 1, F.col("b") - F.col("a") + 1)
+    inner = F.aggregate(F.slice("counts", F.col("a") + 2, F.greatest(F.col("b") - F.col("a") - 1, F.lit(0))), F.lit(0), lambda t, x: t + x)
+    whole = last.where((F.array_min(own) > 0) & (inner <= F.element_at(total, F.col("template"))))
+    block = F.array_join(F.slice("near", F.col("a") + 1, F.col("b") - F.col("a") + 1), " ")
+    return whole.select("k1", "k2", "template", block.alias("block")).distinct()
+
+
+def matching_blocks(texts: DataFrame, templates: dict[str, str], containment: float, runs: int = 1) -> DataFrame:
     """(k1, k2, template, overlap, size): text blocks that meet a template, and all such pairs."""
     sets = {name: words_of(text) for name, text in templates.items()}
     order = word_order(texts, sorted(set().union(*sets.values())))
@@ -146,38 +205,37 @@ def matching_blocks(texts: DataFrame, templates: dict[str, str], containment: fl
     signs = [order[i] for i in sorted(set().union(*map(set, prefix.values())))]
     sign = "|".join(map(re.escape, sorted(signs)))
     in_line = rf"(?<![0-9a-z\x{{80}}-\x{{10FFFF}}])({sign})(?![0-9a-z\x{{80}}-\x{{10FFFF}}])"
-    lines = F.split(lowered(F.col("text")), "\n")
-    some = F.when(holds_any(lowered(F.col("text")), signs), F.filter(lines, lambda x: x.rlike(in_line)))
-    blocks = texts.select("k1", "k2", F.explode(some).alias("block")).distinct()
-    words = F.array_distinct(F.filter(F.split(F.col("block"), NO_WORD), lambda w: w != ""))
-    numbers = F.create_map(*(F.lit(x) for w, i in rank.items() for x in (w, i)))
-    known = F.sort_array(F.transform(F.filter(words, lambda w: w.isin(list(rank))), lambda w: F.element_at(numbers, w)))
-    shaped = blocks.select(
-        "k1", "k2", F.xxhash64("block").alias("block"), F.size(words).alias("n_words"), known.alias("ranks")
-    )
     # The index of prefixes: a fixed small table, known when the plan is built.
     spark = texts.sparkSession
     rows = [(r, name, i, len(ranked[name]), needed(len(ranked[name]), containment), ranked[name])
             for name in sorted(prefix) for i, r in enumerate(prefix[name])]
     index = spark.createDataFrame(rows, "rank int, template string, i int, size int, needed int, all array<int>")
-    probes = shaped.select("k1", "k2", "block", "n_words", "ranks", F.posexplode("ranks").alias("j", "rank"))
-    met = probes.where(F.size("ranks") > 0).join(F.broadcast(index), "rank")
-    # Length filter, then what can still be shared from this word on, in template and block.
-    met = met.where(F.col("n_words") >= F.col("needed"))
-    rest = 1 + F.least(F.col("size") - F.col("i") - 1, F.size("ranks") - F.col("j") - 1)
-    overlap = F.size(F.array_intersect("ranks", "all"))
-    # The first shared word is the one that counts; later ones of the same pair are dropped by the
-    # distinct below, and have less left, so a pair stays if its first word passes.
-    met = met.where(rest >= F.col("needed")).select("k1", "k2", "block", "template", "size", "needed", overlap.alias("overlap"))
-    return met.where(F.col("overlap") >= F.col("needed")).drop("needed").distinct()
-
-
-def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    if runs > 1:
+        places = staged(line_places(texts, signs, in_line, runs), "license-lines")
+        blocks = places.select("k1", "k2", F.get("near", F.col("centre")).alias("block")).distinct()
+    else:
+        lines = F.split(lowered(F.col("text")), "\n")
+        some = F.when(holds_any(lowered(F.col("text")), signs), F.filter(lines, lambda x: x.rlike(in_line)))
+        blocks = texts.select("k1", "k2", F.explode(some).alias("block")).distinct()
+    found = meeting(shaped(blocks, rank).withColumn("block", F.xxhash64("block")), index, "k1", "k2", "block")
+    if runs == 1:
+        return found
+    near = places.withColumn("block", F.array_join("near", " "))
+    met = meeting(shaped(near, rank), index, "k1", "k2", "near", "centre")
+    totals = {name: len(re.findall(r"[0-9a-z]+", text.lower())) for name, text in templates.items()}
+    wrapped = shaped(runs_of(met, totals, runs), rank).withColumnRenamed("template", "own")
+    wrapped = wrapped.withColumn("block", F.xxhash64("block"))
+    wrapped = meeting(wrapped, index, "k1", "k2", "block", "own").where("own = template").drop("own")
+    return found.union(wrapped.select(*found.columns)).distinct()
+
+
+def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT, runs: int = 1) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row.
 
     ``score`` is 1 for texts with a phrase, else the largest containment found, else 0. A null
     or empty text has no words and no labels (empty strings). Repeated rows and null ids stay;
-    an empty table gives an empty result.
+    an empty table gives an empty result. With ``runs`` above 1 notices that are wrapped over up
+    to so many lines are found besides those in a line.
     """
     texts = text_keys(docs)
     base = texts.select(
@@ -187,7 +245,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: d
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
         phrase_places(F.col("text"), phrases).alias("base"),
     )
-    blocks = matching_blocks(texts, templates, containment)
+    blocks = matching_blocks(texts, templates, containment, runs)
     found = blocks.groupBy("k1", "k2").agg(
         F.collect_set("template").alias("found"), F.max(F.col("overlap") / F.col("size")).alias("containment")
     )

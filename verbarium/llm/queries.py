@@ -52,7 +52,7 @@ def op4_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents"))
+    return licenses.scan(_table(spark, sf_dir, "documents"), runs=licenses.RUN_LINES)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
