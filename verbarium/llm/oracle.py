@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verbarium.llm import embeddings, licenses, mixing, rules, superkmers
+from verbarium.llm import embeddings, licenses, mixing, prefix_trie, rules, superkmers
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -144,4 +144,44 @@ FROM embeddings LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least ON least.a
 """
 
 
-STATEMENTS = {f.__name__: f() for f in (op1_mixing, op5_licenses, op6_quality_rules, op7_substring_dedup, op10_embeddings)}
+def op11_prefix_trie() -> str:
+    # Bit by bit, over the digits of the id.
+    shifted = "xor(x >> 1, 3988292384 * (x & 1))"
+    digits = "list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    by_byte = f"lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: {shifted})"
+    crc32 = f"xor(list_reduce(list_concat([4294967295], {digits}), {by_byte}), 4294967295)"
+    return rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, {WORDS} AS words FROM turns),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % {prefix_trie.BLOCK} AS block, {crc32} % {prefix_trie.HEADS} AS h FROM placed WHERE place = 1),
+joined AS (
+  SELECT convs.conv_id, 0 AS own, place, role, text, len(words) AS words FROM convs JOIN placed ON placed.conv_id = block WHERE place <= h
+  UNION ALL SELECT conv_id, 1, place, role, text, len(words) FROM convs JOIN placed USING (conv_id) WHERE place > h),
+prefixes AS (
+  SELECT conv_id, words, row_number() OVER path AS depth, string_agg(md5(role) || md5(text), '') OVER path AS key FROM joined
+  WINDOW path AS (PARTITION BY conv_id ORDER BY own, place ROWS UNBOUNDED PRECEDING)),
+rows AS (SELECT * FROM prefixes UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS depth FROM rows GROUP BY conv_id),
+ends AS (
+  SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM rows JOIN lengths USING (conv_id, depth) GROUP BY key),
+nodes AS (
+  SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved FROM rows GROUP BY key, depth),
+children AS (SELECT substr(key, 1, length(key) - 64) AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+below AS (SELECT DISTINCT a.key AS top, b.key AS key FROM rows a JOIN rows b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+totals AS (
+  SELECT top AS key, count(*) FILTER (children.n IS NULL) AS n_leaves, sum(saved) AS saved_tokens
+  FROM below JOIN nodes USING (key) LEFT JOIN children USING (key) GROUP BY top)
+SELECT nodes.conv_id, CAST(nodes.depth AS BIGINT) AS depth, parents.conv_id AS parent_conv_id, nodes.n_convs, coalesce(n, 0) AS n_children,
+  n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes JOIN totals USING (key) LEFT JOIN children USING (key) LEFT JOIN ends USING (key)
+LEFT JOIN nodes parents ON nodes.depth > 0 AND parents.key = substr(nodes.key, 1, length(nodes.key) - 64)
+"""
+
+
+STATEMENTS = {
+    f.__name__: f()
+    for f in (op1_mixing, op5_licenses, op6_quality_rules, op7_substring_dedup, op10_embeddings, op11_prefix_trie)
+}

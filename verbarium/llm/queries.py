@@ -12,6 +12,7 @@ from verbarium.llm import (
     mixing,
     oracle,
     packing,
+    prefix_trie,
     quality_net,
     rules,
     secrets,
@@ -80,6 +81,10 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,6 +102,7 @@ QUERIES = [
     op8_simhash,
     op9_packing,
     op10_embeddings,
+    op11_prefix_trie,
     pipeline,
 ]
 
