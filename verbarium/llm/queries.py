@@ -12,16 +12,19 @@ from verbarium.llm import (
     mixing,
     oracle,
     packing,
+    piece_bpe,
     prefix_trie,
     quality_net,
     rules,
     secrets,
     simhash,
     superkmers,
+    whitening,
 )
 from verbarium.llm.common import make_importable, read_table
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -85,6 +88,22 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path(PIECES)
+    rows = piece_bpe.decode(piece_bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,6 +122,8 @@ QUERIES = [
     op9_packing,
     op10_embeddings,
     op11_prefix_trie,
+    op12_pieces,
+    op13_whitening,
     pipeline,
 ]
 
