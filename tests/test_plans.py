@@ -9,6 +9,7 @@ import re
 import pytest
 
 from verbarium.plans import catalog
+from verbarium.operators.rules import RULES
 from verbarium.plans.importer import decode_pages
 from verbarium.sources.dump import good_pages, read_dump
 
@@ -67,6 +68,23 @@ def test_extraction_does_not_shuffle_and_decodes_each_page_once(spark, tmp_path)
     assert "StringContains(value,===Verb===)" in plan
 
 
+@pytest.mark.parametrize("name", ["morphology", "verb_forms", "reject_counts", "word_list", "rule_rows"])
+def test_languages_share_one_scan_and_one_extraction(spark, name):
+    """With two and three registered languages."""
+    plan = plan_of(getattr(catalog, name)(spark, SF_DIR))
+    tree = plan[: plan.index("(1) ")]
+    assert tree.count("Scan parquet") == 1
+    # The text, the sections, the templates and the decoded rows; the word list takes two words of a row.
+    assert tree.count("Generate") == 4 + (name == "word_list")
+
+
+def test_rule_sets_are_planned_once_for_the_languages_that_share_them(spark):
+    languages = {f"language {n}": RULES["dutch"] for n in range(20)}
+    pages = spark.createDataFrame([], "page_id long, title string, text string")
+    plan = decode_pages(pages, languages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("m=(.{3})") == 1
+
+
 @pytest.mark.parametrize("name", ["infinitive_lookups", "lookup_missing", "lookup_default"])
 def test_lookups_filter_the_facts_before_they_aggregate(spark, large_tables, name):
     df = getattr(catalog, name)(spark, SF_DIR)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows_of
 from verbarium.operators.dictionary import vocabulary
-from verbarium.operators.dutch import dutch_rules
 from verbarium.operators.rules import RULES, conjugate
+from verbarium.schemas import DECODED
 
 FIELDS = ("title", "status", "infinitive", "tense", "num", "person")
 
@@ -23,7 +23,7 @@ def template_rows(spark, *pairs, language="dutch"):
 
 
 def decode(spark, *pairs):
-    decoded = dutch_rules(template_rows(spark, *pairs)).orderBy("page_id")
+    decoded = conjugate(template_rows(spark, *pairs)).orderBy("page_id")
     return [tuple(row) for row in decoded.select(*FIELDS).collect()]
 
 
@@ -138,12 +138,12 @@ TEMPLATES = st.one_of(
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from(["w", "a|b", "c}}"]), TEMPLATES), min_size=200, max_size=300))
 def test_rules_equal_a_plain_walk_over_each_template(spark, pairs):
-    got = rows_of(dutch_rules(template_rows(spark, *pairs)), *FIELDS)
+    got = rows_of(conjugate(template_rows(spark, *pairs)), *FIELDS)
     assert got == sorted((row for pair in pairs for row in by_hand(*pair)), key=repr)
 
 
 def test_vocabulary_holds_words_of_accepted_moods_even_if_rejected_later(spark):
-    decoded = dutch_rules(
+    decoded = conjugate(
         template_rows(
             spark,
             ("a", "{{v|n=sg|t=futu|m=ind|inf1}}"),
@@ -156,27 +156,34 @@ def test_vocabulary_holds_words_of_accepted_moods_even_if_rejected_later(spark):
 
 
 def test_each_language_meets_its_own_rules(spark):
-    def twice(rows):
-        """A rule set with two rows per template."""
-        return rows.select(
-            *rows.columns,
-            F.lit("ok").alias("status"),
-            F.explode(F.array(F.lit("x"), F.lit("y"))).alias("infinitive"),
+    def row(infinitive):
+        return F.struct(
             F.lit("past").alias("tense"),
-            F.lit(2).alias("num"),
-            F.lit(None).cast("int").alias("person"),
+            F.lit(None).alias("person"),
+            F.lit(2).cast("long").alias("num"),
+            F.lit(infinitive).alias("infinitive"),
+            F.lit("ok").alias("status"),
         )
 
+    def twice(title, template):
+        """A rule set with two rows per template, or none; its fields have an order and types of their own."""
+        return F.when(template != "{{none}}", F.array(row("x"), row("y")))
+
     rows = (
         template_rows(spark, ("a", "{{nl-verb}}"))
         .unionByName(template_rows(spark, ("b", "{{t}}"), language="english"))
+        .unionByName(template_rows(spark, ("b", "{{none}}"), language="english"))
         .unionByName(template_rows(spark, ("c", "{{t}}"), language="french"))
+        .unionByName(template_rows(spark, ("d", "{{t}}"), language="flemish"))
     )
-    got = conjugate(rows, {**RULES, "english": twice})
+    got = conjugate(rows, {**RULES, "English": twice, "flemish": twice})
     assert rows_of(got, "language", "title", "infinitive") == [
         ("dutch", "a", "a"),
         ("english", "b", "x"),
         ("english", "b", "y"),
+        ("flemish", "d", "x"),
+        ("flemish", "d", "y"),
     ]
+    assert got.columns == [*rows.columns, *DECODED.names]
     assert rows_of(conjugate(rows, {})) == []
     assert rows_of(conjugate(rows), "title") == [("a",)]

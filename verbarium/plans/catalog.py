@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbarium.functions.inflection import SLOTS
 from verbarium.operators import accounts, conjugation, extraction, facts, pages, quality, results
 from verbarium.operators import words as word_queries
 from verbarium.operators.dictionary import vocabulary
-from verbarium.operators.rules import RULES, conjugate
+from verbarium.operators.rules import RULES
 from verbarium.plans.importer import decode_pages, import_dump, import_pages
 from verbarium.plans.wikitext_view import wikitext_pages, wikitext_titles
-from verbarium.session import scratch_path, stage
+from verbarium.session import scratch_path
 from verbarium.sources import dump, tables
 from verbarium.sources.tables import Store
 from verbarium.streaming.incremental import incremental_import
@@ -121,26 +121,32 @@ def verb_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.text_forms(decode_pages(wikitext_pages(spark, sf_dir), REGISTRY))
 
 
+def _row(infinitive: Column, tense: str) -> Column:
+    """A singular form for the rule sets below."""
+    none = F.lit(None).cast("int").alias("person")
+    return F.struct(F.lit("ok").alias("status"), infinitive.alias("infinitive"), F.lit(tense).alias("tense"), F.lit(1).alias("num"), none)
+
+
 def rule_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two registered languages; the second only keeps its templates as they are."""
 
-    def verbatim(rows: DataFrame) -> DataFrame:
-        return rows.select(
-            *rows.columns,
-            F.lit("ok").alias("status"),
-            F.col("title").alias("infinitive"),
-            F.lit("present").alias("tense"),
-            F.lit(1).alias("num"),
-            F.lit(None).cast("int").alias("person"),
-        )
-
-    rules = {"english": verbatim, **RULES}
-    found = extraction.templates(_content(spark, sf_dir), sorted(rules))
-    found = stage(found, scratch_path(spark, "templates"), ["language"])
-    decoded = conjugate(found, rules)
+    def verbatim(title: Column, template: Column) -> Column:
+        return F.array(_row(title, "present"))
+
+    decoded = decode_pages(wikitext_pages(spark, sf_dir), {"english": verbatim, **RULES})
     return decoded.groupBy("language", "status").agg(F.count("*").alias("n"))
 
 
+def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of three languages in one pass, one of which gives no row or two for a template."""
+
+    def both_tenses(title: Column, template: Column) -> Column:
+        return F.when(~title.contains(":"), F.array(_row(title, "present"), _row(template, "past")))
+
+    decoded = decode_pages(wikitext_pages(spark, sf_dir), {"English": both_tenses, **REGISTRY})
+    return decoded.select("page_id", "section", "language", "pos", "status", "infinitive", "tense", "num")
+
+
 # Dictionary and facts
 
 
@@ -510,6 +516,7 @@ QUERIES: list[Query] = [
     rejects,
     verb_forms,
     rule_registry,
+    rule_rows,
     word_list,
     word_dictionary,
     language_dictionary,

@@ -39,9 +39,8 @@ def import_pages(
 ) -> int:
     """Add the verb forms of ``pages`` to the store as one batch; returns its number.
 
-    The templates of the registered languages are staged, then decoded; the dictionary, the
-    facts and the rejects derive from the decoded rows. ``corrupt`` holds the records of
-    broken pages, which are stored with the batch. A batch that broke off is repeated under its
+    One pass over the pages decodes the templates of all registered languages; the dictionary,
+    the facts and the rejects derive from the decoded rows. ``corrupt`` holds the records of broken pages, which are stored with the batch. A batch that broke off is repeated under its
     number. Naming the latest batch again replaces it; older ones are fixed, as later ones
     build on their ids. A batch shows up once all of it is written.
     """
@@ -58,10 +57,8 @@ def import_pages(
     spark = store.spark
     work = work_folder(spark, store.path)
     content = first_pages(pages, page_limit, f"{work}/page-ids")
-    # Each language reads its own folder; the pages are scanned once.
-    found = templates(content, sorted(rules)).hint("rebalance", "language")
-    found = stage(found, f"{work}/templates", ["language"])
-    numbered = number_rows(conjugate(found, rules), f"{work}/decoded", last_fact)
+    decoded = conjugate(templates(content, sorted(rules)), rules)
+    numbered = number_rows(decoded, f"{work}/decoded", last_fact)
 
     fresh_languages = new_languages(rules, store.read("languages", batch))
     store.write("languages", constant_rows(spark, fresh_languages, LANGUAGES), batch)

@@ -184,6 +184,12 @@ RESULTS = {
           SELECT language, status FROM decoded WHERE language = 'dutch'
           UNION ALL SELECT language, 'ok' FROM found WHERE language = 'english')
         GROUP BY language, status""",
+    "rule_rows": """
+        SELECT page_id, section, language, pos, status, infinitive, tense, num FROM decoded
+        UNION ALL
+        SELECT page_id, section, language, pos, 'ok', CASE tense WHEN 'past' THEN template ELSE title END, tense, 1
+        FROM found, (VALUES ('present'), ('past')) t(tense)
+        WHERE language = 'english' AND NOT contains(title, ':')""",
     "word_list": "SELECT word FROM vocabulary",
     "word_dictionary": "SELECT id, word FROM words",
     "language_dictionary": """SELECT DISTINCT CASE language WHEN 'dutch' THEN 1 ELSE 2 END AS id, language AS name

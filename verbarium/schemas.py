@@ -36,6 +36,13 @@ VERB_FORMS = _schema(
     person=T.IntegerType(),
     num=T.IntegerType(),
 )
+DECODED = _schema(
+    status=T.StringType(),
+    infinitive=T.StringType(),
+    tense=T.StringType(),
+    num=T.IntegerType(),
+    person=T.IntegerType(),
+)
 REJECTS = _schema(
     page_id=T.LongType(),
     title=T.StringType(),
