@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import bz2
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows_of
 from verbarium.plans.importer import view_page
-from verbarium.sources.dump import corrupt_pages, good_pages, read_dump, write_dump
+from verbarium.sources.dump import _well_formed, corrupt_pages, dump_chunks, good_pages, page_xml, read_dump, write_dump
 
 HEAD = """<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.10/" version="0.10">
   <siteinfo><sitename>Some wiki</sitename>
@@ -129,16 +131,108 @@ def test_written_dump_reads_back(spark, tmp_path, make_pages):
         assert rows_of(good_pages(read_dump(spark, path))) == rows_of(pages)
 
 
-def test_cdata_with_a_page_end_is_reported(spark, tmp_path):
+def cdata(text: str) -> str:
+    return f"    <revision><text><![CDATA[{text}]]></text></revision>\n"
+
+
+def test_page_ends_inside_cdata_end_no_page(spark, tmp_path):
     path = tmp_path / "d.xml"
-    text = "    <revision><text><![CDATA[a </page> b]]></text></revision>\n"
-    path.write_text(dump_of(page(1, "a", text), page(2, "b", revision("x"))))
+    fake = "x </page>\n  <page><title>fake</title><id>9</id>\n</page> y </page></page>"
+    path.write_text(
+        dump_of(
+            page(1, "a", cdata("a </page> b")),
+            page(2, "b", revision("x")),
+            page(3, "c", cdata(fake)),
+            page(4, "d", cdata("one section") + cdata("two </page> ]] >")),
+            page(5, "e", cdata("]]]]><![CDATA[></page>===Verb===")),
+        )
+    )
+    expected = [(1, "a", "a </page> b"), (2, "b", "x"), (3, "c", fake), (4, "d", "two </page> ]] >"), (5, "e", "]]></page>===Verb===")]
     pages = read_dump(spark, str(path))
-    assert rows_of(good_pages(pages)) == [(2, "b", "x")]
-    broken = [row[0] for row in rows_of(corrupt_pages(pages))]
-    assert len(broken) == 2 and any(" b]]>" in text for text in broken)
-    with_mark = read_dump(spark, str(path), containing=" b]]>")
-    assert corrupt_pages(with_mark).count() == 1
+    assert rows_of(good_pages(pages)) == expected
+    assert rows_of(corrupt_pages(pages)) == []
+    assert rows_of(good_pages(read_dump(spark, str(path), containing="===Verb==="))) == expected[4:]
+
+
+def test_section_that_never_ends_breaks_its_own_page_only(spark, tmp_path):
+    path = tmp_path / "d.xml"
+    path.write_text(
+        dump_of(
+            page(1, "a", cdata("a </page> b")),
+            page(2, "b", "    <revision><text><![CDATA[open</text></revision>\n"),
+            page(3, "c", revision("x")),
+        )
+    )
+    pages = read_dump(spark, str(path))
+    assert rows_of(good_pages(pages)) == [(1, "a", "a </page> b"), (3, "c", "x")]
+    assert ["<title>b</title>" in row[0] for row in rows_of(corrupt_pages(pages))] == [True]
+
+
+@pytest.mark.parametrize("compression", [None, "bzip2"])
+def test_cut_pages_over_many_blocks_and_files(spark, tmp_path, compression):
+    """Sections go over the borders of blocks; each file stands for itself."""
+    rng = random.Random(11)
+    (tmp_path / "in").mkdir()
+    expected = []
+    for name in "abc":
+        pages = []
+        for n in range(120):
+            number, text = len(expected), "%x" % rng.getrandbits(4000 * (n % 5) + 4)
+            if n % 7 == 0 and name != "b":
+                text = " </page> ".join(text[i : i + 300] for i in range(0, len(text), 300)) + "</page>"
+                pages.append(page(number, f"w{number}", cdata(text)))
+            else:
+                pages.append(page(number, f"w{number}", revision(text)))
+            expected.append((number, f"w{number}", text))
+        data = dump_of(*pages).encode()
+        path = tmp_path / "in" / (f"{name}.xml.bz2" if compression else f"{name}.xml")
+        path.write_bytes(bz2.compress(data, 1) if compression else data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = rows_of(good_pages(read_dump(spark, str(tmp_path / "in"))))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted(expected, key=repr)
+
+
+def test_written_cdata_reads_back(spark, tmp_path, make_pages):
+    pages = make_pages((1, "a", "x </page> ]]> <page> &amp; ]]"), (2, "b", "y"), (3, "c", "<![CDATA[ z </page>"))
+    page_xml(pages, F.col("page_id") != 2).select("value").write.text(str(tmp_path / "out"))
+    assert rows_of(good_pages(read_dump(spark, str(tmp_path / "out")))) == rows_of(pages)
+
+
+BROKEN = {
+    "wrong end": revision("x").replace("</text>", "</txt>"),
+    "unknown entity": revision("x &nbsp; y"),
+    "bare ampersand": revision("x & y"),
+    "bare angle": revision("x < y"),
+    "not closed": revision("x").replace("</model>", ""),
+    "control character": revision("x \x02 y"),
+    "two attributes": revision("x").replace("<text ", '<text bytes="1" bytes="2" '),
+    "crossing": "    <revision><text>x</revision></text>\n",
+}
+
+
+def test_broken_pages_without_the_searched_string_are_reported(spark, tmp_path):
+    path = tmp_path / "d.xml"
+    whole = [revision("x &lt;b&gt; &amp;nbsp; é"), "", "    <revision><text/></revision>\n", revision("x").replace("<text ", '<text bytes="1" ')]
+    path.write_text(
+        dump_of(
+            *[page(n, name, text) for n, (name, text) in enumerate(BROKEN.items())],
+            page(50, "bad id", revision("x")).replace("<id>50</id>", "<id>fifty</id>"),
+            *[page(100 + n, "whole", text) for n, text in enumerate(whole)],
+            page(200, "verb", revision("===Verb===")),
+        )
+    )
+    pages = read_dump(spark, str(path), containing="===Verb===")
+    assert rows_of(good_pages(pages)) == [(200, "verb", "===Verb===")]
+    titles = [re.search("<title>(.*)</title>", row[0])[1] for row in rows_of(corrupt_pages(pages))]
+    assert sorted(titles) == sorted([*BROKEN, "bad id"])
+    # The test is as strict as the decoder, and spares the whole pages from it.
+    every = read_dump(spark, str(path))
+    assert rows_of(corrupt_pages(every)) == rows_of(corrupt_pages(pages))
+    chunks = dump_chunks(spark, str(path)).filter("value LIKE '%<title>whole%'")
+    assert {row[0] for row in chunks.select(_well_formed(F.col("value"))).collect()} == {True}
 
 
 def test_several_paths(spark, tmp_path):

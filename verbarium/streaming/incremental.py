@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from verbarium.functions import wikitext
 from verbarium.operators.rules import RULES, RuleSet
 from verbarium.plans.importer import import_decoded
-from verbarium.sources.dump import read_dump_stream
+from verbarium.sources.dump import decode_chunks, dump_chunk_stream
 from verbarium.sources.tables import Store
 
 
@@ -31,12 +31,13 @@ def incremental_import(
     other import may write to the store in between.
     """
 
-    def add(pages: DataFrame, batch: int) -> None:
+    def add(chunks: DataFrame, batch: int) -> None:
+        pages = decode_chunks(chunks, wikitext.VERB_MARK)
         import_decoded(store, pages, rules, batch=first_batch + batch)
 
-    pages = read_dump_stream(store.spark, folder, wikitext.VERB_MARK, max_files)
+    chunks = dump_chunk_stream(store.spark, folder, max_files)
     return (
-        pages.writeStream.foreachBatch(add)
+        chunks.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
