@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,8 +31,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 BLANK = "▁"
 PARTS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-# Bounds of what a Python worker remembers; full tables are emptied.
-KNOWN_PARTS = 200_000
+# Bounds of what a Python worker remembers: two tables of parts, the older of which goes when the
+# newer is full, and one of pairs, which is emptied.
+KNOWN_PARTS = 250_000
 KNOWN_PAIRS = 1_000_000
 # A character without a piece, written in bytes: it never merges, so anything may follow it.
 OPEN = -1
@@ -85,9 +87,9 @@ class Pieces:
         if runs and (first_run is None or self.score[first_run] >= lowest) or any(BLANK in p[1:] for p in ranked):
             raise ValueError(f"{path}: blanks merge before the last letters, or inside of pieces")
         self.pairs: dict[tuple[int, int], int] = {}
-        self.automaton = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p in self.chars:
-            self.automaton.add_word(p, (self.id_of[p], 1))
+            self.automaton.add_word(p, self.id_of[p])
         for i in order:
             text = self.piece[i]
             last = self.merged(text, below=self.rank[i])
@@ -96,10 +98,12 @@ class Pieces:
                     raise ValueError(f"{path}: {text!r} merges before its parts")
                 continue  # the model never makes this piece
             self.left[i], self.right[i] = last
-            self.automaton.add_word(text, (i, len(text)))
+            self.automaton.add_word(text, i)
         self.automaton.make_automaton()
         self.compatible: dict[int, bool] = {}
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.length = list(map(len, self.piece))
 
     def merged(self, text: str, below: int | None = None) -> list[int]:
         """Ids of ``text`` by the model's merges, best first, then leftmost; only those of a rank
@@ -148,40 +152,43 @@ class Pieces:
             else:
                 shut_b, b = rank[b], self.left[b]
 
+    def fits_known(self, pair: int) -> bool:
+        if len(self.compatible) >= KNOWN_PAIRS:
+            self.compatible.clear()
+        fits = self.compatible[pair] = self.fits(*divmod(pair, len(self.score)))
+        return fits
+
     def of_word(self, word: str) -> list[int]:
         """Ids of a text with a blank at most in front, by the table of its prefixes."""
-        size = len(word)
-        last = [0] * (size + 1)
-        last[0] = OPEN
+        # Last piece of the prefix that ends with each character; the place behind them, which
+        # index -1 names, stands for the empty prefix.
+        last = [0] * len(word)
+        last.append(OPEN)
         if not self.chars.issuperset(word):
-            for i, c in enumerate(word, 1):
+            for at, c in enumerate(word):
                 if c not in self.chars:
-                    last[i] = OPEN
-        compatible, count = self.compatible, len(self.score)
-        for end, (i, length) in self.automaton.iter(word):
-            end += 1
+                    last[at] = OPEN
+        known, count, lengths = self.compatible.get, len(self.score), self.length
+        for end, i in self.automaton.iter(word):
             if last[end]:
                 continue
-            before = last[end - length]
+            before = last[end - lengths[i]]
             if before != OPEN:
-                pair = before * count + i
-                fits = compatible.get(pair)
+                fits = known(before * count + i)
                 if fits is None:
-                    if len(compatible) >= KNOWN_PAIRS:
-                        compatible.clear()
-                    fits = compatible[pair] = self.fits(before, i)
+                    fits = self.fits_known(before * count + i)
                 if not fits:
                     continue
             last[end] = i
-        out = []
-        while size:
-            i = last[size]
+        out, end = [], len(word) - 1
+        while end >= 0:
+            i = last[end]
             if i == OPEN:
-                size -= 1
-                out += [self.byte_ids[b] for b in reversed(word[size].encode())]
+                out += [self.byte_ids[b] for b in reversed(word[end].encode())]
+                end -= 1
             else:
-                size -= len(self.piece[i])
                 out.append(i)
+                end -= lengths[i]
         out.reverse()
         return out
 
@@ -193,25 +200,29 @@ class Pieces:
             return self.merged(part)
         if not blanks:
             return self.of_word(letters)
-        ids = self.of_word(BLANK + letters)
-        if ids[0] == self.id_of[BLANK]:
-            return self.merged(BLANK * blanks) + ids[1:]
-        return self.merged(BLANK * (blanks - 1)) + ids
+        ids = self.of_word(part[blanks - 1 :])
+        if blanks == 1:
+            return ids
+        # A last blank that no letter took belongs to the run.
+        alone = ids[0] == self.id_of[BLANK]
+        return self.merged(BLANK * (blanks - 1 + alone)) + ids[alone:]
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of the whole text with the end id."""
         if not text:
             return np.array([self.end], np.int32)
-        known, i = self.known, -1
         parts = PARTS.findall(self.prefix + text.replace(" ", BLANK))
-        if len(known) > KNOWN_PARTS:
-            known.clear()
+        if len(self.known) > KNOWN_PARTS:
+            # Parts that come again move over from the older half.
+            self.older, self.known = self.known, {}
+        known, older, i = self.known, self.older, -1
         found = list(map(known.get, parts))
         for _ in range(found.count(None)):
             i = found.index(None, i + 1)
-            ids = known.get(parts[i])
+            part = parts[i]
+            ids = known.get(part)
             if ids is None:
-                ids = known[parts[i]] = np.array(self.of_part(parts[i]), np.int32).tobytes()
+                ids = known[part] = older.get(part) or array("i", self.of_part(part)).tobytes()
             found[i] = ids
         return np.append(np.frombuffer(b"".join(found), np.int32), np.int32(self.end))
 
@@ -222,6 +233,14 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
+@cache
+def library_of(path: str):
+    """The library's own reader of the file, without the tables."""
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=path)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ``ids`` of every whole text, the end id last.
 
@@ -236,7 +255,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path)
         for batch in batches:
-            rows = [pieces.ids(t or "") for t in batch.column(1).to_pylist()]
+            rows = [pieces.ids(text.as_py()) for text in batch.column(1)]
             places = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             values = pa.array(np.concatenate(rows) if rows else np.array([], np.int32))
             ids = pa.ListArray.from_arrays(pa.array(places), values)
@@ -250,10 +269,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The columns of ``encoded`` and the ``text`` of its ``ids`` (null: null), as the library decodes them."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = pieces_of(path).library
+        library = library_of(path)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
-            texts = pa.array([i if i is None else library.decode(i) for i in ids], pa.string())
+            rows = batch.column(batch.schema.get_field_index("ids"))
+            ids, ends = rows.values.to_numpy(), rows.offsets.to_numpy()
+            # One row's ids at a time as Python numbers, which take nine times their memory.
+            texts = [library.decode(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            texts = pa.array(texts, pa.string(), mask=rows.is_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "text"])
 
     plain = encoded.drop("text")
