@@ -16,8 +16,9 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.mllib.linalg import Matrices
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRow, IndexedRowMatrix
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DecimalType, DoubleType, LongType, StructField, StructType
@@ -117,37 +118,65 @@ def centred(rows: DataFrame, n: int, sums: list[int]) -> DataFrame:
     return rows.select("id", "vec_id", "x").mapInArrow(over, schema)
 
 
-def blocks_of(rows: DataFrame, values: str, dims: int) -> BlockMatrix:
-    """Rows (id from 1, an array) as a block matrix."""
-    indexed = rows.select("id", values).rdd.map(lambda r: IndexedRow(r[0] - 1, r[1]))
-    return IndexedRowMatrix(indexed).toBlockMatrix(ROWS, min(dims, ROWS))
+class Blocks:
+    """Rows (id from 1, an array of ``width`` numbers) as staged blocks of ``ROWS`` rows."""
 
+    def __init__(self, rows: DataFrame, values: str, n: int, width: int, name: str):
+        numbered = rows.select(F.floor((F.col("id") - 1) / ROWS).cast("int").alias("block"), "id", F.col(values).alias("row"))
+        lines = F.sort_array(F.collect_list(F.struct("id", "row")))
+        flat = F.flatten(F.transform(lines, lambda line: line["row"]))
+        self.table = staged(numbered.groupBy("block").agg(flat.alias("numbers")), name)
+        self.n, self.width, self.step = n, width, min(width, ROWS)
+        self.down, self.across = -(-n // ROWS), -(-width // self.step)
 
-def scatter(x: BlockMatrix, dims: int) -> np.ndarray:
-    """X'X."""
-    width, tall = x.colsPerBlock, x.rowsPerBlock
-    across = -(-dims // width)
-    groups = -(-x.numRowBlocks // GROUP)
+    def cut(self, place) -> RDD:
+        """Blocks as ``place`` makes them of (row of blocks, column of blocks, numbers)."""
+        width, step = self.width, self.step
 
-    def place(block):
-        (column, row), values = block
-        return (row // GROUP * across + column, row), values
+        def cut_row(row):
+            numbers = np.array(row["numbers"]).reshape(-1, width)
+            return [place(row["block"], j, numbers[:, j * step : (j + 1) * step]) for j in range(-(-width // step))]
 
-    spread = x.transpose().blocks.map(place)
-    left = BlockMatrix(spread, width, tall, groups * across * width, x.numRows())
-    product = left.multiply(x).blocks.map(lambda b: ((b[0][0] % across, b[0][1]), b[1].toArray()))
-    out = np.zeros((dims, dims))
-    for (i, j), part in product.reduceByKey(lambda a, b: a + b).collect():  # dims x dims numbers
-        out[i * width : i * width + part.shape[0], j * width : j * width + part.shape[1]] = part
-    return out
+        return self.table.rdd.flatMap(cut_row)
 
+    def matrix(self) -> BlockMatrix:
+        """X."""
+        blocks = self.cut(lambda i, j, x: ((i, j), Matrices.dense(*x.shape, x.ravel(order="F"))))
+        return BlockMatrix(blocks, ROWS, self.step, self.n, self.width)
 
-def projected(x: BlockMatrix, weights: np.ndarray, context) -> BlockMatrix:
-    """X times the weights."""
-    width = x.colsPerBlock
-    cuts = [(i, weights[i * width : (i + 1) * width]) for i in range(-(-len(weights) // width))]
-    blocks = [((i, 0), Matrices.dense(*w.shape, w.ravel(order="F"))) for i, w in cuts]
-    return x.multiply(BlockMatrix(context.parallelize(blocks, len(blocks)), width, weights.shape[1], *weights.shape))
+    def spread_transpose(self) -> BlockMatrix:
+        """X', the blocks of each group of ``GROUP`` in block rows of their own."""
+        across = self.across
+        blocks = self.cut(lambda i, j, x: ((i // GROUP * across + j, i), Matrices.dense(*x.T.shape, x.ravel())))
+        tall = -(-self.down // GROUP) * across * self.step
+        return BlockMatrix(blocks, self.step, ROWS, tall, self.n)
+
+    def scatter(self) -> np.ndarray:
+        """X'X."""
+        across, step = self.across, self.step
+        product = self.spread_transpose().multiply(self.matrix())
+        parts = product.blocks.map(lambda b: ((b[0][0] % across, b[0][1]), b[1].toArray()))
+        out = np.zeros((self.width, self.width))
+        for (i, j), part in parts.reduceByKey(lambda a, b: a + b).collect():  # width x width numbers
+            out[i * step : i * step + part.shape[0], j * step : j * step + part.shape[1]] = part
+        return out
+
+    def projected(self, weights: np.ndarray) -> BlockMatrix:
+        """X times the weights."""
+        cuts = [(i, weights[i * self.step : (i + 1) * self.step]) for i in range(self.across)]
+        blocks = [((i, 0), Matrices.dense(*w.shape, w.ravel(order="F"))) for i, w in cuts]
+        context = self.table.sparkSession.sparkContext
+        return self.matrix().multiply(BlockMatrix(context.parallelize(blocks, len(blocks)), self.step, weights.shape[1], *weights.shape))
+
+
+def rows_of(matrix: BlockMatrix) -> RDD:
+    """(id from 1, numbers) of the rows of a matrix that is one block wide."""
+
+    def lines(block):
+        (i, _), values = block
+        return [(i * ROWS + k, row) for k, row in enumerate(values.toArray().tolist(), 1)]
+
+    return matrix.blocks.flatMap(lines)
 
 
 def eigen(covariance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,17 +207,16 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
     if not n:
         return spark.createDataFrame([], schema)
     laid = staged(centred(rows, n, sums), "whitening-centred")
-    x = blocks_of(laid, "row", dims)
-    values, axes = eigen(scatter(x, dims) / n)
+    x = Blocks(laid, "row", n, dims, "whitening-blocks")
+    values, axes = eigen(x.scatter() / n)
     kept = int((values[:components] > values[0] * FLAT).sum())
     shares = (values / values.sum() if kept else values * 0.0)[:components].tolist()
 
     error, done = 0.0, None
     if kept:
-        y = projected(x, axes[:, :kept] / np.sqrt(values[:kept]), spark.sparkContext)
-        pairs = y.toIndexedRowMatrix().rows.map(lambda r: (r.index + 1, r.vector.toArray().tolist()))
+        pairs = rows_of(x.projected(axes[:, :kept] / np.sqrt(values[:kept])))
         done = staged(spark.createDataFrame(pairs, "id long, whitened array<double>"), "whitening-projected")
-        covariance = scatter(blocks_of(done, "whitened", kept), kept) / n
+        covariance = Blocks(done, "whitened", n, kept, "whitened-blocks").scatter() / n
         error = float(np.abs(covariance - np.eye(kept)).max())
     else:
         done = laid.select("id", F.array().cast("array<double>").alias("whitened"))
