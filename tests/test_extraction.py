@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 
 from tests.conftest import rows_of
 from verbarium.operators.extraction import language_sections, templates, verb_sections
-from verbarium.operators.pages import drop_special_pages, find_page, first_pages
+from verbarium.operators import pages as page_operators
+from verbarium.operators.pages import drop_special_pages, find_page, first_pages, nth_id
 
 # A page of three languages. Latin has its verb after a noun, Danish has two verb sections of which
 # the second is not looked at, and Welsh has a heading of another level and a list of forms.
@@ -205,6 +206,29 @@ def test_page_limit_with_repeated_and_missing_ids(make_pages):
     assert first_pages(pages, 3).count() == 4
 
 
+@pytest.mark.parametrize("cells", [64, 1 << 14])
+def test_selected_ids_against_a_sort(spark, monkeypatch, cells):
+    """Sparse, dense, negative, repeated and missing ids, in many rounds."""
+    monkeypatch.setattr(page_operators, "CELLS", cells)
+    ids = [-(1 << 63), (1 << 63) - 1, -5, -5, 0, *range(100, 130), 1 << 40, (1 << 40) + 1, None, None, None]
+    keys = spark.createDataFrame([(n, "t") for n in ids], "page_id long, title string").cache()
+    known = sorted(n for n in ids if n is not None)
+    for n in (1, 3, 5, 17, len(known) - 1, len(known)):
+        found, before = nth_id(keys, n)
+        assert found == known[n - 1] and before == sum(i < found for i in known)
+    assert nth_id(keys, len(known) + 1) == (None, len(known))
+    assert nth_id(keys, len(ids)) is None and nth_id(keys.limit(0), 1) is None
+
+
+def test_page_limit_over_many_copies(spark):
+    rows = spark.range(3000).selectExpr("id % 30 AS page_id", "concat('t', id % 60) AS title", "id AS copy")
+    for limit in (7, 59, 61):
+        kept = first_pages(rows, limit)
+        found = {(r.page_id, r.title) for r in kept.collect()}
+        ordered = sorted({(r.page_id, r.title) for r in rows.collect()})
+        assert found == set(ordered[:limit]) and kept.count() == 50 * len(found)
+
+
 def test_page_limit_bounds(make_pages):
     pages = make_pages((1, "a", ""))
     assert first_pages(pages, -1).count() == 1

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbarium.functions import wikitext
 from verbarium.operators.numbering import number_rows
 from verbarium.session import scratch_path, stage
 
+# Counts per round of a selection.
+CELLS = 1 << 14
+
 
 def drop_special_pages(pages: DataFrame) -> DataFrame:
     return pages.filter(~wikitext.is_special(F.col("title")))
@@ -28,9 +31,9 @@ def first_pages(pages: DataFrame, limit: int = -1, path: str | None = None) -> D
     """The first ``limit`` non-special pages by page id, or all of them for -1.
 
     Pages with the same id go by title, those without an id come last. Rows that repeat both
-    id and title are one page, and all of them are returned. The ids and titles are written
-    out once, to ``path`` or to a new place in the scratch area, and numbered by range; so no
-    task sorts all of them, and the texts are read once and not moved at all.
+    id and title are one page, and all of them are returned. The last id is selected by counts
+    (``nth_id``), so nothing is sorted but the titles that share it, and the texts are read once
+    and not moved at all. ``path``, or a new place in the scratch area, takes what is staged.
     """
     if limit == 0 or limit < -1:
         raise ValueError("limit must be -1 or at least 1")
@@ -38,10 +41,55 @@ def first_pages(pages: DataFrame, limit: int = -1, path: str | None = None) -> D
     if limit == -1:
         return content
     path = path or scratch_path(pages.sparkSession, "page-ids")
-    missing = F.col("page_id").isNull()
-    keys = stage(content.select(missing.alias("missing"), "page_id", "title"), f"{path}/keys").distinct()
-    numbered = number_rows(keys, f"{path}/numbered", order=["missing", "page_id", "title"])
-    last = numbered.filter(F.col("id") == limit).select(F.struct("missing", "page_id", "title"))
-    own = F.struct(missing.alias("missing"), "page_id", "title")
-    # Fewer pages than the limit: everything passes.
-    return content.filter(F.coalesce(own <= last.scalar(), F.lit(True)))
+    keys = content.select("page_id", "title")
+    found = nth_id(keys, limit)
+    if found and _repeats(keys.filter(_upto(found[0]))):
+        # Counted once each, the pages reach further.
+        keys = stage(keys.distinct(), f"{path}/keys")
+        found = nth_id(keys, limit)
+    if not found:
+        return content
+    last, before = found
+    titles = keys.filter(F.col("page_id").eqNullSafe(F.lit(last))).select("title").distinct()
+    if titles.count() <= limit - before:
+        return content.filter(_upto(last))
+    numbered = number_rows(titles, f"{path}/titles", order=["title"])
+    last_title = numbered.filter(F.col("id") == limit - before).select("title").scalar()
+    here = F.col("page_id").eqNullSafe(F.lit(last))
+    return content.filter(_upto(last) & (~here | (F.col("title") <= last_title)))
+
+
+def _upto(last: int | None) -> Column:
+    """Rows up to this id; those without an id come after all others."""
+    return F.lit(True) if last is None else F.col("page_id") <= last
+
+
+def _repeats(keys: DataFrame) -> bool:
+    return not keys.groupBy(*keys.columns).count().filter("count > 1").isEmpty()
+
+
+def nth_id(keys: DataFrame, n: int) -> tuple[int | None, int] | None:
+    """The ``page_id`` of the n-th row by id, None for a row without one, and the number of rows
+    with lower ids; None if there are at most ``n`` rows.
+
+    Each round counts the rows of the range by at most ``CELLS`` cells of equal width and goes
+    on in the cell where the n-th one is. Only the counts reach the driver.
+    """
+    ids = keys.select("page_id")
+    low, high, known, rows = ids.agg(F.min("page_id"), F.max("page_id"), F.count("page_id"), F.count("*")).first()
+    if rows <= n:
+        return None
+    if known < n:
+        return None, known
+    before = 0
+    while low < high:
+        shift = 0
+        while (high >> shift) - (low >> shift) >= CELLS:
+            shift += 1
+        cells = ids.filter(F.col("page_id").between(low, high)).groupBy(F.shiftright("page_id", shift).alias("cell")).count()
+        for cell, count in sorted(map(tuple, cells.collect())):
+            if before + count >= n:
+                break
+            before += count
+        low, high = max(low, cell << shift), min(high, ((cell + 1) << shift) - 1)
+    return low, before
