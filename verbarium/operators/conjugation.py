@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbarium.functions.inflection import SLOTS, has_bit, slot_mask
-from verbarium.operators.words import asked_infinitives, infinitive_of, usable_lookups
+from verbarium.operators.words import asked_infinitives, infinitive_id, usable_lookups
 from verbarium.schemas import PAST_ID, PRESENT_ID
+from verbarium.session import scratch_path, stage
 
 TENSE_FIELDS = {"Present": PRESENT_ID, "Past": PAST_ID}
 ROW_LABELS = {
@@ -94,22 +95,27 @@ def _tense(tense_id: int) -> Column:
     return F.struct(*[forms(bit).alias(name) for name, bit in SLOTS.items()])
 
 
-def conjugation_table(verb_forms: DataFrame, words: DataFrame, word: str) -> DataFrame:
+def conjugation_table(
+    verb_forms: DataFrame, words: DataFrame, word: str, form_index: DataFrame | None = None
+) -> DataFrame:
     """The table of the infinitive that ``word`` is a form of; empty for an unknown word."""
-    target = infinitive_of(verb_forms, words, word).agg(F.min("inf_id")).scalar()
-    return conjugation_tables(verb_forms.filter(F.col("inf_id") == target), words)
+    target = infinitive_id(verb_forms if form_index is None else form_index, words, word)
+    return conjugation_tables(verb_forms.filter(F.col("inf_id") == F.lit(target)), words)
 
 
-def look_up_tables(lookups: DataFrame, verb_forms: DataFrame, words: DataFrame) -> DataFrame:
+def look_up_tables(
+    lookups: DataFrame, verb_forms: DataFrame, words: DataFrame, form_index: DataFrame | None = None
+) -> DataFrame:
     """(word, Infinitive, Present, Past) for each lookup; a blank table for unknown words.
 
-    Facts are read for the words asked for, then for their infinitives, and only those are
-    aggregated.
+    The infinitives asked for are found first and staged; only their facts are read, and each
+    table is made once, however many words ask for it.
     """
     asked = usable_lookups(lookups)
-    known = asked_infinitives(asked, verb_forms, words).select(F.col("word").alias("asked"), "inf_id")
-    tables = conjugation_tables(verb_forms.join(known, "inf_id"), words, ["asked"])
-    found = tables.drop("inf_id").withColumnRenamed("asked", "word")
+    known = asked_infinitives(asked, verb_forms if form_index is None else form_index, words)
+    known = stage(known.select("word", "inf_id"), scratch_path(lookups.sparkSession, "asked"))
+    facts = verb_forms.join(known.select("inf_id").distinct(), "inf_id", "left_semi")
+    found = known.join(conjugation_tables(facts, words), "inf_id").drop("inf_id")
     answered = asked.join(found, "word", "left")
     return answered.select(
         *lookups.columns,

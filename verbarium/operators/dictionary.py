@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.operators.numbering import number_rows
+from verbarium.operators.numbering import numbered
 
 
 def vocabulary(decoded: DataFrame) -> DataFrame:
@@ -20,14 +20,14 @@ def vocabulary(decoded: DataFrame) -> DataFrame:
     )
 
 
-def new_words(found: DataFrame, known: DataFrame, path: str, last_id: int) -> DataFrame:
-    """Rows (id, word) for the words of ``found``, each once, that ``known`` lacks.
+def new_words(found: DataFrame, known: DataFrame, path: str, last_id: int) -> tuple[DataFrame, int]:
+    """Rows (id, word) for the words of ``found``, each once, that ``known`` lacks, and the last id.
 
     Known words keep their ids; new ones follow ``last_id`` in word order. ``path`` takes the
     intermediate table.
     """
     fresh = found.select("word").join(known.select("word"), "word", "left_anti")
-    return number_rows(fresh, path, last_id, ["word"])
+    return numbered(fresh, path, last_id, ["word"])
 
 
 def new_languages(names: Iterable[str], known: DataFrame) -> list[tuple[int, str, None]]:

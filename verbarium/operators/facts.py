@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.schemas import PLURAL, VERB_FORMS
+from verbarium.schemas import FORM_INDEX, PLURAL, VERB_FORMS
 
 
 def text_forms(decoded: DataFrame) -> DataFrame:
@@ -22,6 +22,16 @@ def text_forms(decoded: DataFrame) -> DataFrame:
     )
 
 
+def index_forms(verb_forms: DataFrame) -> DataFrame:
+    """The different (word_id, lang_id, inf_id), ranged by form.
+
+    Queries by form need no more of the facts, which lie by infinitive: their ranges of forms
+    overlap, so a lookup there reads every file, and here few.
+    """
+    rows = verb_forms.select(*FORM_INDEX.names).distinct()
+    return rows.repartitionByRange("word_id", "lang_id", "inf_id").sortWithinPartitions("word_id", "lang_id", "inf_id")
+
+
 def encode_facts(
     decoded: DataFrame, words: DataFrame, languages: DataFrame, tenses: DataFrame
 ) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbarium.session import stage
@@ -20,6 +22,13 @@ def number_rows(
     of ``df``. Each row's place is written out once with the rows, to ``path``, so every later
     read sees the same ids whatever executors are lost; only one count per partition is ranked.
     """
+    return numbered(df, path, start, order)[0]
+
+
+def numbered(
+    df: DataFrame, path: str, start: int = 0, order: list[str] | None = None
+) -> tuple[DataFrame, int]:
+    """The same and the last id, ``start`` for an empty table."""
     laid_out = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
     placed = stage(
         laid_out.withColumn("_part", F.spark_partition_id()).withColumn(
@@ -27,10 +36,9 @@ def number_rows(
         ),
         path,
     )
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     # One row per partition written: bounded by the number of tasks, not by the data.
-    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(offsets), "_part").select(
-        (F.col("_before") + F.col("_place") + F.lit(start + 1)).alias("id"), *df.columns
-    )
+    sizes = dict(map(tuple, placed.groupBy("_part").count().collect()))
+    before = list(accumulate((sizes.get(part, 0) for part in range(max(sizes, default=-1) + 1)), initial=start))
+    offsets = F.array(*[F.lit(n).cast("long") for n in before])
+    ids = F.get(offsets, F.col("_part")) + F.col("_place") + F.lit(1)
+    return placed.select(ids.alias("id"), *df.columns), before[-1]

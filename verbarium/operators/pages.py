@@ -43,19 +43,22 @@ def first_pages(pages: DataFrame, limit: int = -1, path: str | None = None) -> D
     path = path or scratch_path(pages.sparkSession, "page-ids")
     keys = content.select("page_id", "title")
     found = nth_id(keys, limit)
-    if found and _repeats(keys.filter(_upto(found[0]))):
-        # Counted once each, the pages reach further.
-        keys = stage(keys.distinct(), f"{path}/keys")
-        found = nth_id(keys, limit)
+    if found:
+        most, titles = _copies(keys, found[0])
+        if most > 1:
+            # Counted once each, the pages reach further.
+            keys = stage(keys.distinct(), f"{path}/keys")
+            found = nth_id(keys, limit)
+            titles = _copies(keys, found[0])[1] if found else 0
     if not found:
         return content
     last, before = found
-    titles = keys.filter(F.col("page_id").eqNullSafe(F.lit(last))).select("title").distinct()
-    if titles.count() <= limit - before:
+    if titles <= limit - before:
         return content.filter(_upto(last))
-    numbered = number_rows(titles, f"{path}/titles", order=["title"])
-    last_title = numbered.filter(F.col("id") == limit - before).select("title").scalar()
     here = F.col("page_id").eqNullSafe(F.lit(last))
+    shared = keys.filter(here).select("title").distinct()
+    numbered = number_rows(shared, f"{path}/titles", order=["title"])
+    last_title = numbered.filter(F.col("id") == limit - before).select("title").scalar()
     return content.filter(_upto(last) & (~here | (F.col("title") <= last_title)))
 
 
@@ -64,8 +67,10 @@ def _upto(last: int | None) -> Column:
     return F.lit(True) if last is None else F.col("page_id") <= last
 
 
-def _repeats(keys: DataFrame) -> bool:
-    return not keys.groupBy(*keys.columns).count().filter("count > 1").isEmpty()
+def _copies(keys: DataFrame, last: int | None) -> tuple[int, int]:
+    """How often the most frequent page up to ``last`` occurs, and the number of titles of ``last``."""
+    counts = keys.filter(_upto(last)).groupBy("page_id", "title").count()
+    return tuple(counts.agg(F.max("count"), F.count_if(F.col("page_id").eqNullSafe(F.lit(last)))).first())
 
 
 def nth_id(keys: DataFrame, n: int) -> tuple[int | None, int] | None:

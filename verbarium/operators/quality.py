@@ -54,45 +54,73 @@ def orphans(rows: DataFrame, table: str, column: str, parents: DataFrame, key: s
     )
 
 
-def value_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, n_rows) for every value of ``columns``, null included; one pass.
+def violations(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """All violations of the constraints on the given tables, one row each.
 
-    Counts combine before the shuffle, so a value that very many rows share weighs no more
-    than another.
+    Every table is read and aggregated once (``value_counts``). Then the values of references
+    and of the ids that they name meet, each once; a reference that meets no id is lost. The
+    other violations, which are few, go along, so that the counts are made once.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    return rows.select(F.inline(cells)).groupBy("column", "value").agg(F.count("*").alias("n_rows"))
+    foreign = {(t, c): p for (t, c), p in schemas.FOREIGN.items() if t in tables and p in tables}
+    linked = set(foreign) | {(p, "id") for p in foreign.values()}
+    reports = []
+    for table, rows in tables.items():
+        unique, required = schemas.UNIQUE.get(table, []), schemas.REQUIRED.get(table, [])
+        keys = [*unique, *(c for t, c in sorted(linked) if t == table and c not in unique)]
+        if not (keys or required):
+            continue
+        missing = F.col("value").isNull()
+        repeated = F.col("column").isin(unique) & (F.col("n_rows") > 1)
+        parents = {c: foreign.get((table, c), table) for c in keys if (table, c) in linked}
+        cells = [F.struct(F.when(missing, "not null").when(repeated, "unique").alias("constraint"), F.lit(None).cast("string").alias("parent"))]
+        if parents:
+            parent = F.element_at(F.create_map(*[F.lit(x) for pair in parents.items() for x in pair]), F.col("column"))
+            used = F.when(~missing & F.col("column").isin(list(parents)), "reference")
+            cells.append(F.struct(used.alias("constraint"), parent.alias("parent")))
+        shown = F.filter(F.array(*cells), lambda cell: cell["constraint"].isNotNull())
+        reports.append(value_counts(rows, keys, required).select(F.lit(table).alias("table"), "*", F.inline(shown)))
+    if not reports:
+        raise ValueError("none of the tables has constraints")
+    # A group of references holds a count per column that refers to the parent, and one of its id.
+    found = reduce(DataFrame.unionByName, reports).groupBy("constraint", "parent", "value").agg(
+        F.collect_list(F.struct("table", "column", "n_rows")).alias("cells")
+    )
+    known = F.exists("cells", lambda cell: (cell["table"] == F.col("parent")) & (cell["column"] == "id"))
+    kept = F.when((F.col("constraint") != "reference") | ~known, F.col("cells"))
+    return found.select("constraint", "value", F.inline(kept)).select("constraint", "table", "column", "value", "n_rows")
 
 
-def violations(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """All violations of the constraints on the given tables, one row each.
+def value_counts(rows: DataFrame, keys: list[str], required: list[str]) -> DataFrame:
+    """(column, value, n_rows) for the values of ``keys``, and with a null value for those of
+    ``required`` that have nulls.
 
-    Every table is read and shuffled once: its value counts serve the null, uniqueness and
-    reference reports, and the references of others to it.
+    One pass with a grouping set per key, in the keys' own types; counts combine before the
+    shuffle, so a value that very many rows share weighs no more than another. Columns that only
+    must not be null are counted in the set of all rows.
     """
-    foreign = {table: [c for t, c in schemas.FOREIGN if t == table] for table in tables}
-    counts = {}
-    for table, rows in tables.items():
-        columns = [*schemas.REQUIRED.get(table, []), *schemas.UNIQUE.get(table, []), *foreign[table]]
-        if columns:
-            counts[table] = value_counts(rows, list(dict.fromkeys(columns)))
-    reports = []
-    for table, counted in counts.items():
-        missing = F.col("value").isNull() & F.col("column").isin(schemas.REQUIRED.get(table, []))
-        repeated = F.col("value").isNotNull() & (F.col("n_rows") > 1) & F.col("column").isin(schemas.UNIQUE.get(table, []))
-        kinds = F.when(missing, "not null").when(repeated, "unique")
-        reports.append(_report(kinds, table, counted.filter(missing | repeated)))
-        for column in foreign[table]:
-            parent = schemas.FOREIGN[table, column]
-            if parent in counts:
-                used = counted.filter((F.col("column") == column) & F.col("value").isNotNull())
-                keys = counts[parent].filter(F.col("column") == "id").select("value")
-                reports.append(_report(F.lit("reference"), table, used.join(keys, "value", "left_anti")))
-    return reduce(DataFrame.unionByName, reports)
-
-
-def _report(constraint: Column, table: str, rows: DataFrame) -> DataFrame:
-    return rows.select(constraint.alias("constraint"), F.lit(table).alias("table"), "column", "value", "n_rows")
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"_null{n}") for n, c in enumerate(required)]
+    if not keys:
+        counts = rows.agg(*nulls).select("*", F.lit(0).alias("_set"), F.lit(0).alias("_n"))
+        sets, text = {}, F.lit(None).cast("string")
+    else:
+        counts = rows.groupingSets([*[[c] for c in keys], []], *keys).agg(F.count("*").alias("_n"), F.grouping_id().alias("_set"), *nulls)
+        # A bit per key, the first one highest, is set where the key is not in the set.
+        whole = (1 << len(keys)) - 1
+        sets = {whole - (1 << (len(keys) - 1 - n)): c for n, c in enumerate(keys)}
+        text = F.coalesce(*[F.col(c).cast("string") for c in keys])
+        counts = counts.select("_set", "_n", text.alias("_text"), *[f"_null{n}" for n in range(len(required))])
+    column = F.lit(None).cast("string")
+    for number, c in sets.items():
+        column = F.when(F.col("_set") == number, c).otherwise(column)
+    cells = [F.struct(column.alias("column"), (F.col("_text") if sets else text).alias("value"), F.col("_n").cast("long").alias("n_rows"))]
+    cells = F.filter(F.array(*cells), lambda cell: cell["value"].isNotNull())
+    if required:
+        missing = F.array(
+            *[F.struct(F.lit(c).alias("column"), F.lit(None).cast("string").alias("value"), F.col(f"_null{n}").alias("n_rows")) for n, c in enumerate(required)]
+        )
+        missing = F.filter(missing, lambda cell: cell["n_rows"] > 0)
+        cells = F.when(F.col("_set").isin(list(sets)), cells).otherwise(missing) if sets else missing
+    return counts.select(F.inline(cells))
 
 
 def status_counts(decoded: DataFrame) -> DataFrame:

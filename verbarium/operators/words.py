@@ -1,4 +1,8 @@
-"""Queries over words and the verb forms that use them."""
+"""Queries over words and the verb forms that use them.
+
+They ask which forms, languages and infinitives go together, so ``verb_forms`` may also be the
+store's ``form_index``, which holds just that, by form.
+"""
 
 from __future__ import annotations
 
@@ -59,14 +63,21 @@ def infinitives(verb_forms: DataFrame, words: DataFrame) -> DataFrame:
 
 def infinitive_of(verb_forms: DataFrame, words: DataFrame, word: str) -> DataFrame:
     """``infinitives`` for a single word; at most one row."""
-    # As a scalar the id reaches the scan of the facts as a filter.
-    target = words.filter(F.col("word") == word).agg(F.min("id")).scalar()
-    chosen = _first_infinitive(verb_forms.filter(F.col("word_id") == target))
     inf_text = words.select(F.col("id").alias("inf_id"), F.col("word").alias("infinitive"))
-    # At most one row is chosen.
-    return F.broadcast(chosen).join(inf_text, "inf_id").select(
-        F.lit(word).alias("word"), "infinitive", "inf_id"
-    )
+    found = inf_text.filter(F.col("inf_id") == F.lit(infinitive_id(verb_forms, words, word)))
+    return found.select(F.lit(word).alias("word"), "infinitive", "inf_id")
+
+
+def infinitive_id(verb_forms: DataFrame, words: DataFrame, word: str) -> int | None:
+    """The id of the infinitive of one word, None for a word that is no form.
+
+    Two small jobs, so that each id reaches the next scan as a constant, by which it skips files.
+    """
+    word_id = words.filter(F.col("word") == word).agg(F.min("id")).first()[0]
+    if word_id is None:
+        return None
+    chosen = _first_infinitive(verb_forms.filter(F.col("word_id") == word_id)).select("inf_id").first()
+    return chosen and chosen[0]
 
 
 def usable_lookups(lookups: DataFrame) -> DataFrame:

@@ -187,22 +187,22 @@ def forms_by_tense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = store_for(spark, sf_dir)
-    return word_queries.all_words(store.verb_forms, store.words)
+    return word_queries.all_words(store.form_index, store.words)
 
 
 def word_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = store_for(spark, sf_dir)
-    return word_queries.word_by_id(store.verb_forms, store.words, WORD_ID)
+    return word_queries.word_by_id(store.form_index, store.words, WORD_ID)
 
 
 def words_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = store_for(spark, sf_dir)
-    return word_queries.words_by_id(store.verb_forms, store.words)
+    return word_queries.words_by_id(store.form_index, store.words)
 
 
 def infinitive_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = store_for(spark, sf_dir)
-    return word_queries.infinitive_of(store.verb_forms, store.words, WORD)
+    return word_queries.infinitive_of(store.form_index, store.words, WORD)
 
 
 def _lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,14 +218,14 @@ LOOKUP_SQL = """CASE c_mktsegment WHEN 'BUILDING' THEN '' WHEN 'FURNITURE'
 def infinitive_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = store_for(spark, sf_dir)
     return word_queries.look_up_infinitives(
-        _lookups(spark, sf_dir), store.verb_forms, store.words
+        _lookups(spark, sf_dir), store.form_index, store.words
     ).select("lookup_id", "word", "infinitive", "inf_id")
 
 
 def lookup_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = store_for(spark, sf_dir)
     return word_queries.missing_words(
-        _lookups(spark, sf_dir), store.verb_forms, store.words
+        _lookups(spark, sf_dir), store.form_index, store.words
     ).select("lookup_id", "word", "error")
 
 
@@ -260,7 +260,7 @@ def conjugation_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conjugation_of_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = store_for(spark, sf_dir)
-    found = conjugation.conjugation_table(store.verb_forms, store.words, WORD)
+    found = conjugation.conjugation_table(store.verb_forms, store.words, WORD, store.form_index)
     return _slots_as_text(found.withColumnRenamed("Infinitive", "infinitive"), ["infinitive"])
 
 
@@ -292,7 +292,7 @@ def lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE n_regionkey WHEN 1 THEN '' WHEN 2 THEN n_name"
         " ELSE concat('w', CAST(n_nationkey AS STRING)) END AS word",
     )
-    found = conjugation.look_up_tables(asked, store.verb_forms, store.words)
+    found = conjugation.look_up_tables(asked, store.verb_forms, store.words, store.form_index)
     found = found.withColumnRenamed("Infinitive", "infinitive")
     return _slots_as_text(found, ["lookup_id", "word", "infinitive"])
 

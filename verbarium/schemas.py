@@ -36,6 +36,8 @@ VERB_FORMS = _schema(
     person=T.IntegerType(),
     num=T.IntegerType(),
 )
+# The different (form, language, infinitive) of the facts, laid out for lookups by form.
+FORM_INDEX = _schema(word_id=T.LongType(), lang_id=T.IntegerType(), inf_id=T.LongType())
 DECODED = _schema(
     status=T.StringType(),
     infinitive=T.StringType(),
@@ -53,7 +55,7 @@ REJECTS = _schema(
     status=T.StringType(),
 )
 CORRUPT = _schema(record=T.StringType())
-BATCHES = _schema(id=T.LongType(), last_word=T.LongType(), last_fact=T.LongType())
+BATCHES = _schema(id=T.LongType(), last_word=T.LongType(), last_fact=T.LongType(), done=T.BooleanType())
 # Passwords are left out: nothing here reads them.
 USERS = _schema(
     id=T.StringType(),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +15,16 @@ TABLES: dict[str, T.StructType] = {
     "languages": schemas.LANGUAGES,
     "words": schemas.WORDS,
     "verb_forms": schemas.VERB_FORMS,
+    "form_index": schemas.FORM_INDEX,
     "rejects": schemas.REJECTS,
     "corrupt": schemas.CORRUPT,
     "users": schemas.USERS,
     "batches": schemas.BATCHES,
 }
 BATCH = "batch_id"
+NOTE = re.compile(rf"/{BATCH}=([0-9]+)/done=true/")
 # Tables of an import; their batches count once all of them are written.
-IMPORTED = {"languages", "words", "verb_forms", "rejects", "corrupt"}
+IMPORTED = {"languages", "words", "verb_forms", "form_index", "rejects", "corrupt"}
 
 
 def constant_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
@@ -72,22 +76,31 @@ class Store:
                 raise
             return constant_rows(self.spark, [], schema)
 
-    def _notes(self):
-        """The folder of the notes, and its file system."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        folder = hadoop(self._folder("batches"))
-        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
-
     def finished(self) -> list[int]:
         """Numbers of the finished imports; a listing of their notes, no job."""
-        folder, files, hadoop = self._notes()
-        notes = files.globStatus(hadoop(folder, f"{BATCH}=*/part-*"))
-        return sorted({int(note.getPath().getParent().getName().split("=")[1]) for note in notes})
+        notes = [NOTE.search(file) for file in self._batches("batches").inputFiles()]
+        return sorted({int(note[1]) for note in notes if note})
 
     def reopen(self, batch: int) -> None:
         """Hide an import until it is finished again."""
-        folder, files, hadoop = self._notes()
-        files.delete(hadoop(folder, f"{BATCH}={batch}"), True)
+        self._note(batch, 0, 0, False)
+
+    def finish(self, batch: int, last_word: int, last_fact: int) -> None:
+        """Note that all tables of a batch are written, and where its ids end."""
+        self._note(batch, last_word, last_fact, True)
+
+    def _note(self, *values: int | bool) -> None:
+        # Whether it is finished shows in the path of the note.
+        note = constant_rows(self.spark, [values], schemas.BATCHES)
+        note.write.mode("overwrite").parquet(f"{self._folder('batches')}/{BATCH}={values[0]}", partitionBy="done")
+
+    def progress(self, before: int | None = None) -> tuple[int, int, int]:
+        """(last finished batch, last word id, last fact id), or (-1, 0, 0)."""
+        seen = [batch for batch in self.finished() if before is None or batch < before]
+        if not seen:
+            return -1, 0, 0
+        notes = self._batches("batches").filter(F.col(BATCH) == seen[-1])
+        return tuple(notes.select("id", "last_word", "last_fact").first())
 
     def read(self, table: str, before: int | None = None, writing: int | None = None) -> DataFrame:
         """A table, or the part of it that batches before ``before`` wrote.
@@ -112,26 +125,6 @@ class Store:
         folder = f"{self._folder(table)}/{BATCH}={batch}"
         df.select(*columns).write.mode("overwrite").parquet(folder)
 
-    def progress(self, before: int | None = None) -> tuple[int, int, int]:
-        """(last finished batch, highest word id, highest fact id), or (-1, 0, 0)."""
-        batches = self.read("batches", before).orderBy(F.desc("id")).limit(1).collect()
-        return tuple(batches[0]) if batches else (-1, 0, 0)
-
-    def finish(self, batch: int) -> None:
-        """Note that all tables of a batch are written, and where its ids end.
-
-        Only the batch's own rows are read; earlier ids end where the notes say.
-        """
-        _, last_word, last_fact = self.progress(before=batch)
-        words = self.read_batch("words", batch).agg(F.max("id"))
-        facts = self.read_batch("verb_forms", batch).agg(F.max("id"))
-        note = self.spark.range(batch, batch + 1, 1, 1).select(
-            "id",
-            F.coalesce(words.scalar(), F.lit(last_word)).alias("last_word"),
-            F.coalesce(facts.scalar(), F.lit(last_fact)).alias("last_fact"),
-        )
-        self.write("batches", note, batch)
-
     @property
     def languages(self) -> DataFrame:
         return self.read("languages")
@@ -144,6 +137,11 @@ class Store:
     def verb_forms(self) -> DataFrame:
         return self.read("verb_forms")
 
+    @property
+    def form_index(self) -> DataFrame:
+        """Stands in for ``verb_forms`` where a query asks by form for languages and infinitives."""
+        return self.read("form_index")
+
     @property
     def rejects(self) -> DataFrame:
         return self.read("rejects")
