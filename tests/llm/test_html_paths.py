@@ -114,3 +114,89 @@ def test_names_inside_an_article():
 def test_small_parts_named_like_boilerplate_go():
     page = f"<body><div class='x'>{STORY}<div class='my-sidebar'><p>no</p></div><div class='comments'><article><p>no</p></article></div></div></body>"
     assert extract(page, vote(page)[0]).split() == WORDS.split()
+
+
+COMMENT = "<{0} class='comment-body'><p>" + "a reader says a lot here " * 12 + "</p></{0}>"
+
+
+@pytest.mark.parametrize("count", [1, 3, 6, 20, 200])
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("name", ["class='comments-area'", "id='disqus_thread'", "class='post-comments'", "id='respond'", "class='commentlist'"])
+def test_comments_go_whatever_they_hold(count, tag, name):
+    comments = f"<div {name}>{COMMENT.format(tag) * count}</div>"
+    for page in (
+        f"<body><article>{STORY}</article>{comments}</body>",
+        f"<body><main>{STORY}</main>{comments}</body>",
+        f"<body><main><article>{STORY}</article>{comments}</main></body>",
+        f"<body><div class='content'>{STORY}</div>{comments}</body>",
+        f"<body>{comments}<article>{STORY}</article></body>",
+        f"<body><article>{STORY}</article>{COMMENT.format('article') * count}</body>",
+    ):
+        assert extract(page, vote(page)[0]) == LINES
+
+
+LINES = "Title\n" + ("the story has many words " * 20).strip()
+
+
+@pytest.mark.parametrize("names", [["intro", "details", "summary"], ["", "", ""], ["a", "a", "b"]])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_texts_that_are_split_over_containers_come_out_whole(tag, names):
+    parts = ["one two three " * 20, "four five six " * 40, "seven eight " * 10]
+    inner = "".join(f"<{tag} class='{n}'><p>{p}</p></{tag}>" for n, p in zip(names, parts, strict=True))
+    page = f"<body><div class='top'><a href='x'>a link of the page</a></div><div class='content'>{inner}</div><div class='teasers'><p>teaser</p></div></body>"
+    assert extract(page, vote(page)[0]) == "\n".join(p.strip() for p in parts)
+
+
+def test_text_around_a_quote_and_lead_before_the_body():
+    quote = "quoted words " * 60
+    page = f"<body><div class='post'><p>Before it.</p><blockquote><p>{quote}</p></blockquote><p>After it.</p></div><div class='x'><p>y</p></div></body>"
+    assert extract(page, vote(page)[0]) == f"Before it.\n{quote.strip()}\nAfter it."
+    page = f"<body><div class='post'><h1>Title</h1><p>The lead.</p><div class='text'><p>{quote}</p></div></div><div class='x'><p>y</p></div></body>"
+    assert extract(page, vote(page)[0]) == f"Title\nThe lead.\n{quote.strip()}"
+    page = f"<body><h1>Title</h1><p>The lead.</p><div class='text'><p>{quote}</p></div></body>"
+    assert extract(page, vote(page)[0]) == f"Title\nThe lead.\n{quote.strip()}"
+
+
+def test_lists_of_links_beside_the_text_stay_out():
+    links = "<div class='x'>" + "<p><a href='x'>a link with many words in it</a></p>" * 8 + "</div>"
+    page = f"<body><div class='page'>{links}<div class='text'>{STORY}</div>{links}</div></body>"
+    assert extract(page, vote(page)[0]) == LINES
+
+
+@pytest.mark.parametrize("unit", ["<div><p>x", "<div class='sidebar'>x", "<ul><li>x", "<div class='a'></p></section>x", "<table><tr><td>x</div>"])
+def test_deep_markup_takes_linear_time(unit):
+    import time
+
+    def seconds(n: int) -> float:
+        start = time.process_time()
+        page = "<body>" + unit * n
+        extract(page, vote(page)[0])
+        return time.process_time() - start
+
+    seconds(1000)
+    small, large = seconds(5_000), seconds(50_000)
+    assert large < 40 * small + 1
+
+
+def test_very_deep_markup():
+    page = "<body>" + "<div><p>x" * 100_000
+    assert extract(page, vote(page)[0]).count("x") == 100_000
+
+
+def test_blocks_are_joined_by_lines():
+    """Against the lines that the pages were made of."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(200):
+        lines, parts = [], []
+        for _ in range(rng.randint(1, 12)):
+            words = " ".join(rng.choices(["a", "b&amp;", "<b>c</b>", "d\n", "<a href='x'>e</a>", "&eacute;"], k=rng.randint(1, 9)))
+            plain = words.replace("&amp;", "&").replace("&eacute;", "é")
+            for mark in ("<b>", "</b>", "<a href='x'>", "</a>"):
+                plain = plain.replace(mark, "")
+            lines.append(" ".join(plain.split()))
+            open_, close = rng.choice([("<p>", "</p>"), ("<p>", ""), ("<h2>", "</h2>"), ("<div>", "</div>"), ("<ul><li>", "</ul>"), ("<blockquote><p>", "</p></blockquote>")])
+            parts.append(open_ + words + close + rng.choice(["", "\n  ", "<!-- no -->", "<script>no</script>"]))
+        page = f"<body><nav><p>menu</p></nav><article>{''.join(parts)}</article><footer>foot</footer></body>"
+        assert extract(page, vote(page)[0]).split("\n") == lines

@@ -2,9 +2,12 @@
 
 A page is a stream of tags and text. Each text block counts for its nearest container, and by
 half for that one's parent, unless it stands in a menu, an advert, a footer or the like; links
-count less. The best container's path of generalised tags and classes (no ids, no digits) is the
-page's vote. An element that only its class, id or role names as boilerplate is judged by what it
-holds: an article or main element inside stays, and so does what holds most of the page's text.
+count less. From the best container the way goes up as long as the one around it holds more of the
+same text: words of its own, or further containers of prose. The path of generalised tags and
+classes (no ids, no digits) is the page's vote. Reader comments go, whatever they hold. Any other
+element that only its class, id or role names as boilerplate is judged by what it holds: an article
+or main element inside stays, and so does what holds most of the page's text. All steps take time
+and memory in proportion to the page, however deep its elements stand in each other.
 Spark sums the votes by host; each page is then extracted again along its host's
 winning path. Pages without such a container are extracted by their own best one.
 """
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -44,38 +48,80 @@ BOILERPLATE = set(
 NEVER_TEXT = BOILERPLATE - set("sponsor sponsored promo promotion notice notices alert sidebar side footer foot comment comments replies respond share sharing social related recommended recommendations widget widgets".split())
 # Words that leave a class, id or role as boilerplate as the word beside them.
 FILLERS = set("area bar block box button buttons container form item items left links list page posts right section site text title top bottom wrap wrapper".split())
+# Names of reader comments, and what may stand beside them in a name.
+COMMENTS = set("comment comments commentlist disqus replies respond".split())
+COMMENT_FILLERS = FILLERS | set("body content thread author meta reply post count all user users reader readers visitor fb facebook wp js even odd alt depth parent children".split())
 # Elements of the text itself; inside an article only NEVER_TEXT drops them.
 TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote table tbody tr td th figure figcaption caption".split())
 # Shares of the page's text: what is less is minor, what is more is the page's own text.
 MINOR, DOMINANT = 0.25, 0.8
 PAGE_HEADER = {"header", "banner", "masthead", "topbar"}
+# Share of a container's prose above which its neighbours' prose is part of the text.
+MORE_PROSE = 0.2
+# Share of links above which a container is no prose.
+LINKED = 0.3
 # Classes on elements that hold the page itself.
 NEVER_BOILERPLATE = {"html", "body", "article", "main"}
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
 class Node:
     tag: str
-    names: tuple[str, ...]
-    path: str
+    step: str  # of its path, for containers: tag and classes
     skipped: bool
     parent: Node | None
-    score: float = 0.0
-    number: int = 0
     article: Node | None = None  # the outermost article or main element around it
     named: Named | None = None  # the nearest element, itself included, with a name of boilerplate
+    container: Node | None = None  # the nearest container, itself included
+    matched: int = -1  # steps of the wanted path, if all of its own are the first of them
+    chosen: bool = False  # on the wanted path or below its end
+    number: int = 0  # in the order of the page
+    score: float = 0.0
+    own: Prose | None = None  # of the blocks whose nearest container it is
+    whole: Prose | None = None
 
 
-@dataclass
+@dataclass(slots=True)
+class Prose:
+    length: int = 0
+    linked: int = 0
+    heading: bool = False
+
+    def add(self, other: Prose) -> None:
+        self.length += other.length
+        self.linked += other.linked
+        self.heading = self.heading or other.heading
+
+    def value(self) -> float:
+        """Characters of prose; none where links make up too much."""
+        return self.length - self.linked if self.linked <= LINKED * self.length else 0.0
+
+
+@dataclass(slots=True, eq=False)
 class Named:
     """An element with a name of boilerplate: how sure it is, where it stands, and what it holds."""
 
     level: int
     in_article: bool
     above: Named | None
+    # Whether it or an element around it is sure, and whether such a one stands in an article.
+    sure: bool = False
+    sure_in_article: bool = False
     length: int = 0
     linked: int = 0
     articles: int = 0
+    # The same of texts in sure boilerplate, which only count for that.
+    sure_length: int = 0
+    sure_linked: int = 0
+    sure_articles: int = 0
+    drops_text: bool = False
+    drops_article: bool = False
+
+    def __post_init__(self):
+        always = self.level == ALWAYS
+        above = self.above
+        self.sure = always or above is not None and above.sure
+        self.sure_in_article = always and self.in_article or above is not None and above.sure_in_article
 
 
 WEAK, STRONG, ALWAYS = 1, 2, 3
@@ -132,54 +178,77 @@ def boilerplate_level(tag: str, token: str, names: tuple[str, ...], inside_artic
     return found
 
 
-def chain(node: Node) -> list[Named]:
-    found, named = [], node.named
-    while named is not None:
-        found.append(named)
-        named = named.above
-    return found
+def is_comments(tag: str, token: str) -> bool:
+    """Whether a class, id or role says that reader comments stand here, and nothing else."""
+    if tag in ("html", "body", "main"):
+        return False
+    return any(not COMMENTS.isdisjoint(parts) and COMMENT_FILLERS.union(COMMENTS).issuperset(parts) for parts in tokens_of(token))
+
 
+def judge(blocks: list[Block], named: list[Named]) -> None:
+    """Marks as skipped what stands in boilerplate, once all of the page is known.
 
-def judge(blocks: list[Block]) -> None:
-    """Marks as skipped what stands in boilerplate, once all of the page is known."""
+    ``named``: from the outside to the inside, so that what an element holds is known from the
+    back and what it drops from the front.
+    """
     open_blocks = [b for b in blocks if not b.node.skipped]
     total = 0
     for block in open_blocks:
         length = sum(map(len, block.pieces))
-        over = chain(block.node)
+        over, in_article = block.node.named, block.node.article is not None
         # Sure boilerplate is no text of the elements around it; only an article in it may be.
-        sure = any(n.level == ALWAYS and (n.in_article or block.node.article is None) for n in over)
+        sure = over is not None and (over.sure_in_article if in_article else over.sure)
         total += 0 if sure else length
-        for named in over:
-            if not sure or named.level == ALWAYS:
-                named.length += length
-                named.linked += block.linked
-                if block.node.article is not None and not named.in_article:
-                    named.articles += length
-
-    def drops(named: Named, article: bool) -> bool:
-        links = named.linked > 0.5 * named.length
-        share = named.length / total if total else 0.0
-        if named.in_article:
-            return named.level > WEAK or links
-        if named.articles and (named.level == WEAK or article and named.articles >= MINOR * total):
+        if over is None:
+            continue
+        if sure:
+            over.sure_length += length
+            over.sure_linked += block.linked
+            over.sure_articles += length * in_article
+        else:
+            over.length += length
+            over.linked += block.linked
+            over.articles += length * in_article
+    for n in reversed(named):
+        if n.above is not None:
+            for part in ("length", "linked", "articles", "sure_length", "sure_linked", "sure_articles"):
+                setattr(n.above, part, getattr(n.above, part) + getattr(n, part))
+        if n.level == ALWAYS:
+            n.length, n.linked, n.articles = n.length + n.sure_length, n.linked + n.sure_linked, n.articles + n.sure_articles
+        if n.in_article:
+            n.articles = 0
+
+    def drops(n: Named, article: bool) -> bool:
+        links = n.linked > 0.5 * n.length
+        share = n.length / total if total else 0.0
+        if n.in_article:
+            return n.level > WEAK or links
+        if n.articles and (n.level == WEAK or article and n.articles >= MINOR * total):
             return False
-        if named.level == ALWAYS:
+        if n.level == ALWAYS:
             return True
-        return links or share < (DOMINANT if named.level == STRONG else MINOR)
+        return links or share < (DOMINANT if n.level == STRONG else MINOR)
 
+    for n in named:
+        n.drops_text = drops(n, False) or n.above is not None and n.above.drops_text
+        n.drops_article = drops(n, True) or n.above is not None and n.above.drops_article
     for block in open_blocks:
         node = block.node
-        node.skipped = any(drops(named, node.article is not None) for named in chain(node))
+        if node.named is not None:
+            node.skipped = node.named.drops_article if node.article is not None else node.named.drops_text
 
 
-def parse(page: str) -> list[Block]:
-    """The text blocks of a page, in order, with the elements they stand in."""
-    root = Node("", (), "", False, None)
+def parse(page: str, path: str | None = None) -> list[Block]:
+    """The text blocks of a page, in order, with the elements they stand in, those along ``path``
+    marked as chosen."""
+    wanted = path.split(">")[1:] if path else []
+    root = Node("", "", False, None, matched=0 if wanted else -1)
     stack = [root]
+    open_tags: Counter = Counter()
+    named_elements: list[Named] = []
     blocks: list[Block] = []
     current: Block | None = None
-    links = 0
+    links = count = 0
     at = 0
     raw_end: str | None = None
     size = len(page)
@@ -224,10 +293,11 @@ def parse(page: str) -> list[Block]:
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
-            if tag not in BLOCKS and tag not in SKIPPED:
+            if not open_tags[tag]:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
+                    open_tags.subtract(node.tag for node in stack[i:])
                     del stack[i:]
                     break
                 # A closing tag inside a cell does not end what is around the table.
@@ -241,29 +311,36 @@ def parse(page: str) -> list[Block]:
                 raw_end = tag
             continue
         if tag in CLOSES_P and stack[-1].tag == "p":
-            stack.pop()
+            open_tags[stack.pop().tag] -= 1
         if tag == "li" and stack[-1].tag == "li" or tag in ("dt", "dd") and stack[-1].tag in ("dt", "dd"):
-            stack.pop()
+            open_tags[stack.pop().tag] -= 1
         if tag in VOID or (token.endswith("/>") and tag in ("svg", "math")):
             continue
         parent = stack[-1]
-        names = names_of(token)
         article = parent.article
-        skipped = parent.skipped or tag in SKIPPED
-        level = 0 if skipped else boilerplate_level(tag, token, names, article is not None)
-        named_by = Named(level, article is not None, parent.named) if level else parent.named
-        kind = class_of(token)
-        path = parent.path
+        skipped = parent.skipped or tag in SKIPPED or is_comments(tag, token)
+        level = 0 if skipped else boilerplate_level(tag, token, names_of(token), article is not None)
+        named_by = parent.named
+        if level:
+            named_by = Named(level, article is not None, parent.named)
+            named_elements.append(named_by)
+        count += 1
+        node = Node(tag, "", skipped, parent, article, named_by, parent.container, parent.matched, parent.chosen, count)
         if tag in CONTAINERS:
-            path = f"{parent.path}>{tag}.{kind}" if kind else f"{parent.path}>{tag}"
-        node = Node(tag, names, path, skipped, parent, article=article, named=named_by)
-        if article is None and tag in ("article", "main"):
+            kind = class_of(token)
+            node.step = f"{tag}.{kind}" if kind else tag
+            node.container, node.own, node.whole = node, Prose(), Prose()
+            on_path = 0 <= parent.matched < len(wanted) and wanted[parent.matched] == node.step
+            node.matched = parent.matched + 1 if on_path else -1
+            node.chosen = node.chosen or on_path and node.matched == len(wanted)
+        if article is None and tag in ("article", "main") and not skipped:
             node.article = node
+        open_tags[tag] += 1
         stack.append(node)
         links = 0
         if tag in RAW:
             raw_end = tag
-    judge(blocks)
+    judge(blocks, named_elements)
     return blocks
 
 
@@ -272,71 +349,102 @@ def clean(block: Block) -> str:
     return " ".join(html.unescape("".join(block.pieces)).split())
 
 
-def container_of(node: Node) -> Node | None:
-    while node is not None and node.tag not in CONTAINERS:
-        node = node.parent
-    return node
-
-
 def best_container(blocks: list[Block]) -> tuple[Node, float] | None:
-    """The container with the highest score; inside an article or main element, that element."""
-    scores: dict[int, list] = {}
+    """The container of the text and its score; inside an article or main element, that element.
+
+    It is the container with the highest score, or one around it that holds more of the text.
+    """
+    found: dict[int, Node] = {}
     for block in blocks:
-        if block.node.skipped:
-            continue
-        own = container_of(block.node)
-        if own is None:
+        own = block.node.container
+        if block.node.skipped or own is None:
             continue
         length = sum(map(len, block.pieces))
         value = length - 0.9 * block.linked
         if block.node.named is not None and block.node.article is None:
             value *= 0.5
-        above = container_of(own.parent) if own.parent else None
-        for node, share in ((own, 1.0), (above, 0.5)):
-            if node is not None:
-                scores.setdefault(id(node), [0.0, node])[0] += share * value
-    if not scores:
+        own.own.add(Prose(length, block.linked, block.node.tag in ("h1", "h2")))
+        own.score += value
+        node: Node | None = own
+        while node is not None and id(node) not in found:
+            found[id(node)] = node
+            node = node.parent.container
+        if own.parent.container is not None:
+            own.parent.container.score += 0.5 * value
+    if not found:
         return None
-    score, node = max(scores.values(), key=lambda s: s[0])
-    outer = node
-    while node is not None:
-        if node.tag in ("article", "main"):
-            outer = node
-        node = node.parent
-    return outer, score
+    ordered = sorted(found.values(), key=lambda node: node.number)
+    best = max(ordered, key=lambda node: node.score)
+    return (best.article or widened(best, ordered)), best.score
+
 
+def widened(best: Node, containers: list[Node]) -> Node:
+    """The outermost container to reach from ``best`` through ones that hold more of its text.
 
-def inside(node: Node | None, found: set[int]) -> bool:
+    One around it does if it has text of its own, or further containers with prose of
+    ``MORE_PROSE`` of what stands in it so far. The body of a page, which also holds what is
+    around the text, needs a heading or that share. ``containers`` go from the outside in.
+    """
+    around: list[Node] = []
+    node: Node | None = best
     while node is not None:
-        if id(node) in found:
-            return True
-        node = node.parent
-    return False
+        around.append(node)
+        node = node.parent.container
+    leading = set(map(id, around))
+    beside = dict.fromkeys(leading, 0.0)
+    for node in reversed(containers):
+        node.whole.add(node.own)
+        above = node.parent.container
+        if above is not None:
+            above.whole.add(node.whole)
+            if id(above) in leading and id(node) not in leading:
+                beside[id(above)] += node.whole.value()
+    inside, chosen = best.own.value() + beside[id(best)], best
+    for node in around[1:]:
+        direct = node.own.length - node.own.linked
+        more = direct + beside[id(node)]
+        if more > 0 and more >= MORE_PROSE * inside or direct > 0 and (node.tag != "body" or node.own.heading):
+            chosen = node
+        inside += more
+    return chosen
+
+
+def below(node: Node, top: Node, known: dict[int, bool]) -> bool:
+    """Whether ``node`` stands in ``top``; ``known`` keeps the answers, so each element is passed once."""
+    way = []
+    at: Node | None = node
+    while at is not None and at is not top and id(at) not in known:
+        way.append(at)
+        at = at.parent
+    answer = at is top or at is not None and known[id(at)]
+    known.update((id(n), answer) for n in way)
+    return answer
 
 
 def extract(page: str, path: str | None) -> str:
-    """The text along ``path``, or along the page's own best container if it has none."""
-    blocks = [b for b in parse(page) if not b.node.skipped]
-    chosen: set[int] = set()
-    if path is not None:
-        for block in blocks:
-            node = block.node
-            while node is not None:
-                if node.path == path and node.tag in CONTAINERS:
-                    chosen.add(id(node))
-                node = node.parent
+    """The text along ``path``, or in the page's own best container if nothing stands there."""
+    blocks = [b for b in parse(page, path) if not b.node.skipped]
+    chosen = [b for b in blocks if b.node.chosen]
     if not chosen:
         best = best_container(blocks)
-        if best is None:
+        if best is not None:
+            known: dict[int, bool] = {}
+            chosen = [b for b in blocks if below(b.node, best[0], known)]
+        else:
             # Text outside any container, as in a fragment.
-            return "\n".join(t for b in blocks if (t := clean(b)))
-        chosen = {id(best[0])}
-    return "\n".join(t for b in blocks if inside(b.node, chosen) and (t := clean(b)))
+            chosen = blocks
+    return "\n".join(t for b in chosen if (t := clean(b)))
 
 
 def vote(page: str) -> tuple[str | None, float]:
     best = best_container(parse(page))
-    return (best[0].path, best[1]) if best else (None, 0.0)
+    if best is None:
+        return None, 0.0
+    steps, node = [], best[0]
+    while node is not None:
+        steps.append(node.step)
+        node = node.parent.container
+    return "".join(f">{step}" for step in reversed(steps)), best[1]
 
 
 def host_of(url: F.Column) -> F.Column:
