@@ -1,0 +1,86 @@
+from __future__ import annotations
+
+import os
+
+from tests.conftest import rows_of
+from tests.test_import import BAD, LIEP, LOOP, LOPEN, verb_page
+from verbarium.operators.conjugation import conjugation_table, conjugation_tables
+from verbarium.plans import kept
+from verbarium.plans.importer import import_pages
+from verbarium.plans.kept import kept_table, kept_tables, refresh_tables
+
+
+def plural(infinitive: str) -> str:
+    return verb_page(f"{{{{nl-verb form of|n=pl|t=past|m=ind|{infinitive}}}}}")
+
+
+def files(store) -> set[str]:
+    return {os.path.join(d, f) for d, _, names in os.walk(f"{store.path}/conjugation_tables") for f in names if f.startswith("part-")}
+
+
+def blocks(paths: set[str]) -> set[int]:
+    return {int(p.split("block=")[1].split("/")[0]) for p in paths}
+
+
+def check(store):
+    assert rows_of(kept_tables(store)) == rows_of(conjugation_tables(store.verb_forms, store.words))
+
+
+def test_follows_the_imports(store, make_pages):
+    assert refresh_tables(store) == [] and rows_of(kept_tables(store)) == []
+    import_pages(store, make_pages((1, "lopen", LOPEN), (2, "loop", LOOP)))
+    assert refresh_tables(store) == [0]
+    check(store)
+    import_pages(store, make_pages((3, "liep", LIEP), (4, "zal", BAD)))
+    import_pages(store, make_pages((5, "x", "no verb")))
+    assert refresh_tables(store) == [1, 2]
+    check(store)
+    assert refresh_tables(store) == []
+    for word in ("liep", "lopen", "zal", "nothing"):
+        assert rows_of(kept_table(store, word)) == rows_of(conjugation_table(store.verb_forms, store.words, word))
+
+
+def test_only_touched_blocks_are_written(store, make_pages, monkeypatch):
+    monkeypatch.setattr(kept, "BLOCK", 4)
+    import_pages(store, make_pages(*[(n, f"f{n:02}", plural(f"i{n:02}")) for n in range(20)]))
+    refresh_tables(store)
+    before = files(store)
+    assert len(blocks(before)) > 4
+    # A further form of one infinitive that is known.
+    target = store.words.filter("word = 'i07'").first()["id"]
+    import_pages(store, make_pages((50, "g", plural("i07"))))
+    assert refresh_tables(store) == [1]
+    assert blocks(before ^ files(store)) == {target // 4}
+    check(store)
+
+
+def test_a_batch_written_anew_makes_all_tables_anew(store, make_pages, monkeypatch):
+    monkeypatch.setattr(kept, "BLOCK", 2)
+    import_pages(store, make_pages((1, "lopen", LOPEN)))
+    import_pages(store, make_pages(*[(n, f"f{n}", plural(f"i{n}")) for n in range(6)]))
+    refresh_tables(store)
+    import_pages(store, make_pages((3, "liep", LIEP)), batch=1)
+    assert refresh_tables(store) == [1]
+    check(store)
+    assert kept_tables(store).count() == 1
+
+
+def test_a_refresh_that_breaks_off_is_repeated(store, make_pages, monkeypatch):
+    import_pages(store, make_pages((1, "lopen", LOPEN)))
+    refresh_tables(store)
+    import_pages(store, make_pages((3, "liep", LIEP)))
+    whole = kept.constant_rows
+
+    def fail(spark, rows, schema):
+        if schema == kept.UPTO and rows:
+            raise RuntimeError("lost")
+        return whole(spark, rows, schema)
+
+    monkeypatch.setattr(kept, "constant_rows", fail)
+    try:
+        refresh_tables(store)
+    except RuntimeError:
+        pass
+    monkeypatch.undo()
+    assert refresh_tables(store) == [1]
+    check(store)

@@ -55,7 +55,7 @@ def test_scans_read_only_what_is_needed(spark):
     plan = plan_of(catalog.namespace_filter(spark, SF_DIR))
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
     plan = plan_of(catalog.all_words(spark, SF_DIR))
-    assert "ReadSchema: struct<lang_id:int,word_id:bigint,inf_id:bigint>" in plan
+    assert "ReadSchema: struct<word_id:bigint,lang_id:int,inf_id:bigint>" in plan
     plan = plan_of(catalog.word_by_id(spark, SF_DIR))
     assert "EqualTo(word_id,100)" in plan and "EqualTo(id,100)" in plan
 

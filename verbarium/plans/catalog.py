@@ -12,6 +12,7 @@ from verbarium.operators import accounts, conjugation, extraction, facts, pages,
 from verbarium.operators import words as word_queries
 from verbarium.operators.dictionary import vocabulary
 from verbarium.operators.rules import RULES
+from verbarium.plans import kept
 from verbarium.plans.importer import decode_pages, import_dump, import_pages
 from verbarium.plans.wikitext_view import wikitext_pages, wikitext_titles
 from verbarium.session import scratch_path
@@ -35,6 +36,11 @@ REGISTRY = {"Dutch": RULES["dutch"], "flemish": RULES["dutch"]}
 # Every such page of the dump of ``corrupt_pages`` is broken.
 BROKEN_EVERY = 17
 EARLY_TITLE = "page 7"
+# The word that all pages of one title share is a form with one infinitive.
+KEPT_WORD = "w45"
+CDATA_EVERY = 19
+CDATA_SQL = f"page_id % {CDATA_EVERY} = 0"
+PAGE_END_SQL = "concat(text, '</page>', chr(10), '  <page><title>no page</title></page> end')"
 
 _stores: dict[tuple[str, str], Store] = {}
 _dumps: dict[tuple[str, str, str], str] = {}
@@ -457,6 +463,12 @@ def empty_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Dumps
 
 
+def _with_page_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, some with a page end and a page as the end of their text."""
+    text = F.expr(f"CASE WHEN {CDATA_SQL} THEN {PAGE_END_SQL} ELSE text END")
+    return wikitext_pages(spark, sf_dir).withColumn("text", text)
+
+
 def dump_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dump.good_pages(dump.read_dump(spark, dump_for(spark, sf_dir)))
 
@@ -481,18 +493,24 @@ def corrupt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stores[key].corrupt.select(found.alias("page_id"))
 
 
-def incremental_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forms and infinitives after a streamed import of the dump, one file per micro-batch."""
+def _streamed(spark: SparkSession, sf_dir: str) -> Store:
+    """A store after a streamed import of a dump, one file per micro-batch, that keeps the tables."""
     key = (spark.sparkContext.applicationId, f"stream {sf_dir}")
     if key not in _stores:
         store = Store(spark, scratch_path(spark, "stream-store"))
         checkpoint = scratch_path(spark, "stream-checkpoint")
-        # Several files, so that later batches meet words that earlier ones brought.
+        # Several files, so that later batches meet words that earlier ones brought. Every
+        # CDATA_EVERY-th page has its text in a CDATA section, with a page end in it.
         path = scratch_path(spark, "arrivals")
-        dump.write_dump(wikitext_pages(spark, sf_dir).repartition(3, "title"), path)
-        incremental_import(store, path, checkpoint, REGISTRY, max_files=1).awaitTermination()
+        dump.page_xml(_with_page_ends(spark, sf_dir).repartition(3, "title"), F.expr(CDATA_SQL)).select("value").write.text(path)
+        incremental_import(store, path, checkpoint, REGISTRY, max_files=1, keep_tables=True).awaitTermination()
         _stores[key] = store
-    store = _stores[key]
+    return _stores[key]
+
+
+def incremental_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms and infinitives after a streamed import."""
+    store = _streamed(spark, sf_dir)
     form = store.words.select(F.col("id").alias("word_id"), "word")
     inf = store.words.select(F.col("id").alias("inf_id"), F.col("word").alias("infinitive"))
     return (
@@ -502,6 +520,24 @@ def incremental_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kept_conjugation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables that a streamed import has kept up to date, batch by batch."""
+    tables_ = kept.kept_tables(_streamed(spark, sf_dir)).withColumnRenamed("Infinitive", "infinitive")
+    return _slots_as_text(tables_, ["infinitive"])
+
+
+def kept_table_of_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kept.kept_table(_streamed(spark, sf_dir), KEPT_WORD)
+    return _slots_as_text(found.withColumnRenamed("Infinitive", "infinitive"), ["infinitive"])
+
+
+def dump_cdata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dump with texts in CDATA sections that hold page ends and whole pages."""
+    path = scratch_path(spark, "cdata-dump")
+    dump.page_xml(_with_page_ends(spark, sf_dir), F.expr(CDATA_SQL)).select("value").write.text(path)
+    return dump.good_pages(dump.read_dump(spark, path))
+
+
 QUERIES: list[Query] = [
     namespace_filter,
     page_lookup,
@@ -554,6 +590,9 @@ QUERIES: list[Query] = [
     empty_result,
     dump_scan,
     dump_scan_bz2,
+    dump_cdata,
     corrupt_pages,
     incremental_forms,
+    kept_conjugation_tables,
+    kept_table_of_word,
 ]

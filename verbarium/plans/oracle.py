@@ -272,6 +272,11 @@ RESULTS = {
         HAVING count(*) = 0""",
     "dump_scan": "SELECT page_id, title, text FROM wiki",
     "dump_scan_bz2": "SELECT page_id, title, text FROM wiki",
+    "dump_cdata": f"""SELECT page_id, title,
+        CASE WHEN {catalog.CDATA_SQL} THEN {catalog.PAGE_END_SQL} ELSE text END AS text FROM wiki""",
+    "kept_conjugation_tables": f"SELECT infinitive, {_AS_TEXT} FROM tables",
+    "kept_table_of_word": f"""SELECT infinitive, {_AS_TEXT} FROM tables WHERE inf_id =
+        (SELECT inf_id FROM first_inf WHERE word = '{catalog.KEPT_WORD}')""",
     "corrupt_pages": f"SELECT page_id FROM wiki WHERE page_id % {catalog.BROKEN_EVERY} = 0",
     "incremental_forms": """SELECT word, infinitive,
         CASE tense WHEN 'present' THEN 1 ELSE 2 END AS tense_id, num, person FROM forms""",

@@ -81,6 +81,11 @@ class Store:
         notes = [NOTE.search(file) for file in self._batches("batches").inputFiles()]
         return sorted({int(note[1]) for note in notes if note})
 
+    def writings(self) -> dict[str, int]:
+        """Each finished import's note, which a batch that is written anew gets anew, with its number."""
+        notes = [(NOTE.search(file), file) for file in self._batches("batches").inputFiles()]
+        return {f"{note[1]}/{file.rsplit('/', 1)[1]}": int(note[1]) for note, file in notes if note}
+
     def reopen(self, batch: int) -> None:
         """Hide an import until it is finished again."""
         self._note(batch, 0, 0, False)
@@ -102,16 +107,17 @@ class Store:
         notes = self._batches("batches").filter(F.col(BATCH) == seen[-1])
         return tuple(notes.select("id", "last_word", "last_fact").first())
 
-    def read(self, table: str, before: int | None = None, writing: int | None = None) -> DataFrame:
-        """A table, or the part of it that batches before ``before`` wrote.
-
-        ``writing`` adds a batch that is not finished yet.
-        """
+    def read(
+        self, table: str, before: int | None = None, only: list[int] | None = None
+    ) -> DataFrame:
+        """A table, or the part of it that batches before ``before``, or ``only`` these, wrote."""
         rows = self._batches(table)
+        if only is not None:
+            rows = rows.filter(F.col(BATCH).isin(only) if only else F.lit(False))
         if before is not None:
             rows = rows.filter(F.col(BATCH) < before)
         if table in IMPORTED:
-            seen = self.finished() + ([] if writing is None else [writing])
+            seen = self.finished()
             rows = rows.filter(F.col(BATCH).isin(seen) if seen else F.lit(False))
         return rows.drop(BATCH)
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from verbarium.functions import wikitext
 from verbarium.operators.rules import RULES, RuleSet
 from verbarium.plans.importer import import_decoded
+from verbarium.plans.kept import refresh_tables
 from verbarium.sources.dump import decode_chunks, dump_chunk_stream
 from verbarium.sources.tables import Store
 
@@ -21,6 +22,7 @@ def incremental_import(
     rules: Mapping[str, RuleSet] = RULES,
     max_files: int | None = None,
     first_batch: int = 0,
+    keep_tables: bool = False,
 ) -> StreamingQuery:
     """Import all files in ``folder`` that earlier runs with this checkpoint have not seen.
 
@@ -28,12 +30,15 @@ def incremental_import(
     failed half-way is repeated under the same number and replaces what it left behind, so
     every file counts exactly once. Words already known keep their ids. To go on from a bulk
     import, give the number after its last batch, and give the same number in later runs; no
-    other import may write to the store in between.
+    other import may write to the store in between. ``keep_tables`` brings the kept conjugation
+    tables up to date with every batch.
     """
 
     def add(chunks: DataFrame, batch: int) -> None:
         pages = decode_chunks(chunks, wikitext.VERB_MARK)
         import_decoded(store, pages, rules, batch=first_batch + batch)
+        if keep_tables:
+            refresh_tables(store)
 
     chunks = dump_chunk_stream(store.spark, folder, max_files)
     return (
