@@ -9,6 +9,7 @@ from verbarium.plans import importer
 from verbarium.plans.importer import decode_pages, import_pages
 from verbarium.sources.dump import write_dump
 from verbarium.streaming.incremental import incremental_import
+from verbarium.streaming.vocabulary import read_words, stream_words
 
 
 def run(store, tmp_path, **options):
@@ -63,3 +64,25 @@ def test_stream_goes_on_from_a_bulk_import(store, make_pages, tmp_path):
     assert store.progress()[0] == 2
     assert rows_of(store.words, "id") == [(1,), (2,), (3,)]
     assert store.verb_forms.count() == 3
+
+
+def test_words_come_once_over_several_runs(spark, make_pages, tmp_path):
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "words-check")
+
+    def run(**options):
+        query = stream_words(spark, str(tmp_path / "in"), out, checkpoint, **options)
+        query.awaitTermination()
+        # The words seen so far are the state, in all its partitions.
+        states = [progress["stateOperators"] for progress in query.recentProgress if progress["stateOperators"]]
+        assert not states or states[-1][0]["numRowsTotal"] == read_words(spark, out).count()
+        return rows_of(read_words(spark, out))
+
+    first = make_pages((1, "lopen", LOPEN), (2, "loop", LOOP), (3, "Talk:x", LOOP))
+    arrive(first, tmp_path, "a")
+    arrive(first, tmp_path, "b")
+    assert run(max_files=1) == [("loop",), ("lopen",)]
+    second = make_pages((4, "liep", LIEP), (5, "loop", LOOP), (6, "zal", BAD))
+    arrive(second, tmp_path, "c")
+    words = [("liep",), ("loop",), ("lopen",), ("zal",), ("zullen",)]
+    assert run() == words
+    assert run() == words

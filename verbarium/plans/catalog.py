@@ -19,6 +19,7 @@ from verbarium.session import scratch_path
 from verbarium.sources import dump, tables
 from verbarium.sources.tables import Store
 from verbarium.streaming.incremental import incremental_import
+from verbarium.streaming.vocabulary import read_words, stream_words
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -508,6 +509,20 @@ def _streamed(spark: SparkSession, sf_dir: str) -> Store:
     return _stores[key]
 
 
+def streamed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of dump files that arrive before two runs of a stream, each at its first sight."""
+    key = (spark.sparkContext.applicationId, f"words {sf_dir}", "none")
+    if key not in _dumps:
+        arrivals, out, checkpoint = (scratch_path(spark, f"words-{part}") for part in ("in", "out", "checkpoint"))
+        for run in range(2):
+            # Both have pages of most titles.
+            pages_ = wikitext_pages(spark, sf_dir).filter(F.col("page_id") % 2 == run)
+            dump.page_xml(pages_).select("value").coalesce(2).write.mode("append").text(arrivals)
+            stream_words(spark, arrivals, out, checkpoint, REGISTRY).awaitTermination()
+        _dumps[key] = out
+    return read_words(spark, _dumps[key])
+
+
 def incremental_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms and infinitives after a streamed import."""
     store = _streamed(spark, sf_dir)
@@ -593,6 +608,7 @@ QUERIES: list[Query] = [
     dump_cdata,
     corrupt_pages,
     incremental_forms,
+    streamed_words,
     kept_conjugation_tables,
     kept_table_of_word,
 ]

@@ -274,6 +274,7 @@ RESULTS = {
     "dump_scan_bz2": "SELECT page_id, title, text FROM wiki",
     "dump_cdata": f"""SELECT page_id, title,
         CASE WHEN {catalog.CDATA_SQL} THEN {catalog.PAGE_END_SQL} ELSE text END AS text FROM wiki""",
+    "streamed_words": "SELECT word FROM vocabulary",
     "kept_conjugation_tables": f"SELECT infinitive, {_AS_TEXT} FROM tables",
     "kept_table_of_word": f"""SELECT infinitive, {_AS_TEXT} FROM tables WHERE inf_id =
         (SELECT inf_id FROM first_inf WHERE word = '{catalog.KEPT_WORD}')""",
