@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows_of
 from verbarium.operators.dictionary import new_words
 from verbarium.operators.facts import text_forms
-from verbarium.operators.numbering import number_rows
+from verbarium.operators.numbering import number_rows, numbered
 from verbarium.operators.rules import RULES
 from verbarium.plans import importer
 from verbarium.plans.importer import decode_pages, import_dump, import_pages
@@ -211,3 +211,16 @@ def test_new_words_skips_known_ones(spark, tmp_path):
     known = spark.createDataFrame([(4, "b"), (9, "d")], "id long, word string")
     found = spark.createDataFrame([("a",), ("b",), ("c",), ("",)], "word string")
     assert rows_of(new_words(found, known, str(tmp_path / "words"), 9)[0]) == sorted([(10, ""), (11, "a"), (12, "c")], key=repr)
+
+
+@pytest.mark.parametrize("order", [None, ["word"]])
+def test_dense_ids_over_many_partitions(spark, tmp_path, order):
+    rows = spark.range(0, 500, 1, 37).selectExpr("concat('w', lpad(id, 4, '0')) AS word").filter("word > 'w0100'")
+    found, last = numbered(rows, str(tmp_path / "rows"), 1000, order)
+    ids = rows_of(found, "id", "word")
+    assert [i for i, _ in ids] == list(range(1001, 1400)) and last == 1399
+    assert {w for _, w in ids} == {f"w{n:04}" for n in range(101, 500)}
+    if order:
+        assert [w for _, w in ids] == sorted(w for _, w in ids)
+    empty, last = numbered(rows.limit(0), str(tmp_path / "none"), 7, order)
+    assert rows_of(empty) == [] and last == 7

@@ -39,6 +39,7 @@ def numbered(
     # One row per partition written: bounded by the number of tasks, not by the data.
     sizes = dict(map(tuple, placed.groupBy("_part").count().collect()))
     before = list(accumulate((sizes.get(part, 0) for part in range(max(sizes, default=-1) + 1)), initial=start))
-    offsets = F.array(*[F.lit(n).cast("long") for n in before])
+    # One constant, however many partitions there are.
+    offsets = F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>")
     ids = F.get(offsets, F.col("_part")) + F.col("_place") + F.lit(1)
     return placed.select(ids.alias("id"), *df.columns), before[-1]
