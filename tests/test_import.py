@@ -224,3 +224,12 @@ def test_dense_ids_over_many_partitions(spark, tmp_path, order):
         assert [w for _, w in ids] == sorted(w for _, w in ids)
     empty, last = numbered(rows.limit(0), str(tmp_path / "none"), 7, order)
     assert rows_of(empty) == [] and last == 7
+
+
+@pytest.mark.parametrize("text", ["", "<mediawiki>\n</mediawiki>\n", "<page><title>a</title><id>1</id></page>"])
+def test_dumps_without_verbs(store, tmp_path, text):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xml").write_text(text)
+    assert import_dump(store, str(tmp_path / "in")) == 0
+    assert store.words.isEmpty() and store.verb_forms.isEmpty() and store.corrupt.isEmpty()
+    assert import_dump(store, str(tmp_path / "in"), page_limit=3) == 1
