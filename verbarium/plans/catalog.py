@@ -37,9 +37,10 @@ REGISTRY = {"Dutch": RULES["dutch"], "flemish": RULES["dutch"]}
 # Every such page of the dump of ``corrupt_pages`` is broken.
 BROKEN_EVERY = 17
 EARLY_TITLE = "page 7"
-# The word that all pages of one title share is a form with one infinitive.
+# The only infinitive of this word is itself, so the answer does not depend on the order of ids.
 KEPT_WORD = "w45"
 CDATA_EVERY = 19
+# Pages of the dumps that have their text in a CDATA section, and the text that they have there.
 CDATA_SQL = f"page_id % {CDATA_EVERY} = 0"
 PAGE_END_SQL = "concat(text, '</page>', chr(10), '  <page><title>no page</title></page> end')"
 
