@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import re
+import textwrap
 
 import pytest
 
-from verbarium.llm import licenses
+from verbarium.llm import licenses, oracle
 
 from .conftest import multiset
 
@@ -24,13 +25,17 @@ def brute(text: str | None) -> tuple:
         places += at
         labels |= {label} if at else set()
     own, best = set(), 0.0
-    for line in text.split("\n"):
-        block = set(words_of(line))
-        for name, template in licenses.TEMPLATES.items():
-            wanted = set(words_of(template))
-            if len(block & wanted) >= licenses.needed(len(wanted), licenses.CONTAINMENT):
-                own.add(name)
-                best = max(best, len(block & wanted) / len(wanted))
+    lines = [found for line in text.split("\n") if (found := words_of(line))]
+    for name, template in licenses.TEMPLATES.items():
+        wanted, most = set(words_of(template)), len(words_of(template))
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if sum(map(len, lines[a + 1 : b])) > most:
+                    break
+                overlap = len(wanted & {w for line in lines[a : b + 1] for w in line})
+                if overlap >= licenses.needed(len(wanted), licenses.CONTAINMENT):
+                    own.add(name)
+                    best = max(best, overlap / len(wanted))
     first, last = (min(places), max(places)) if places else (None, None)
     return len(words), len(places), first, last, ",".join(sorted(labels)), ",".join(sorted(labels | own)), 1.0 if places else best
 
@@ -83,23 +88,57 @@ def test_no_python_on_the_main_path(odd_docs):
         assert word not in plan
 
 
-@pytest.mark.parametrize("width", [40, 72, 80])
+def wrapped(template: str, width: int) -> list[str]:
+    lines = textwrap.wrap(template, width, break_long_words=False)
+    return [
+        "Some text.\n\n" + "\n".join(lines) + "\n\nMore of it.",
+        "/*\r\n" + "\r\n".join(f" * {x}" for x in lines) + "\r\n */",
+        "\n\n".join(lines),
+        "\n#\n".join(f"# {x}" for x in lines),
+    ]
+
+
+@pytest.mark.parametrize("width", [1, 12, 20, 30, 40, 72, 80, 1000])
 def test_wrapped_templates(spark, width):
-    import textwrap
+    rows = [(name, text) for name, template in licenses.TEMPLATES.items() for text in wrapped(template, width)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = licenses.scan(docs).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r["doc_id"] in r["labels"].split(",")
+    assert multiset(map(tuple, found)) == multiset((i, *brute(text)) for i, text in rows)
 
-    rows = []
-    for name, template in licenses.TEMPLATES.items():
-        lines = textwrap.wrap(template, min(width, len(template) * 2 // 3))
-        rows += [(name, "Some text.\n\n" + "\n".join(lines) + "\n\nMore of it."), (name, "/*\r\n" + "\r\n".join(f" * {x}" for x in lines) + "\r\n */")]
-        assert len(lines) > 1
-    rows += [("", ("word " * 30 + "\n").join(template.split())) for template in licenses.TEMPLATES.values() if len(template.split()) > 20]
-    rows += [("", template.replace(" ", "\n\n")) for template in licenses.TEMPLATES.values()]
+
+def test_words_far_apart_are_no_notice(spark):
+    rows = [(name, ("word " * 30 + "\n").join(template.split())) for name, template in licenses.TEMPLATES.items() if len(template.split()) > 20]
     docs = spark.createDataFrame(rows, "doc_id string, text string")
-    for r in licenses.scan(docs, runs=licenses.RUN_LINES).collect():
-        own = r["labels"].split(",")
-        assert r["doc_id"] in own if r["doc_id"] else not set(own) & set(licenses.TEMPLATES)
+    found = licenses.scan(docs).collect()
+    assert not any(set(r["labels"].split(",")) & set(licenses.TEMPLATES) for r in found)
+    assert multiset(map(tuple, found)) == multiset((i, *brute(text)) for i, text in rows)
+
+
+def test_letters_beyond_ascii_are_no_template_words(spark):
+    text = licenses.TEMPLATES["gpl-3-short"].replace("work", "wor\u212a")
+    docs = spark.createDataFrame([(1, text), (2, "mit licen\u017fe"), (3, "M\u0130T L\u0130CENSE")], "doc_id long, text string")
+    assert multiset(map(tuple, licenses.scan(docs).collect())) == multiset((i, *brute(t)) for i, t in docs.collect())
+
+
+def test_clashing_columns_and_long_texts(spark):
+    notice = "\n".join(licenses.TEMPLATES["isc"].split())
+    text = "a line of plain words\n" * 50_000 + notice + "\nand more" * 50_000
+    docs = spark.createDataFrame([(1, text, 1, "x", 2), (2, None, 1, "x", 2)], "doc_id long, text string, k1 int, lines string, near int")
+    found = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert (found[1]["labels"], found[1]["n_words"]) == ("isc", 350_000 + len(words_of(notice)))
+    assert tuple(found[2])[1:] == (0, 0, None, None, "", "", 0.0)
+
 
+def test_sql_on_wrapped_notices(spark, tmp_path):
+    import duckdb
 
-def test_runs_of_lines_keep_what_lines_have(odd_docs):
-    alone, runs = ({tuple(r) for r in licenses.scan(odd_docs, runs=n).collect()} for n in (1, licenses.RUN_LINES))
-    assert alone == runs
+    rows = [(n, text) for n, text in enumerate(t for width in (1, 40, 72) for x in licenses.TEMPLATES.values() for t in wrapped(x, width))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents"))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+        expected = db.execute(oracle.op5_licenses()).fetchall()
+    assert multiset(map(tuple, licenses.scan(docs).collect())) == multiset(expected)

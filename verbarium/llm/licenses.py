@@ -1,20 +1,21 @@
 """License scans: named phrases, and an exact set-similarity join with license templates.
 
-A text block (a line) meets a template if it holds at least ``CONTAINMENT`` of the template's
-different words. All of it is DataFrame operations. The words of the templates are ordered by
-the number of documents that hold them, rarest first. A block that meets a template of n words
-holds c = ceil(n * CONTAINMENT) of them, so it has one of the n - c + 1 rarest (prefix filter),
-at least c words (length filter), and after its first shared word enough words must be left on
-both sides (positional filter). What passes is checked exactly.
-
-Notices are wrapped over lines, so with ``runs`` above 1 a block is also a run of up to ``runs``
-consecutive lines with words, whose inner lines hold no more words than the template has. Every
-run that meets a template has a word of its prefix in some line. The lines around such a line are
-tested first, all at once and by the same filters; only where they meet a template, its runs are
-taken one by one.
-
-Only lines with a word of some prefix are split into words. Equal texts have equal results, so
-blocks belong to a text (two hashes of it), not to a doc_id.
+Notices may be wrapped at any width. A text block is the longest run of lines from a line on whose
+inner lines hold no more words than the template has; lines without words, such as blank ones or
+lone comment marks, are passed over. A line alone is the shortest such run and holds nothing that
+the longest does not. A block meets a template if it holds at least ``CONTAINMENT`` of the
+template's different words.
+
+All of it is DataFrame operations. The words of the templates are ordered by the number of
+documents that hold them, rarest first. A block that meets a template of n words holds
+c = ceil(n * CONTAINMENT) of them, so it has one of the n - c + 1 rarest (prefix filter), at least
+c words (length filter), and after its first shared word enough words must be left on both sides
+(positional filter). What passes is checked exactly.
+
+Every block that meets a template has a word of the template's prefix in some line. The lines that
+may share a block with such a line are tested first, all at once and by the same filters; only
+where they meet a template, its blocks are taken one by one. Other lines are not split into words.
+Equal texts have equal results, so blocks belong to a text (two hashes of it), not to a doc_id.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ from verbarium.llm.common import staged
 from verbarium.llm.rules import let
 
 CONTAINMENT = 0.8
-# Lines of a wrapped notice at most.
-RUN_LINES = 10
 
 # Phrases and their labels.
 PHRASES = [
@@ -72,9 +71,9 @@ def needed(n: int, containment: float) -> int:
 
 
 def lowered(text: Column) -> Column:
-    """Lower-case text. Beyond ASCII it changes no word's borders and adds no ASCII letter but
-    the k of the Kelvin sign, which no phrase and no template has."""
-    return F.lower(F.coalesce(text, F.lit("")))
+    """Lower-case text. Beyond ASCII it changes no word's borders; the Kelvin sign, the only
+    character there whose lower case is a single ASCII letter, is put out of the way."""
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
 
 
 def canonical(text: Column) -> Column:
@@ -144,18 +143,36 @@ def word_order(texts: DataFrame, words: list[str]) -> list[str]:
     return sorted(words, key=lambda w: (known.get(w, 0), w))
 
 
-def line_places(texts: DataFrame, signs: list[str], in_line: str, runs: int) -> DataFrame:
-    """(k1, k2, near, centre): the lines around each line with a sign, and its place among them."""
-    lines = texts.select("k1", "k2", F.when(holds_any(lowered(F.col("text")), signs), F.split(lowered(F.col("text")), "\n")).alias("lines"))
+def line_places(texts: DataFrame, signs: list[str], in_line: str, reach: int) -> DataFrame:
+    """(k1, k2, near, counts, centre): around each line with a sign the lines that may share a
+    block with it, their numbers of words, and its place among them.
+
+    A line that does may be parted from it by inner lines of ``reach`` words at most.
+    """
+    split = F.filter(F.split(lowered(F.col("text")), "\n"), lambda x: x.rlike(WORD))
+    lines = texts.select("k1", "k2", F.when(holds_any(lowered(F.col("text")), signs), split).alias("lines"))
     at = F.array_compact(F.transform("lines", lambda x, i: F.when(x.rlike(in_line), i)))
 
+    def reached(counts: Column) -> Column:
+        """How many lines outwards, the first one next to the sign, can share a block with it."""
+        start = F.struct(F.lit(0).alias("inner"), F.lit(0).alias("n"))
+        step = lambda t, x: F.when(t["inner"] <= reach, F.struct((t["inner"] + x).alias("inner"), (t["n"] + 1).alias("n"))).otherwise(t)
+        return F.aggregate(counts, start, step, lambda t: t["n"])
+
     def around(i: Column) -> Column:
-        first = F.greatest(i - (runs - 1), F.lit(0))
-        return F.struct(F.slice("lines", first + 1, i - first + runs).alias("near"), (i - first).alias("centre"))
+        # Inner lines have a word each, so no more lines than these can be reached.
+        first = F.greatest(i - (reach + 1), F.lit(0))
+        return F.struct(F.slice("lines", first + 1, i - first + reach + 2).alias("near"), (i - first).alias("centre"))
 
     # The outer form, as the plain one gets a filter that evaluates the whole array once more.
     marked = lines.select("k1", "k2", F.explode_outer(F.transform(at, around)).alias("place"))
-    return marked.where("place IS NOT NULL").select("k1", "k2", "place.*")
+    marked = marked.where("place IS NOT NULL").select("k1", "k2", "place.*")
+    counted = marked.withColumn("counts", F.transform("near", lambda x: F.regexp_count(x, F.lit(WORD))))
+    left = reached(F.reverse(F.slice("counts", F.lit(1), F.col("centre"))))
+    right = reached(F.slice("counts", F.col("centre") + 2, F.size("counts")))
+    sided = counted.withColumn("left", left).withColumn("right", right)
+    part = lambda c: F.slice(c, F.col("centre") - F.col("left") + 1, F.col("left") + F.col("right") + 1).alias(c)
+    return sided.select("k1", "k2", part("near"), part("counts"), F.col("left").alias("centre"))
 
 
 def shaped(blocks: DataFrame, rank: dict[str, int]) -> DataFrame:
@@ -173,30 +190,32 @@ def meeting(blocks: DataFrame, index: DataFrame, *kept: str) -> DataFrame:
     # Length filter, then what can still be shared from this word on, in template and block.
     met = met.where(F.col("n_words") >= F.col("needed"))
     rest = 1 + F.least(F.col("size") - F.col("i") - 1, F.size("ranks") - F.col("j") - 1)
-    overlap = F.size(F.array_intersect("ranks", "all"))
-    # The first shared word is the one that counts; later ones of the same pair are dropped by the
-    # distinct below, and have less left, so a pair stays if its first word passes.
-    met = met.where(rest >= F.col("needed")).select(*kept, "template", "size", "needed", overlap.alias("overlap"))
-    return met.where(F.col("overlap") >= F.col("needed")).drop("needed").distinct()
-
-
-def runs_of(met: DataFrame, totals: dict[str, int], runs: int) -> DataFrame:
-    """(k1, k2, template, block): runs of lines around those of ``met``, for its template."""
-    total = F.create_map(*(F.lit(x) for pair in totals.items() for x in pair))
-    counts = F.transform("near", lambda x: F.size(F.filter(F.split(x, NO_WORD), lambda w: w != "")))
-    known = met.select("k1", "k2", "template", "near", "centre", counts.alias("counts"))
+    met = met.where(rest >= F.col("needed")).withColumn("shared", F.array_intersect("ranks", "all"))
+    # A pair counts at its first shared word, which is in the prefix if the pair meets.
+    met = met.where((F.size("shared") >= F.col("needed")) & (F.get("shared", F.lit(0)) == F.col("rank")))
+    return met.select(*kept, "template", "size", F.size("shared").alias("overlap"))
+
+
+def blocks_of(met: DataFrame, totals: dict[str, int]) -> DataFrame:
+    """(k1, k2, own, block): the blocks for template ``own`` around the signs of ``met``."""
+    total = F.element_at(F.create_map(*(F.lit(x) for pair in totals.items() for x in pair)), F.col("template"))
+    known = met.select("k1", "k2", "near", "counts", "centre", F.col("template").alias("own"), total.alias("total"))
     first = known.select("*", F.explode(F.sequence(F.lit(0), F.col("centre"))).alias("a"))
-    last = first.select("*", F.explode(F.sequence(F.col("centre"), F.least(F.size("near"), F.col("a") + runs) - 1)).alias("b"))
-    last = last.where(F.col("b") > F.col("a"))
-    own = F.slice("counts", F.col("a") + 1, F.col("b") - F.col("a") + 1)
-    inner = F.aggregate(F.slice("counts", F.col("a") + 2, F.greatest(F.col("b") - F.col("a") - 1, F.lit(0))), F.lit(0), lambda t, x: t + x)
-    whole = last.where((F.array_min(own) > 0) & (inner <= F.element_at(total, F.col("template"))))
-    block = F.array_join(F.slice("near", F.col("a") + 1, F.col("b") - F.col("a") + 1), " ")
-    return whole.select("k1", "k2", "template", block.alias("block")).distinct()
+    start = F.struct(F.lit(0).alias("inner"), F.lit(0).alias("n"))
+    step = lambda t, x: F.when(
+        t["inner"] <= F.col("total"), F.struct((t["inner"] + x).alias("inner"), (t["n"] + 1).alias("n"))
+    ).otherwise(t)
+    more = F.aggregate(F.slice("counts", F.col("a") + 2, F.size("counts")), start, step, lambda t: t["n"])
+    whole = first.withColumn("more", more).where(F.col("a") + F.col("more") >= F.col("centre"))
+    block = F.array_join(F.slice("near", F.col("a") + 1, F.col("more") + 1), " ")
+    return whole.select("k1", "k2", "own", block.alias("block"))
+
 
+def matching_blocks(texts: DataFrame, templates: dict[str, str], containment: float) -> DataFrame:
+    """(k1, k2, template, overlap, size) of all text blocks that meet a template.
 
-def matching_blocks(texts: DataFrame, templates: dict[str, str], containment: float, runs: int = 1) -> DataFrame:
-    """(k1, k2, template, overlap, size): text blocks that meet a template, and all such pairs."""
+    A block comes once for each line with a prefix word in it.
+    """
     sets = {name: words_of(text) for name, text in templates.items()}
     order = word_order(texts, sorted(set().union(*sets.values())))
     rank = {w: i for i, w in enumerate(order)}
@@ -210,32 +229,21 @@ def matching_blocks(texts: DataFrame, templates: dict[str, str], containment: fl
     rows = [(r, name, i, len(ranked[name]), needed(len(ranked[name]), containment), ranked[name])
             for name in sorted(prefix) for i, r in enumerate(prefix[name])]
     index = spark.createDataFrame(rows, "rank int, template string, i int, size int, needed int, all array<int>")
-    if runs > 1:
-        places = staged(line_places(texts, signs, in_line, runs), "license-lines")
-        blocks = places.select("k1", "k2", F.get("near", F.col("centre")).alias("block")).distinct()
-    else:
-        lines = F.split(lowered(F.col("text")), "\n")
-        some = F.when(holds_any(lowered(F.col("text")), signs), F.filter(lines, lambda x: x.rlike(in_line)))
-        blocks = texts.select("k1", "k2", F.explode(some).alias("block")).distinct()
-    found = meeting(shaped(blocks, rank).withColumn("block", F.xxhash64("block")), index, "k1", "k2", "block")
-    if runs == 1:
-        return found
-    near = places.withColumn("block", F.array_join("near", " "))
-    met = meeting(shaped(near, rank), index, "k1", "k2", "near", "centre")
     totals = {name: len(re.findall(r"[0-9a-z]+", text.lower())) for name, text in templates.items()}
-    wrapped = shaped(runs_of(met, totals, runs), rank).withColumnRenamed("template", "own")
-    wrapped = wrapped.withColumn("block", F.xxhash64("block"))
-    wrapped = meeting(wrapped, index, "k1", "k2", "block", "own").where("own = template").drop("own")
-    return found.union(wrapped.select(*found.columns)).distinct()
+    places = line_places(texts, signs, in_line, max(totals.values()))
+    near = staged(places, "license-lines").withColumn("block", F.array_join("near", " "))
+    met = meeting(shaped(near, rank), index, "k1", "k2", "near", "counts", "centre")
+    blocks = shaped(blocks_of(met, totals), rank)
+    return meeting(blocks, index, "k1", "k2", "own").where("own = template").drop("own")
 
 
-def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT, runs: int = 1) -> DataFrame:
+def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row.
 
     ``score`` is 1 for texts with a phrase, else the largest containment found, else 0. A null
     or empty text has no words and no labels (empty strings). Repeated rows and null ids stay;
-    an empty table gives an empty result. With ``runs`` above 1 notices that are wrapped over up
-    to so many lines are found besides those in a line.
+    an empty table gives an empty result. Texts of any length are read whole. Only doc_id and text
+    are used, so further columns, whatever their names, do not matter.
     """
     texts = text_keys(docs)
     base = texts.select(
@@ -245,7 +253,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: d
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
         phrase_places(F.col("text"), phrases).alias("base"),
     )
-    blocks = matching_blocks(texts, templates, containment, runs)
+    blocks = matching_blocks(texts, templates, containment)
     found = blocks.groupBy("k1", "k2").agg(
         F.collect_set("template").alias("found"), F.max(F.col("overlap") / F.col("size")).alias("containment")
     )
