@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from verbarium.llm import embeddings, licenses, mixing, prefix_trie, rules, superkmers
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -40,8 +42,7 @@ goals AS (
       / (all_w - coalesce(sum(CASE WHEN is_full THEN w END) OVER (), 0)) END AS target FROM filled),
 summed AS (
   SELECT hashed.doc_id, hashed.size, goals.source_size, goals.target,
-    CAST(sum(size) OVER (PARTITION BY hashed.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS DOUBLE) AS upto,
-    CAST(sum(size) OVER (PARTITION BY hashed.source, h) AS DOUBLE) AS words,
+    CAST(sum(size) OVER (PARTITION BY hashed.source ORDER BY h ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS upto, CAST(size AS DOUBLE) AS words,
     least(target, source_size) AS first, greatest(target - source_size, 0) AS second
   FROM hashed JOIN goals ON hashed.source IS NOT DISTINCT FROM goals.source)
 SELECT doc_id, size, source_size, target, CAST({takes("first")} + {takes("second")} AS BIGINT) AS taken FROM summed
@@ -50,22 +51,28 @@ SELECT doc_id, size, source_size, target, CAST({takes("first")} + {takes("second
 
 def op5_licenses() -> str:
     phrases = ", ".join(f"({listed(p.split())}, {quoted(label)})" for p, label in licenses.PHRASES)
-    templates = ", ".join(f"({listed(licenses.words_of(t))}, {quoted(name)})" for name, t in licenses.TEMPLATES.items())
+    templates = ", ".join(f"({listed(licenses.words_of(t))}, {len(re.findall('[0-9a-z]+', t.lower()))}, {quoted(name)})" for name, t in licenses.TEMPLATES.items())
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     return rf"""
 WITH texts AS (SELECT row_number() OVER () AS id, doc_id, lower(coalesce(text, '')) AS t FROM documents),
 worded AS (SELECT id, doc_id, t, list_filter(string_split(regexp_replace(t, '{gap}', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM texts),
 phrases(phrase, label) AS (VALUES {phrases}),
-templates(words, template) AS (VALUES {templates}),
+templates(words, total, template) AS (VALUES {templates}),
 starts AS (SELECT id, words, unnest(range(1, len(words) + 1)) AS i FROM worded),
 places AS (SELECT id, i - 1 AS place, label FROM starts JOIN phrases ON words[i] = phrase[1] AND words[i : i + len(phrase) - 1] = phrase),
 base AS (
   SELECT id, count(*) AS n, min(place) AS lowest, max(place) AS highest, list(DISTINCT label) AS labels FROM places GROUP BY id),
-lines AS (SELECT id, unnest(string_split(t, chr(10))) AS line FROM worded),
-sets AS (
-  SELECT id, list_distinct(list_filter(string_split(regexp_replace(line, '{gap}', ' ', 'g'), ' '), lambda x: x <> '')) AS words FROM lines),
+split AS (SELECT id, words, string_split(t, chr(10)) AS lines FROM worded),
+numbered AS (SELECT id, words, lines, unnest(range(1, len(lines) + 1)) AS n FROM split),
+counted AS (
+  SELECT id, words, n, len(list_filter(string_split(regexp_replace(lines[n], '{gap}', ' ', 'g'), ' '), lambda x: x <> '')) AS n_words FROM numbered),
+spans AS (
+  SELECT id, words, sum(n_words) OVER (PARTITION BY id ORDER BY n) - n_words AS first, sum(n_words) OVER (PARTITION BY id ORDER BY n) AS past
+  FROM counted WHERE n_words > 0),
+starting AS (SELECT id, spans.words, first, past + total AS reach, template, templates.words AS wanted FROM spans CROSS JOIN templates),
 shares AS (
-  SELECT id, template, len(list_intersect(sets.words, templates.words)) AS overlap, len(templates.words) AS size FROM sets CROSS JOIN templates),
+  SELECT s.id, template, len(list_intersect(list_distinct(s.words[s.first + 1 : spans.past]), wanted)) AS overlap, len(wanted) AS size
+  FROM starting AS s ASOF JOIN spans ON s.id = spans.id AND s.reach >= spans.first),
 found AS (
   SELECT id, list(DISTINCT template) AS labels, max(overlap / size) AS containment FROM shares
   WHERE overlap >= ceil(size * {licenses.CONTAINMENT} - 1e-9) GROUP BY id)
