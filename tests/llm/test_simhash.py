@@ -157,3 +157,23 @@ def test_one_of_each_group_stays(odd_docs):
     names = {component[p] for p in component}
     found = {r["doc_id"] for r in kept.collect()}
     assert found - {None} == names - {None}
+
+
+def test_keep_one_loses_no_unrelated_text_of_a_repeated_id(spark):
+    texts = ["one two three four five six seven", "lorem ipsum dolor sit amet elit sed", "red green blue white black pink grey"]
+    rows = [(1, texts[0], "a", 0), (1, texts[1], "a", 1), (2, texts[2], "b", 2), (2, texts[2], "b", 2), (None, texts[0], None, 3), (None, "alone in its group of rows here", "c", 4)]
+    rows += [(3, texts[1], "a", 5), (None, "twice here and without an id at all", "c", 6), (None, "twice here and without an id at all", None, 6)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, `r1` string, `n` int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    found = multiset(tuple(r)[:2] for r in kept.collect())
+    lone = [rows[5][:2], rows[7][:2]]
+    assert found == multiset([*(r[:2] for r in rows[:3]), *lone])
+    assert set(map(tuple, kept.collect())) <= set(rows)
+
+
+def test_keep_one_of_a_hot_row(spark):
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) AS doc_id", "if(id % 3 = 0, 'the same text in a third of rows', concat_ws(' ', sha2(cast(id as string), 256), id, md5(cast(id as string)), id * 7, hex(id), id * 13)) AS text")
+    kept = simhash.keep_one(docs)
+    assert kept.where("doc_id = 7 AND text LIKE 'the same%'").count() == 1
+    assert kept.count() == simhash.near_duplicates(docs).select("component").distinct().count()

@@ -240,19 +240,30 @@ def near_duplicates(docs: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates, with all its columns.
 
-    The document with the smallest doc_id stays. Of rows that repeat a doc_id one stays. Rows
-    without a doc_id stay only where no document with one is in their group, again one per
-    group.
+    The one with the smallest doc_id stays, rows without a doc_id last, then by fingerprint and
+    hash of the whole row; so rows that share a doc_id and hold unrelated texts all stay. Rows
+    equal in all columns are one document. A row is known by two hashes of all its columns, and
+    columns of any name do. An empty table gives an empty result.
     """
-    found = staged(near_duplicates(docs), "near-duplicates")
-    chosen = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    # Rows without an id: the scan skips row groups that have none.
-    nameless = docs.where(F.col("doc_id").isNull())
-    lonely = found.where("component_id IS NULL").select("fp", "component").distinct()
-    marked = fingerprints(nameless.select(F.struct(*map(_quoted, docs.columns)).alias("doc_id"), "text"))
-    picked = marked.join(lonely, "fp").groupBy("component").agg(F.min_by("doc_id", F.struct("fp", F.xxhash64("doc_id"))).alias("row"))
-    return named.select(*map(_quoted, docs.columns)).union(picked.select("row.*"))
+    cells = [cell for c in docs.columns for cell in (_quoted(c).isNull(), _quoted(c))]
+    hashes = F.struct(F.xxhash64(*cells).alias("r1"), F.xxhash64(F.lit(7), *cells).alias("r2"))
+    known = near_duplicates(docs.select(F.struct(_quoted("doc_id").alias("id"), hashes.alias("r")).alias("doc_id"), "text"))
+    place = F.struct(F.col("doc_id.id").isNull().alias("nameless"), "doc_id.id", "fp", F.col("doc_id.r.r1").alias("r1"), F.col("doc_id.r.r2").alias("r2"))
+    chosen = staged(
+        known.groupBy("component", place.alias("place"))
+        .agg(F.count("*").alias("n"))
+        .groupBy("component")
+        .agg(F.min_by(F.struct("place.r1", "place.r2", "n"), "place").alias("one"))
+        .select("one.*"),
+        "chosen",
+    )
+    rows = docs.select(hashes.alias("r"), F.struct(*map(_quoted, docs.columns)).alias("row")).select("r.*", "row")
+    kept = rows.join(chosen.where("n = 1"), ["r1", "r2"], "left_semi").select("row")
+    repeated = chosen.where("n > 1")
+    if not repeated.isEmpty():
+        copies = rows.join(repeated, ["r1", "r2"], "left_semi")
+        kept = kept.union(copies.groupBy("r1", "r2").agg(F.first("row").alias("row")).select("row"))
+    return kept.select("row.*")
 
 
 def _quoted(name: str) -> Column:
