@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -54,31 +54,50 @@ def orphans(rows: DataFrame, table: str, column: str, parents: DataFrame, key: s
     )
 
 
+def constrained(tables: Iterable[str]) -> dict[str, tuple[list[str], list[str]]]:
+    """Per table with constraints its key columns (unique ones, references, ids that these name)
+    and its required columns, as far as ``tables`` are there."""
+    tables = list(tables)
+    foreign = {(t, c): p for (t, c), p in schemas.FOREIGN.items() if t in tables and p in tables}
+    linked = set(foreign) | {(p, "id") for p in foreign.values()}
+    found = {}
+    for table in tables:
+        unique, required = schemas.UNIQUE.get(table, []), schemas.REQUIRED.get(table, [])
+        keys = [*unique, *(c for t, c in sorted(linked) if t == table and c not in unique)]
+        if keys or required:
+            found[table] = keys, required
+    return found
+
+
 def violations(tables: Mapping[str, DataFrame]) -> DataFrame:
     """All violations of the constraints on the given tables, one row each.
 
-    Every table is read and aggregated once (``value_counts``). Then the values of references
-    and of the ids that they name meet, each once; a reference that meets no id is lost. The
-    other violations, which are few, go along, so that the counts are made once.
+    Every table is read and aggregated once (``value_counts``).
     """
-    foreign = {(t, c): p for (t, c), p in schemas.FOREIGN.items() if t in tables and p in tables}
+    return violations_in({table: value_counts(tables[table], *columns) for table, columns in constrained(tables).items()})
+
+
+def violations_in(counts: Mapping[str, DataFrame]) -> DataFrame:
+    """The violations in tables that are known by their ``value_counts``.
+
+    The values of references and of the ids that they name meet, each once; a reference that
+    meets no id is lost. The other violations, which are few, go along.
+    """
+    foreign = {(t, c): p for (t, c), p in schemas.FOREIGN.items() if t in counts and p in counts}
     linked = set(foreign) | {(p, "id") for p in foreign.values()}
     reports = []
-    for table, rows in tables.items():
-        unique, required = schemas.UNIQUE.get(table, []), schemas.REQUIRED.get(table, [])
-        keys = [*unique, *(c for t, c in sorted(linked) if t == table and c not in unique)]
-        if not (keys or required):
-            continue
+    for table, values in counts.items():
+        unique = schemas.UNIQUE.get(table, [])
         missing = F.col("value").isNull()
         repeated = F.col("column").isin(unique) & (F.col("n_rows") > 1)
-        parents = {c: foreign.get((table, c), table) for c in keys if (table, c) in linked}
+        parents = {c: foreign.get((table, c), table) for t, c in sorted(linked) if t == table}
         cells = [F.struct(F.when(missing, "not null").when(repeated, "unique").alias("constraint"), F.lit(None).cast("string").alias("parent"))]
         if parents:
             parent = F.element_at(F.create_map(*[F.lit(x) for pair in parents.items() for x in pair]), F.col("column"))
             used = F.when(~missing & F.col("column").isin(list(parents)), "reference")
             cells.append(F.struct(used.alias("constraint"), parent.alias("parent")))
         shown = F.filter(F.array(*cells), lambda cell: cell["constraint"].isNotNull())
-        reports.append(value_counts(rows, keys, required).select(F.lit(table).alias("table"), "*", F.inline(shown)))
+        reports.append(values.select(F.lit(table).alias("table"), "column", "value", "n_rows", F.inline(shown)))
     if not reports:
         raise ValueError("none of the tables has constraints")
     # A group of references holds a count per column that refers to the parent, and one of its id.

@@ -12,7 +12,7 @@ from verbarium.operators import accounts, conjugation, extraction, facts, pages,
 from verbarium.operators import words as word_queries
 from verbarium.operators.dictionary import vocabulary
 from verbarium.operators.rules import RULES
-from verbarium.plans import kept
+from verbarium.plans import kept, kept_counts
 from verbarium.plans.importer import decode_pages, import_dump, import_pages
 from verbarium.plans.wikitext_view import wikitext_pages, wikitext_titles
 from verbarium.session import scratch_path
@@ -505,7 +505,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> Store:
         # CDATA_EVERY-th page has its text in a CDATA section, with a page end in it.
         path = scratch_path(spark, "arrivals")
         dump.page_xml(_with_page_ends(spark, sf_dir).repartition(3, "title"), F.expr(CDATA_SQL)).select("value").write.text(path)
-        incremental_import(store, path, checkpoint, REGISTRY, max_files=1, keep_tables=True).awaitTermination()
+        incremental_import(store, path, checkpoint, REGISTRY, max_files=1, keep_tables=True, keep_counts=True).awaitTermination()
         _stores[key] = store
     return _stores[key]
 
@@ -547,6 +547,13 @@ def kept_table_of_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slots_as_text(found.withColumnRenamed("Infinitive", "infinitive"), ["infinitive"])
 
 
+def kept_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on the streamed store, from the counts that every batch has added."""
+    store = _streamed(spark, sf_dir)
+    others = {"tenses": store.tenses, "roles": store.roles, "users": _users(spark, sf_dir)}
+    return kept_counts.kept_violations(store, others)
+
+
 def dump_cdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dump with texts in CDATA sections that hold page ends and whole pages."""
     path = scratch_path(spark, "cdata-dump")
@@ -603,6 +610,7 @@ QUERIES: list[Query] = [
     null_violations,
     constraint_report,
     store_constraints,
+    kept_constraints,
     empty_result,
     dump_scan,
     dump_scan_bz2,

@@ -39,7 +39,8 @@ def _tables(store: Store) -> str:
     return f"{store.path}/conjugation_tables"
 
 
-def _read(store: Store, path: str, schema: T.StructType) -> DataFrame:
+def read_kept(store: Store, path: str, schema: T.StructType) -> DataFrame:
+    """A table beside the store's own; empty before its first writing."""
     try:
         return store.spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
@@ -50,7 +51,7 @@ def _read(store: Store, path: str, schema: T.StructType) -> DataFrame:
 
 def kept_tables(store: Store) -> DataFrame:
     """inf_id, Infinitive, Present, Past as of the last refresh; see ``conjugation_tables``."""
-    return _read(store, _tables(store), TABLE).drop("block")
+    return read_kept(store, _tables(store), TABLE).drop("block")
 
 
 def kept_table(store: Store, word: str) -> DataFrame:
@@ -59,7 +60,7 @@ def kept_table(store: Store, word: str) -> DataFrame:
     Two small lookups name the infinitive; then one partition is read.
     """
     target = infinitive_id(store.form_index, store.words, word)
-    tables = _read(store, _tables(store), TABLE)
+    tables = read_kept(store, _tables(store), TABLE)
     if target is None:
         return tables.drop("block").limit(0)
     return tables.filter((F.col("block") == target // BLOCK) & (F.col("inf_id") == target)).drop("block")
@@ -73,7 +74,7 @@ def refresh_tables(store: Store) -> list[int]:
     last: a refresh that breaks off is repeated.
     """
     notes = f"{store.path}/conjugation_tables_upto"
-    known = [row["batches"].split(",") for row in _read(store, notes, UPTO).collect()]
+    known = [row["batches"].split(",") for row in read_kept(store, notes, UPTO).collect()]
     covered = {note for note in (known[0] if known else []) if note}
     finished = store.writings()
     fresh = {batch: note for note, batch in finished.items() if note not in covered}

@@ -162,6 +162,11 @@ def _violations() -> str:
     return " UNION ALL ".join(parts)
 
 
+LOST_LANGUAGES = """SELECT 'reference' AS "constraint", 'users' AS "table",
+        'target_language_id' AS "column", CAST(target_language_id AS VARCHAR) AS value,
+        count(*) AS n_rows FROM user_rows WHERE target_language_id NOT IN (1, 2)
+        GROUP BY target_language_id"""
+
 RESULTS = {
     "namespace_filter": "SELECT page_id, title FROM content",
     "page_lookup": f"""SELECT page_id, title, text FROM content
@@ -263,10 +268,8 @@ RESULTS = {
         for c in ["title", "template", "infinitive", "tense", "num", "person"]
     ),
     "constraint_report": _violations(),
-    "store_constraints": """SELECT 'reference' AS "constraint", 'users' AS "table",
-        'target_language_id' AS "column", CAST(target_language_id AS VARCHAR) AS value,
-        count(*) AS n_rows FROM user_rows WHERE target_language_id NOT IN (1, 2)
-        GROUP BY target_language_id""",
+    "store_constraints": LOST_LANGUAGES,
+    "kept_constraints": LOST_LANGUAGES,
     "empty_result": """SELECT 'no words exist' AS error FROM facts HAVING count(*) = 0
         UNION ALL SELECT 'no words in 99 exist' FROM facts WHERE lang_id = 99
         HAVING count(*) = 0""",
