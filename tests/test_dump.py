@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows_of
 from verbarium.plans.importer import view_page
-from verbarium.sources.dump import _well_formed, corrupt_pages, dump_chunks, good_pages, page_xml, read_dump, write_dump
+from verbarium.sources.dump import (
+    _well_formed,
+    corrupt_pages,
+    dump_chunks,
+    good_pages,
+    mark_before,
+    page_xml,
+    read_dump,
+    whole_chunks,
+    write_dump,
+)
 
 HEAD = """<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.10/" version="0.10">
   <siteinfo><sitename>Some wiki</sitename>
@@ -260,3 +270,39 @@ def test_view_page(spark, tmp_path, early_stop):
     assert view("plain") == [(3, "plain", "plain text")]
     assert view("User:x") == []
     assert view("Plain") == []
+
+
+def test_only_the_chunks_of_cut_pages_are_moved(spark, tmp_path):
+    """However large the keys of the cut pages are: nothing but their own chunks is joined."""
+    pages = [page(n, f"w{n}", cdata("a </page> </page> b") if n % 4 == 0 else revision("x")) for n in range(200)]
+    path = tmp_path / "d.xml"
+    path.write_text(dump_of(*pages))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = whole_chunks(dump_chunks(spark, str(path)))
+        whole.collect()
+        plan = whole._jdf.queryExecution().executedPlan().toString()
+        got = rows_of(good_pages(read_dump(spark, str(path))))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == sorted([(n, f"w{n}", "a </page> </page> b" if n % 4 == 0 else "x") for n in range(200)], key=repr)
+    # Every shuffled join, whose sides are sorted, stands above the filter on what lies in a section.
+    plan = plan.split("== Initial Plan ==")[0]
+    for side in plan.split("SortMergeJoin")[1:]:
+        assert "seen" in side
+
+
+@pytest.mark.parametrize("batch", [1, 3, 100])
+def test_marks_are_carried_along_in_a_block(spark, batch):
+    marks = [None, True, None, None, False, None, None, None, True, None, None]
+    keys = [1, 1, 1, 1, 1, 1, 2, 2, 2, 2, 3]
+    expected = [None, None, True, True, True, False, None, None, None, True, None]
+    rows = spark.createDataFrame(list(zip(range(11), keys, marks)), "n int, key long, mark boolean").coalesce(1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = rows.sortWithinPartitions("n").select("n", mark_before()(F.col("mark"), F.col("key")).alias("seen")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert [row["seen"] for row in sorted(got)] == expected

@@ -557,7 +557,7 @@ def kept_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dump_cdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dump with texts in CDATA sections that hold page ends and whole pages."""
     path = scratch_path(spark, "cdata-dump")
-    dump.page_xml(_with_page_ends(spark, sf_dir), F.expr(CDATA_SQL)).select("value").write.text(path)
+    dump.page_xml(_with_page_ends(spark, sf_dir), F.expr(CDATA_SQL)).select("value").write.text(path, compression="gzip")
     return dump.good_pages(dump.read_dump(spark, path))
 
 

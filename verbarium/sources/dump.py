@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,27 +83,84 @@ def whole_chunks(chunks: DataFrame) -> DataFrame:
 
     A page end inside a CDATA section ends no page. Whether a chunk starts inside of one is
     known from the last mark before it, so a search of all chunks in parallel, for those that
-    leave a section open, tells which files have cut pages; mostly none. The others' chunks are
-    put together as ``cut_pages`` says, from a copy in the scratch area, where they keep their
-    places whatever executors are lost.
+    leave a section open, tells which files have cut pages; mostly none. Their chunks get a copy in
+    the scratch area, where they keep their places whatever executors are lost. Only the chunks of
+    pages that are cut move; they are put together as ``cut_pages`` says.
     """
     leaves_open = _mark(F.col("value")) & F.col("value").contains(CDATA)
     rows = chunks.filter(leaves_open).select("file").distinct().collect()
     if not rows:
         return chunks.select("value")
     in_cut_file = F.col("file").isin([row["file"] for row in rows])
+    marked = chunks.filter(in_cut_file).select("*", F.monotonically_increasing_id().alias("place"), _mark(F.col("value")).alias("mark"))
     kept = stage(
-        chunks.filter(in_cut_file).select("*", F.monotonically_increasing_id().alias("place")),
+        marked.select("*", mark_before()(F.col("mark"), F.xxhash64("file", "block")).alias("seen")),
         scratch_path(chunks.sparkSession, "cut-files"),
     )
+    placed = with_state(kept)
+    inner = placed.filter("inside OR open")
     place = ["file", "block", "place"]
-    parts = stage(cut_pages(kept.select(*place, _mark(F.col("value")).alias("mark"))), scratch_path(chunks.sparkSession, "cut-pages"))
+    parts = stage(cut_pages(inner.select(*place, "mark")), scratch_path(chunks.sparkSession, "cut-pages"))
+    inner = inner.select(*place, "value")
     pieces = F.sort_array(F.collect_list(F.struct("block", "place", "value")))
-    joined = kept.join(parts, place).groupBy("file", "start").agg(
+    joined = inner.join(parts, place).groupBy("file", "start").agg(
         F.array_join(F.transform(pieces, lambda piece: piece["value"]), PAGE_END).alias("value")
     )
-    plain = kept.join(parts, place, "left_anti")
-    return chunks.filter(~in_cut_file).select("value").unionByName(plain.select("value")).unionByName(joined.select("value"))
+    # Those of sections that never end stay as they are.
+    others = [placed.filter("NOT (inside OR open)"), inner.join(parts, place, "left_anti"), joined]
+    whole = chunks.filter(~in_cut_file).select("value")
+    for rows in others:
+        whole = whole.unionByName(rows.select("value"))
+    return whole
+
+
+def mark_before():
+    """A column function of (mark, key of the block): the last mark before the chunk in its block.
+
+    It is null until a block's first mark. A task reads its blocks in order, so the mark is carried
+    along and no chunk moves; only marks and keys reach Python.
+    """
+
+    def carry(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        last_key, last_mark = None, None
+        for marks, keys in batches:
+            n = len(marks)
+            if not n:
+                yield pa.nulls(0, pa.bool_())
+                continue
+            key = keys.to_numpy(zero_copy_only=False)
+            at = np.arange(n)
+            first = np.maximum.accumulate(np.where(np.diff(key, prepend=key[:1]) != 0, at, 0))
+            valid = np.maximum.accumulate(np.where(marks.is_valid().to_numpy(zero_copy_only=False), at, -1))
+            before = np.concatenate([[-1], valid[:-1]])
+            seen = marks.take(pa.array(before, mask=before < first))
+            if last_mark is not None and key[0] == last_key:
+                # Up to the first mark of this batch, the block's last one of the batches before holds.
+                carried = pa.array((first == 0) & (before < 0))
+                seen = pc.if_else(carried, pa.scalar(last_mark, pa.bool_()), seen)
+            end = valid[-1]
+            if end >= first[-1]:
+                last_mark = marks[int(end)].as_py()
+            elif key[-1] != last_key:
+                last_mark = None
+            last_key = key[-1]
+            yield seen
+
+    return F.arrow_udf(carry, "boolean").asNondeterministic()
+
+
+def with_state(kept: DataFrame) -> DataFrame:
+    """Add to chunks with ``mark`` and ``seen`` whether they start ``inside`` a section and leave it ``open``.
+
+    What holds at the start of a block, one row per block, meets the chunks by broadcast.
+    """
+    last = F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("place")))
+    blocks = kept.groupBy("file", "block").agg(last.alias("end"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    states = blocks.select("file", "block", F.last("end", ignorenulls=True).over(earlier).alias("before"))
+    inside = F.coalesce("seen", "before", F.lit(False))
+    placed = kept.join(F.broadcast(states), ["file", "block"])
+    return placed.withColumn("inside", inside).withColumn("open", F.coalesce("mark", "inside"))
 
 
 def _mark(value: Column) -> Column:
@@ -114,7 +176,7 @@ def cut_pages(keys: DataFrame) -> DataFrame:
     """The chunks (file, block, place) of pages that are cut inside a CDATA section, with the
     ``start`` that they share.
 
-    ``keys`` holds all chunks with their ``mark``. A page whose section never ends is no such page.
+    ``keys`` holds all chunks with their ``mark``, or all that lie in a section or leave one open. A page whose section never ends is no such page.
     """
     marked = _carried(keys, F.col("mark"), "inside", -1).withColumn("inside", F.coalesce("inside", F.lit(False)))
     marked = marked.withColumn("open", F.coalesce("mark", "inside"))
