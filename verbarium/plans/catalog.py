@@ -496,16 +496,19 @@ def corrupt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> Store:
-    """A store after a streamed import of a dump, one file per micro-batch, that keeps the tables."""
+    """A store after a streamed import of a dump in three micro-batches that keeps the tables."""
     key = (spark.sparkContext.applicationId, f"stream {sf_dir}")
     if key not in _stores:
         store = Store(spark, scratch_path(spark, "stream-store"))
         checkpoint = scratch_path(spark, "stream-checkpoint")
-        # Several files, so that later batches meet words that earlier ones brought. Every
-        # CDATA_EVERY-th page has its text in a CDATA section, with a page end in it.
+        # Several batches, so that later ones meet words that earlier ones brought. Every
+        # CDATA_EVERY-th page has its text in a CDATA section, with a page end in it. A packed file
+        # is read by one task, so a batch has one for each.
         path = scratch_path(spark, "arrivals")
-        dump.page_xml(_with_page_ends(spark, sf_dir).repartition(3, "title"), F.expr(CDATA_SQL)).select("value").write.text(path)
-        incremental_import(store, path, checkpoint, REGISTRY, max_files=1, keep_tables=True, keep_counts=True).awaitTermination()
+        files = spark.sparkContext.defaultParallelism
+        pages_ = _with_page_ends(spark, sf_dir).repartition(3 * files, "title")
+        dump.page_xml(pages_, F.expr(CDATA_SQL)).select("value").write.text(path, compression="gzip")
+        incremental_import(store, path, checkpoint, REGISTRY, max_files=files, keep_tables=True, keep_counts=True).awaitTermination()
         _stores[key] = store
     return _stores[key]
 
