@@ -5,12 +5,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from verbarium.llm import packing
+from verbarium.llm import common, packing
 from verbarium.llm.queries import tokenizer_path
 
 PATH = tokenizer_path()
@@ -104,3 +105,20 @@ def test_cuts_are_the_cheapest():
         total = sum(packing.MAX - (b - a) + price[b] for a, b in zip([0, *ends], ends[:-1], strict=False))
         last = [v for q, v in best.items() if places[-1] - packing.MAX <= q < places[-1]]
         assert ends[-1] == places[-1] and total == min(last)
+
+
+def test_tables_of_a_worker_are_dropped_by_other_operators(spark):
+    """Idle workers do not hold the tokenizer's tables while other stages of a pipeline run."""
+    common.make_importable(spark)
+    docs = spark.createDataFrame([(n, f"word{n} again") for n in range(20)], "doc_id long, text string").coalesce(1)
+
+    def held(rows):
+        return {"doc_id": rows["doc_id"], "n": [len(common._tables)] * len(rows["doc_id"])}
+
+    def tables(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(common._tables)], pa.int64())})
+
+    packing.pack(docs, PATH).collect()
+    assert {row["n"] for row in docs.select("doc_id").mapInArrow(tables, "n long").collect()} == {1}
+    assert {row["n"] for row in common.map_rows(docs, held, "doc_id long, n long").collect()} == {0}

@@ -19,7 +19,6 @@ import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from verbarium.llm.common import text_bytes
+from verbarium.llm.common import text_bytes, worker_table
 
 MAX = 4096
 END_OF_DOCUMENT = 2
@@ -113,10 +112,9 @@ class WordTokenizer:
         return np.frombuffer(b"".join(parts), "<u4")
 
 
-@cache
 def tokenizer_of(path: str) -> WordTokenizer:
-    """One per Python worker and file."""
-    return WordTokenizer(path)
+    """One per Python worker and file, until a task of another operator starts there."""
+    return worker_table(("packing", path), lambda: WordTokenizer(path))
 
 
 def best_cuts(places: list[int], penalties: list[int]) -> list[int]:
