@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 
@@ -135,3 +136,20 @@ def test_other_files_are_refused(tmp_path):
     other.write_bytes(model.SerializeToString())
     with pytest.raises(ValueError, match="not a plain BPE model"):
         Pieces(str(other))
+
+
+def test_query_takes_one_python_pass(spark, odd_docs, tmp_path):
+    odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plan = op12_pieces(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_few_rows_leave_at_a_time(spark, path):
+    from verbarium.llm import piece_bpe
+
+    batch = pa.RecordBatch.from_pydict({"n": list(range(600))})
+    parts = list(piece_bpe._few_rows([batch, batch.slice(0, 0), batch]))
+    assert max(part.num_rows for part in parts) == piece_bpe.ROWS
+    assert [n for part in parts for n in part["n"].to_pylist()] == 2 * list(range(600))
+    docs = spark.range(0, 700, 1, 1).selectExpr("id AS doc_id", "concat('text  ', id, ' 漢') AS text")
+    assert encode(docs, path, decoded=True).collect() == decode(encode(docs, path), path).collect()

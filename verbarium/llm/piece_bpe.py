@@ -33,8 +33,10 @@ BLANK = "▁"
 PARTS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 # Bounds of what a Python worker remembers: two tables of parts, the older of which goes when the
 # newer is full, and one of pairs, which is emptied.
-KNOWN_PARTS = 250_000
-KNOWN_PAIRS = 1_000_000
+KNOWN_PARTS = 400_000
+KNOWN_PAIRS = 500_000
+# Rows that are encoded, and leave the worker, at a time.
+ROWS = 256
 # A character without a piece, written in bytes: it never merges, so anything may follow it.
 OPEN = -1
 
@@ -241,8 +243,9 @@ def library_of(path: str):
     return SentencePieceProcessor(model_file=path)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ``ids`` of every whole text, the end id last.
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """doc_id and ``ids`` of every whole text, the end id last; with ``decoded`` also ``text``, as
+    ``decode`` gives it, from the same Python worker.
 
     ``path``: a SentencePiece file; one that is no plain BPE model with bytes for unknown
     characters raises ValueError. A null text counts as empty and has the end id only; rows are
@@ -250,19 +253,30 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     any length take time and memory in proportion to it. Other columns, whatever their names, are
     not read.
     """
-    kind = docs.schema["doc_id"].dataType
+    fields = [StructField("doc_id", docs.schema["doc_id"].dataType), StructField("ids", ArrayType(IntegerType()))]
+    if decoded:
+        fields.append(StructField("text", StringType()))
+    names = [field.name for field in fields]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path)
-        for batch in batches:
+        for batch in _few_rows(batches):
             rows = [pieces.ids(text.as_py()) for text in batch.column(1)]
             places = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            values = pa.array(np.concatenate(rows) if rows else np.array([], np.int32))
-            ids = pa.ListArray.from_arrays(pa.array(places), values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+            ids = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(rows)))
+            columns = [batch.column(0), ids]
+            if decoded:
+                columns.append(pa.array([pieces.library.decode(r.tolist()) for r in rows], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(over, StructType(fields))
+
 
-    schema = StructType([StructField("doc_id", kind), StructField("ids", ArrayType(IntegerType()))])
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(over, schema)
+def _few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``ROWS`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
