@@ -16,6 +16,7 @@ from verbarium.sources.dump import (
     good_pages,
     mark_before,
     page_xml,
+    pages_of,
     read_dump,
     whole_chunks,
     write_dump,
@@ -306,3 +307,17 @@ def test_marks_are_carried_along_in_a_block(spark, batch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert [row["seen"] for row in sorted(got)] == expected
+
+
+def test_pages_that_start_plainly_need_no_regex(spark):
+    parts = ["\n  <page>\n<id>1</id> <page > ", "<page>\r\n<id>2</id>", "\t<page><id>3</id>", "\n<page x='<page>'><id>4</id>",
+             "<head/>\n<page><id>5</id>", "</mediawiki>\n", " \n", "rest of <pages> "]
+    chunks = spark.createDataFrame([(part,) for part in parts], "value string")
+    pages = pages_of(chunks)
+    good = sorted(row["page_id"] for row in good_pages(pages).collect())
+    broken = sorted(row[0] for row in corrupt_pages(pages).collect())
+    assert good == [2, 3, 5]
+    # As before, from the page's start on.
+    assert broken == sorted([parts[0].strip("\n ") + " </page>", "<page x='<page>'><id>4</id></page>", "rest of <pages> </page>"])
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert "StartsWith" in plan or "startswith" in plan.lower()

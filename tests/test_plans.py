@@ -9,9 +9,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from verbarium.functions.wikitext import may_have_verb
 from verbarium.plans import catalog
 from verbarium.operators.rules import RULES
 from verbarium.plans.importer import decode_pages
+from verbarium.plans.wikitext_view import wikitext_pages
 from verbarium.sources.dump import good_pages, read_dump
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -143,3 +145,22 @@ def test_constraints_read_and_count_every_table_once(spark, large_tables):
         assert final.count(f"/{table}.parquet") == 1
     assert len(re.findall(r"Exchange hashpartitioning\((?!constraint)", final)) == 6
     assert len(re.findall(r"Exchange hashpartitioning\(constraint", final)) == 1 and "Join" not in final
+
+
+def test_pages_by_title_move_as_keys(spark):
+    plain, dealt = wikitext_pages(spark, SF_DIR), wikitext_pages(spark, SF_DIR, by_title=3)
+    # Below the shuffle no text is made.
+    assert re.search(r"\) Exchange\nInput \[2\]: \[o_orderkey", plan_of(dealt))
+    assert sorted(dealt.collect()) == sorted(plain.collect())
+    places = dealt.select("title", F.spark_partition_id().alias("part")).distinct()
+    assert places.groupBy("title").count().filter("count > 1").isEmpty()
+    assert dealt.rdd.getNumPartitions() == 3
+
+
+def test_headers_with_one_capital_are_found_without_lower_case(spark):
+    texts = ["==Dutch==\n", "==DUTCH==\n", "==dutch==\n", "== Dutch ==\n", "==Dutch==", "==Éwé==\n", "==ÉWÉ==\n"]
+    rows = spark.createDataFrame([(i, f"===Verb===\n{t}") for i, t in enumerate(texts)], "i int, text string")
+    found = rows.filter(may_have_verb(F.col("text"), ["dutch", "éwé"]))
+    assert [row["i"] for row in found.orderBy("i").collect()] == [0, 1, 2, 5, 6]
+    condition = found._jdf.queryExecution().analyzed().toString()
+    assert 0 < condition.index("==Dutch==") < condition.index("lower(")

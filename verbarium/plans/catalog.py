@@ -465,10 +465,10 @@ def empty_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Dumps
 
 
-def _with_page_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _with_page_ends(spark: SparkSession, sf_dir: str, by_title: int | None = None) -> DataFrame:
     """The pages, some with a page end and a page as the end of their text."""
     text = F.expr(f"CASE WHEN {CDATA_SQL} THEN {PAGE_END_SQL} ELSE text END")
-    return wikitext_pages(spark, sf_dir).withColumn("text", text)
+    return wikitext_pages(spark, sf_dir, by_title).withColumn("text", text)
 
 
 def dump_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -506,7 +506,8 @@ def _streamed(spark: SparkSession, sf_dir: str) -> Store:
         # is read by one task, so a batch has one for each.
         path = scratch_path(spark, "arrivals")
         files = spark.sparkContext.defaultParallelism
-        pages_ = _with_page_ends(spark, sf_dir).repartition(3 * files, "title")
+        # The keys move, the texts are made where they are written.
+        pages_ = _with_page_ends(spark, sf_dir, by_title=3 * files)
         dump.page_xml(pages_, F.expr(CDATA_SQL)).select("value").write.text(path, compression="gzip")
         incremental_import(store, path, checkpoint, REGISTRY, max_files=files, keep_tables=True, keep_counts=True).awaitTermination()
         _stores[key] = store

@@ -6,6 +6,7 @@ The test tables hold no wikitext. These SQL expressions mean the same to Spark a
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TITLE_SQL = """concat(
   CASE o_orderkey % 11
@@ -54,18 +55,21 @@ def wikitext_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).selectExpr("o_orderkey AS page_id", f"{TITLE_SQL} AS title")
 
 
-def wikitext_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page per order: page_id, title, text."""
+def wikitext_pages(spark: SparkSession, sf_dir: str, by_title: int | None = None) -> DataFrame:
+    """One page per order: page_id, title, text; with ``by_title`` in so many partitions, which
+    hold all pages of a title."""
     # As a generator each text is built once, not again in every filter on it.
-    return _orders(spark, sf_dir).selectExpr(
+    return _orders(spark, sf_dir, by_title).selectExpr(
         "o_orderkey AS page_id", f"{TITLE_SQL} AS title", f"explode(array({TEXT_SQL})) AS text"
     )
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orders(spark: SparkSession, sf_dir: str, by_title: int | None = None) -> DataFrame:
     columns = "o_orderkey bigint, o_custkey bigint"
     orders = spark.read.schema(columns).parquet(f"{sf_dir}/orders.parquet")
     # A test table is a single file, which one task would read; the ids are few bytes a row.
+    if by_title is not None:
+        return orders.repartition(by_title, F.expr(TITLE_SQL))
     return orders.repartition(spark.sparkContext.defaultParallelism)
 
 

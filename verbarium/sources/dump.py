@@ -207,13 +207,16 @@ def _carried(keys: DataFrame, value: Column, name: str, upto: int) -> DataFrame:
 def pages_of(chunks: DataFrame, containing: str | None = None) -> DataFrame:
     """Decode text chunks that each end where a page ends."""
     value = F.col("value")
-    # What follows the last page is no page.
-    kept = ~value.rlike(NO_PAGE)
+    # What follows the last page is no page; the start of a tag spares most chunks the regex.
+    kept = value.contains("<page") | ~value.rlike(NO_PAGE)
     if containing is not None:
         # A numeric character reference could spell the string in another way.
         kept = kept & (value.contains(containing) | value.contains("&#") | ~_well_formed(value))
+    # Mostly only blanks stand before the page.
+    trimmed = F.ltrim(value, F.lit(" \n"))
     # A chunk without the start of a page is the rest of one that was cut; it fails to decode.
-    fragment = F.when(value.rlike(PAGE_START), F.regexp_extract("value", PAGE, 0)).otherwise(value)
+    found = F.when(value.rlike(PAGE_START), F.regexp_extract("value", PAGE, 0)).otherwise(value)
+    fragment = F.when(trimmed.startswith("<page>"), trimmed).otherwise(found)
     fragments = chunks.filter(kept).select(F.explode(F.array(fragment)).alias("fragment"))
     decoded = F.from_xml(F.concat("fragment", F.lit(PAGE_END)), FIELDS, XML_OPTIONS)
     # As a generator the decoding runs once per page. In a plain projection every filter that
