@@ -48,11 +48,13 @@ def may_have_verb(text: Column, languages: Iterable[str] | None = None) -> Colum
     test = text.contains(VERB_MARK)
     if languages is None:
         return test
-    low = F.lower(text)
-    named = F.lit(False)
+    # Most headers have one capital. Only pages without such a header are lower-cased.
+    usual, named, low = F.lit(False), F.lit(False), F.lower(text)
     for language in languages:
+        if language.isascii():
+            usual = usual | text.contains(f"=={language.capitalize()}==\n")
         named = named | low.contains(f"=={language}==\n")
-    return test & named
+    return test & (usual | named)
 
 
 def verb_section(body: Column) -> Column:
