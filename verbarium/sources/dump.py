@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verbarium.session import scratch_path, stage
+from verbarium.sources.bz2_files import mounted_folder, write_lines
 
 PAGE_END = "</page>"
 PAGE_START = r"<page[\s>]"
@@ -65,7 +66,10 @@ def read_dump(
     spark: SparkSession, path: str | list[str], containing: str | None = None
 ) -> DataFrame:
     """Pages of a dump; see ``decode_chunks``."""
-    return decode_chunks(dump_chunks(spark, path), containing)
+    chunks = dump_chunks(spark, path)
+    # A search for a string needs few chunks, which are not worth a copy of the dump.
+    packed = containing is None and any(name.endswith(".bz2") for name in chunks.inputFiles())
+    return pages_of(whole_chunks(chunks, packed), containing)
 
 
 def decode_chunks(chunks: DataFrame, containing: str | None = None) -> DataFrame:
@@ -78,7 +82,7 @@ def decode_chunks(chunks: DataFrame, containing: str | None = None) -> DataFrame
     return pages_of(whole_chunks(chunks), containing)
 
 
-def whole_chunks(chunks: DataFrame) -> DataFrame:
+def whole_chunks(chunks: DataFrame, packed: bool = False) -> DataFrame:
     """Column ``value``: chunks that each end where a page ends.
 
     A page end inside a CDATA section ends no page. Whether a chunk starts inside of one is
@@ -86,11 +90,18 @@ def whole_chunks(chunks: DataFrame) -> DataFrame:
     leave a section open, tells which files have cut pages; mostly none. Their chunks get a copy in
     the scratch area, where they keep their places whatever executors are lost. Only the chunks of
     pages that are cut move; they are put together as ``cut_pages`` says.
+
+    Files whose unpacking is the costly part (``packed``) are unpacked once, into the scratch area,
+    with the answer of the search; only those with cut pages are unpacked again, as their chunks
+    have to be in place.
     """
     leaves_open = _mark(F.col("value")) & F.col("value").contains(CDATA)
-    rows = chunks.filter(leaves_open).select("file").distinct().collect()
+    read = chunks.select("value", "file", leaves_open.alias("leaves_open"))
+    if packed:
+        read = stage(read, scratch_path(chunks.sparkSession, "unpacked"))
+    rows = read.filter("leaves_open").select("file").distinct().collect()
     if not rows:
-        return chunks.select("value")
+        return read.select("value")
     in_cut_file = F.col("file").isin([row["file"] for row in rows])
     marked = chunks.filter(in_cut_file).select("*", F.monotonically_increasing_id().alias("place"), _mark(F.col("value")).alias("mark"))
     kept = stage(
@@ -108,7 +119,7 @@ def whole_chunks(chunks: DataFrame) -> DataFrame:
     )
     # Those of sections that never end stay as they are.
     others = [placed.filter("NOT (inside OR open)"), inner.join(parts, place, "left_anti"), joined]
-    whole = chunks.filter(~in_cut_file).select("value")
+    whole = read.filter(~in_cut_file).select("value")
     for rows in others:
         whole = whole.unionByName(rows.select("value"))
     return whole
@@ -280,7 +291,12 @@ def page_xml(pages: DataFrame, as_cdata: Column | None = None) -> DataFrame:
 
 def write_dump(pages: DataFrame, path: str, compression: str | None = None) -> None:
     """Write pages as XML dump files, one per task; ``compression`` may be 'bzip2'."""
-    page_xml(pages).select("value").write.text(path, compression=compression)
+    xml = page_xml(pages)
+    folder = mounted_folder(pages.sparkSession, path) if compression == "bzip2" else None
+    if folder:
+        write_lines(xml, F.col("value"), folder)
+    else:
+        xml.select("value").write.text(path, compression=compression)
 
 
 def _escaped(text: Column) -> Column:
