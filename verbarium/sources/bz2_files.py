@@ -58,7 +58,7 @@ class Bz2Writer(DataSourceArrowWriter):
         with bz2.open(os.path.join(self.folder, UNFINISHED, name), "wb", compresslevel=LEVEL) as file:
             for batch in chain([first], batches):
                 # As with Spark's writer a null is an empty line.
-                file.writelines((line or b"") + b"\n" for line in batch.column(0).to_pylist())
+                file.write(b"".join([(line or b"") + b"\n" for line in batch.column(0).to_pylist()]))
         return Written(name)
 
     def commit(self, messages: list[Written | None]) -> None:

@@ -95,7 +95,8 @@ def whole_chunks(chunks: DataFrame, packed: bool = False) -> DataFrame:
     with the answer of the search; only those with cut pages are unpacked again, as their chunks
     have to be in place.
     """
-    leaves_open = _mark(F.col("value")) & F.col("value").contains(CDATA)
+    # In this order most chunks are searched for one string only.
+    leaves_open = F.col("value").contains(CDATA) & _mark(F.col("value"))
     read = chunks.select("value", "file", leaves_open.alias("leaves_open"))
     if packed:
         read = stage(read, scratch_path(chunks.sparkSession, "unpacked"))
